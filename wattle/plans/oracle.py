@@ -173,12 +173,12 @@ def quality(prefix: str, k: int):
     mu = "[" + ", ".join(f"sum(n * c[{i + 1}]) / sum(n)" for i in range(DAY)) + "]"
     ctes = [
         (f"{prefix}_mu", f"SELECT {mu} AS mu FROM {prefix}_model"),
-        (f"{prefix}_ssb", f"SELECT sum(n * {sqdist('c', '(SELECT mu FROM ' + prefix + '_mu)')}) AS ssb FROM {prefix}_model"),
+        (f"{prefix}_ssb", f"SELECT sum(n * {sqdist('c', 'mu')}) AS ssb FROM {prefix}_model CROSS JOIN {prefix}_mu"),
         (f"{prefix}_q", f"""SELECT {k} AS k, (SELECT count(*) FROM {prefix}_model) AS k_effective,
-  count(*) AS n_points, sum({sqdist('a.z', '(SELECT mu FROM ' + prefix + '_mu)')}) AS sst,
+  count(*) AS n_points, sum({sqdist('a.z', 'mu')}) AS sst,
   (SELECT ssb FROM {prefix}_ssb) AS ssb, sum({sqdist('a.z', 'm.c')}) AS ssw,
   (SELECT it FROM {prefix}_stop) + 1 AS iterations
-FROM {prefix}_asg a JOIN {prefix}_model m USING (cid)"""),
+FROM {prefix}_asg a JOIN {prefix}_model m USING (cid) CROSS JOIN {prefix}_mu"""),
     ]
     return ctes
 
