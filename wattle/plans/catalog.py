@@ -216,3 +216,41 @@ QUERIES = {
     "entropy_class": q_entropy_class,
     "k_sweep": q_k_sweep,
 }
+
+
+# --------------------------------------------------------------------------- regression family
+
+from ..operators import profile as pf  # noqa: E402
+
+
+def weather(spark, sf) -> DataFrame:
+    return fx.weather_readings(events(spark, sf))
+
+
+def q_temperature_features(spark, sf):
+    w = pf.with_temperature_terms(weather(spark, sf))
+    return w.select("meter_id", "read_date", "hour", _r("temperature"),
+                    _r("x4", "cooling"), _r("x5", "heating"), _r("x6", "cold"))
+
+
+def q_regression_lags(spark, sf):
+    w = pf.with_lags(weather(spark, sf))
+    return w.select("meter_id", "read_date", "hour", _r("reading"), _r("lag1"), _r("lag2"), _r("lag3"))
+
+
+def q_regression_betas(spark, sf):
+    b = pf.fit_betas(weather(spark, sf))
+    return b.select("meter_id", "hour", "n_obs", *[_r(c) for c in pf.BETAS], "fallback")
+
+
+def q_activity_profile(spark, sf):
+    p = pf.activity_profile(weather(spark, sf))
+    return p.select("meter_id", "hour", _r("mean"), _r("sd"))
+
+
+QUERIES.update({
+    "temperature_features": q_temperature_features,
+    "regression_lags": q_regression_lags,
+    "regression_betas": q_regression_betas,
+    "activity_profile": q_activity_profile,
+})

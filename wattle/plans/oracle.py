@@ -279,3 +279,83 @@ LEFT JOIN (SELECT bin, count(*) AS n FROM binned GROUP BY bin) c ON c.bin = b.bi
 
 
 ORACLE = build()
+
+
+# --------------------------------------------------------------------------- regression family
+
+def weather():
+    sql = """SELECT meter_id, day AS read_date, CAST(hour AS INTEGER) AS hour, reading,
+  CAST((meter_id * 7 + dayofyear(day) * 13 + hour * 5) % 36 - 2 AS DOUBLE) AS temperature,
+  greatest(temperature - 20.0, 0.0) AS x4, greatest(16.0 - temperature, 0.0) AS x5,
+  greatest(5.0 - temperature, 0.0) AS x6
+FROM hours"""
+    return hours() + [("weather", sql)]
+
+
+def lags():
+    sql = """SELECT *, lag(reading, 1) OVER w AS lag1, lag(reading, 2) OVER w AS lag2, lag(reading, 3) OVER w AS lag3
+FROM weather WINDOW w AS (PARTITION BY meter_id, hour ORDER BY read_date, reading, temperature)"""
+    return weather() + [("lags", sql)]
+
+
+def _ldl_sql(src: str, k: int, tol: float) -> str:
+    S = lambda i, j: f"_s{min(i, j) + 1}{max(i, j) + 1}"
+    cur = src
+    for i in range(k):
+        acc = S(i, i) + "".join(f" - _l{i}_{m} * _l{i}_{m} * _d{m}" for m in range(i))
+        cur = f"SELECT *, CASE WHEN ({acc}) > {tol!r} * {S(i, i)} THEN ({acc}) END AS _d{i} FROM ({cur})"
+        ls = []
+        for j in range(i + 1, k):
+            a = S(j, i) + "".join(f" - _l{j}_{m} * _l{i}_{m} * _d{m}" for m in range(i))
+            ls.append(f"({a}) / _d{i} AS _l{j}_{i}")
+        if ls:
+            cur = f"SELECT *, {', '.join(ls)} FROM ({cur})"
+    for i in range(k):
+        acc = f"_t{i + 1}" + "".join(f" - _l{i}_{m} * _w{m}" for m in range(i))
+        cur = f"SELECT *, {acc} AS _w{i} FROM ({cur})"
+    for i in reversed(range(k)):
+        acc = f"_w{i} / _d{i}" + "".join(f" - _l{m}_{i} * b{m + 1}" for m in range(i + 1, k))
+        cur = f"SELECT *, {acc} AS b{i + 1} FROM ({cur})"
+    return cur
+
+
+def betas():
+    xs = {1: "lag1", 2: "lag2", 3: "lag3", 4: "x4", 5: "x5", 6: "x6"}
+    masked = ", ".join(f"CASE WHEN lag3 IS NOT NULL THEN {c} END AS v{i}" for i, c in xs.items())
+    aggs = ["count(y) AS n_obs", "avg(y) AS _my"] + [f"avg(v{i}) AS _m{i}" for i in xs]
+    for i in xs:
+        for j in xs:
+            if i <= j:
+                aggs.append(f"covar_pop(v{i}, v{j}) AS _s{i}{j}")
+        aggs.append(f"covar_pop(v{i}, y) AS _t{i}")
+    gram = (f"SELECT meter_id, hour, {', '.join(aggs)} FROM (SELECT meter_id, hour, "
+            f"CASE WHEN lag3 IS NOT NULL THEN reading END AS y, {masked} FROM lags) GROUP BY 1, 2")
+    solved = _ldl_sql(gram, 6, 1e-10)
+    ok = "(n_obs >= 7 AND " + " AND ".join(f"_d{i} IS NOT NULL" for i in range(6)) + ")"
+    b0 = "_my" + "".join(f" - b{i} * _m{i}" for i in xs)
+    cols = [f"CASE WHEN {ok} THEN {b0} ELSE 0.0 END AS b0"] + \
+           [f"CASE WHEN {ok} THEN b{i} ELSE 0.0 END AS b{i}" for i in xs]
+    sql = f"SELECT meter_id, hour, n_obs, {', '.join(cols)}, NOT {ok} AS fallback FROM ({solved})"
+    return lags() + [("betas", sql)]
+
+
+def profile():
+    sql = """SELECT meter_id, hour, avg(act) AS mean, stddev_pop(act) AS sd FROM (
+  SELECT l.meter_id, l.hour, l.reading - b.b4 * l.x4 - b.b5 * l.x5 - b.b6 * l.x6 AS act
+  FROM lags l JOIN betas b USING (meter_id, hour)) GROUP BY 1, 2"""
+    return betas() + [("profile", sql)]
+
+
+def build_regression(q: dict) -> dict:
+    q["temperature_features"] = _with(weather(), f"SELECT meter_id, read_date, hour, {r('temperature')} AS temperature, "
+                                                 f"{r('x4')} AS cooling, {r('x5')} AS heating, {r('x6')} AS cold FROM weather")
+    q["regression_lags"] = _with(lags(), f"SELECT meter_id, read_date, hour, {r('reading')} AS reading, {r('lag1')} AS lag1, "
+                                         f"{r('lag2')} AS lag2, {r('lag3')} AS lag3 FROM lags")
+    q["regression_betas"] = _with(betas(), "SELECT meter_id, CAST(hour AS INTEGER) AS hour, n_obs, "
+                                           + ", ".join(f"{r(f'b{i}')} AS b{i}" for i in range(7)) + ", fallback FROM betas")
+    q["activity_profile"] = _with(profile(), f"SELECT meter_id, CAST(hour AS INTEGER) AS hour, {r('mean')} AS mean, "
+                                             f"{r('sd')} AS sd FROM profile")
+    return q
+
+
+ORACLE = build_regression(build())
