@@ -254,3 +254,47 @@ QUERIES.update({
     "regression_betas": q_regression_betas,
     "activity_profile": q_activity_profile,
 })
+
+
+# --------------------------------------------------------------------------- generator family
+
+from ..operators import synthesize as syn  # noqa: E402
+
+
+def synthetic(spark, sf, detail=False) -> DataFrame:
+    """One synthetic series per meter that has a profile (the output grows with the data)."""
+    w = weather(spark, sf)
+    prof = cached(pf.profile_arrays(pf.activity_profile(w)))
+    temps = cached(syn.temperature_seed(w))
+    n = prof.count()
+    return syn.synthesize(prof, temps, n, P.SYNTH_DAYS, P.SYNTH_START, P.PEAKY_RATIO,
+                          P.SYNTH_PARTITIONS, P.SYNTH_SEED, detail)
+
+
+def q_synth_series(spark, sf):
+    s = synthetic(spark, sf)
+    return s.select("series_id", "seed_meter_id", "read_ts", _r("load"), _r("temperature"))
+
+
+def q_synth_thermal(spark, sf):
+    s = synthetic(spark, sf, detail=True)
+    return s.groupBy("series_id").agg(
+        _r(F.first("x0"), "x0"), _r(F.first("y0"), "y0"), _r(F.first("x1"), "x1"), _r(F.first("x2"), "x2"),
+        _r(F.min("thermal"), "thermal_min"), _r(F.max("thermal"), "thermal_max"),
+        _r(F.min("activity"), "activity_min"),
+    )
+
+
+def q_synth_daily(spark, sf):
+    s = synthetic(spark, sf, detail=True)
+    return s.groupBy("series_id", "day_index").agg(
+        _r(F.avg("load"), "mean_load"), _r(F.stddev_pop("load"), "sd_load"), _r(F.min("load"), "min_load"),
+        _r(F.max("load"), "max_load"),
+    )
+
+
+QUERIES.update({
+    "synth_series": q_synth_series,
+    "synth_thermal": q_synth_thermal,
+    "synth_daily": q_synth_daily,
+})

@@ -359,3 +359,74 @@ def build_regression(q: dict) -> dict:
 
 
 ORACLE = build_regression(build())
+
+
+# --------------------------------------------------------------------------- generator family
+
+def _u(d: str, slot: int) -> str:
+    return f"((('0x' || substr({d}, {8 * slot + 1}, 8))::UBIGINT + 0.5) / 4294967296.0)"
+
+
+def _g(d: str, slot: int) -> str:
+    return f"(sqrt(-2.0 * ln({_u(d, slot)})) * cos(2.0 * pi() * {_u(d, slot + 1)}))"
+
+
+def _dbl(v: float) -> str:
+    return f"CAST('{v!r}' AS DOUBLE)"
+
+
+def synthetic():
+    from ..operators import synthesize as syn
+    s0, s1, s2 = (_dbl(v) for v in syn.slopes(0))
+    nb = syn.NUMBERING_BUCKETS
+    seed = P.SYNTH_SEED
+    hours_n = 24 * P.SYNTH_DAYS
+    mean_slots = ", ".join(f"coalesce(max(CASE WHEN hour = {h} THEN mean END), 0.0)" for h in range(DAY))
+    ctes = profile() + [
+        ("prof", f"SELECT meter_id, [{mean_slots}] AS mean FROM profile GROUP BY meter_id"),
+        ("prof_b", f"SELECT *, ((meter_id % {nb}) + {nb}) % {nb} AS b FROM prof"),
+        ("prof_off", "SELECT b, coalesce(sum(cnt) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off "
+                     "FROM (SELECT b, count(*) AS cnt FROM prof_b GROUP BY b)"),
+        ("numbered", "SELECT meter_id, mean, off + row_number() OVER (PARTITION BY b ORDER BY meter_id) - 1 AS idx "
+                     "FROM prof_b JOIN prof_off USING (b)"),
+        ("tseed", "SELECT row_number() OVER (ORDER BY read_date, hour) - 1 AS pos, avg(temperature) AS t "
+                  "FROM weather GROUP BY read_date, hour"),
+        ("series", f"""SELECT series_id, md5(concat_ws('|', '{seed}', 'series', CAST(series_id AS VARCHAR))) AS d1,
+  md5(concat_ws('|', '{seed}', 'thermal', CAST(series_id AS VARCHAR))) AS d2
+FROM (SELECT range AS series_id FROM range(0, (SELECT count(*) FROM prof)))"""),
+        ("sparams", f"""SELECT series_id, CAST(floor({_u('d1', 0)} * (SELECT count(*) FROM prof)) AS BIGINT) AS idx,
+  abs({_g('d1', 1)}) / 1.5 AS y0, CAST(10 + floor({_u('d1', 3)} * 6) AS DOUBLE) AS x1,
+  CAST(10 + floor({_u('d1', 3)} * 6) + 4 + floor({_u('d2', 0)} * 9) AS DOUBLE) AS x2 FROM series"""),
+        ("srows", f"""SELECT s.series_id, n.meter_id AS seed_meter_id, n.mean, s.y0, s.x1, s.x2, unnest(range({hours_n})) AS i
+FROM sparams s JOIN numbered n USING (idx)"""),
+        ("strows", f"""SELECT r.*, CAST(i // 24 AS INTEGER) AS day_index,
+  t.t + 2.0 * {_g("md5(concat_ws('|', '" + str(seed) + "', 'hour', CAST(r.series_id AS VARCHAR), CAST(r.i AS VARCHAR)))", 0)} AS temperature,
+  greatest(r.mean[(r.i % 24) + 1] + 0.1 * {_g("md5(concat_ws('|', '" + str(seed) + "', 'hour', CAST(r.series_id AS VARCHAR), CAST(r.i AS VARCHAR)))", 2)}, 0.0) AS activity
+FROM srows r JOIN tseed t ON t.pos = r.i % (SELECT count(*) FROM tseed)"""),
+        ("sx0", "SELECT *, min(temperature) OVER (PARTITION BY series_id) AS x0 FROM strows"),
+        ("sth", f"""SELECT *, least(greatest(CASE
+    WHEN temperature < x1 THEN {s0} * (temperature - x0) + y0
+    WHEN temperature < x2 THEN {s1} * (temperature - x1) + ({s0} * (x1 - x0) + y0)
+    ELSE {s2} * (temperature - x2) + {s1} * (x2 - x1) + ({s0} * (x1 - x0) + y0) END, 0.0), 0.2) AS thermal FROM sx0"""),
+        ("sload", """SELECT *, activity + thermal AS l0, avg(activity + thermal) OVER (PARTITION BY series_id, day_index) AS dm
+FROM sth"""),
+        ("synth", f"""SELECT series_id, seed_meter_id, i, day_index, activity, thermal, x0, y0, x1, x2, temperature,
+  TIMESTAMP '{P.SYNTH_START} 00:00:00' + to_hours(CAST(i AS BIGINT)) AS read_ts,
+  CASE WHEN l0 - dm > 0 THEN dm + (l0 - dm) * {P.PEAKY_RATIO!r} ELSE l0 END AS load FROM sload"""),
+    ]
+    return ctes
+
+
+def build_synth(q: dict) -> dict:
+    q["synth_series"] = _with(synthetic(), f"SELECT series_id, seed_meter_id, read_ts, {r('load')} AS load, "
+                                           f"{r('temperature')} AS temperature FROM synth")
+    q["synth_thermal"] = _with(synthetic(), f"""SELECT series_id, {r('first(x0)')} AS x0, {r('first(y0)')} AS y0,
+  {r('first(x1)')} AS x1, {r('first(x2)')} AS x2, {r('min(thermal)')} AS thermal_min, {r('max(thermal)')} AS thermal_max,
+  {r('min(activity)')} AS activity_min FROM synth GROUP BY series_id""")
+    q["synth_daily"] = _with(synthetic(), f"""SELECT series_id, day_index, {r('avg(load)')} AS mean_load,
+  {r('stddev_pop(load)')} AS sd_load, {r('min(load)')} AS min_load, {r('max(load)')} AS max_load
+FROM synth GROUP BY series_id, day_index""")
+    return q
+
+
+ORACLE = build_synth(build_regression(build()))

@@ -12,3 +12,10 @@ ENTROPY_BINS = 10
 ENTROPY_THRESHOLD = 1.0  # meters at or below are "predictable"
 TOP_TAGGED = 10
 DIGITS = 6             # doubles are rounded to this many decimals in query outputs
+
+# generator
+SYNTH_DAYS = 7
+SYNTH_START = "2024-02-01"
+PEAKY_RATIO = 1.5
+SYNTH_SEED = 7
+SYNTH_PARTITIONS = 8
