@@ -298,3 +298,53 @@ QUERIES.update({
     "synth_thermal": q_synth_thermal,
     "synth_daily": q_synth_daily,
 })
+
+
+# --------------------------------------------------------------------------- text round trip, slices
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import text as tx  # noqa: E402
+
+
+def q_export_roundtrip(spark, sf):
+    """Writes points, seed centroids, profiles and weather rows in their text formats to a
+    fresh folder under the checkpoint location, reads them back and summarises them."""
+    base = scratch_path(spark, "roundtrip")
+    pts = cached(points(spark, sf))
+    w = weather(spark, sf)
+    prof = pf.profile_arrays(pf.activity_profile(w))
+    tx.write_points(pts, f"{base}/points", sort=True)
+    tx.write_centroids(pool(pts), f"{base}/centroids")
+    tx.write_profiles(prof, f"{base}/profiles")
+    tx.write_weather(w, f"{base}/weather")
+    rp = tx.read_points(spark, f"{base}/points")
+    rc = tx.read_centroids(spark, f"{base}/centroids")
+    rpr = tx.read_profiles(spark, f"{base}/profiles")
+    rw = tx.read_weather(spark, f"{base}/weather")
+
+    def summary(name, df, value):
+        return df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
+                      F.round(F.sum(value), 3).alias("checksum"))
+
+    return (summary("points", rp, S.array_sum("x"))
+            .unionByName(summary("centroids", rc, S.array_sum("c")))
+            .unionByName(summary("profiles", rpr, S.array_sum("mean") + S.array_sum("sd")))
+            .unionByName(summary("weather", rw, F.col("reading") + F.col("temperature"))))
+
+
+def q_meter_slice(spark, sf):
+    """One meter's hourly consumption over the first week: the filter and the projection
+    reach the parquet scan. The meter is the largest consumer (found by an aggregate)."""
+    ev = events(spark, sf)
+    top = ev.groupBy("user_id").agg(F.sum("value").alias("_s")).agg(
+        F.max_by("user_id", F.struct("_s", F.col("user_id")))).first()[0]
+    sl = pr.meter_slice(ev.withColumnRenamed("user_id", "meter_id"), top,
+                        "2024-01-01 00:00:00", "2024-01-07 23:59:59", ts_col="ts")
+    return sl.groupBy("meter_id", F.date_trunc("hour", "ts").alias("read_ts")).agg(
+        _r(F.sum("value"), "reading"), F.count(F.lit(1)).alias("events"))
+
+
+QUERIES.update({
+    "export_roundtrip": q_export_roundtrip,
+    "meter_slice": q_meter_slice,
+})

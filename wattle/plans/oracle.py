@@ -430,3 +430,25 @@ FROM synth GROUP BY series_id, day_index""")
 
 
 ORACLE = build_synth(build_regression(build()))
+
+
+def build_io(q: dict) -> dict:
+    mean_slots = ", ".join(f"coalesce(max(CASE WHEN hour = {h} THEN {{c}} END), 0.0)" for h in range(DAY))
+    ctes = pool() + profile() + [
+        ("profarr", f"SELECT meter_id, [{mean_slots.format(c='mean')}] AS mean, [{mean_slots.format(c='sd')}] AS sd "
+                    "FROM profile GROUP BY meter_id"),
+    ]
+    q["export_roundtrip"] = _with(ctes, f"""SELECT 'points' AS "table", count(*) AS rows, round(sum({lsum('x')}), 3) AS checksum FROM pts{P.WINDOW}
+UNION ALL SELECT 'centroids', count(*), round(sum({lsum('c')}), 3) FROM pool
+UNION ALL SELECT 'profiles', count(*), round(sum({lsum('mean')} + {lsum('sd')}), 3) FROM profarr
+UNION ALL SELECT 'weather', count(*), round(sum(reading + temperature), 3) FROM weather""")
+    q["meter_slice"] = f"""WITH top AS (SELECT arg_max(user_id, (s, user_id)) AS m FROM
+  (SELECT user_id, sum(value) AS s FROM events GROUP BY user_id))
+SELECT user_id AS meter_id, date_trunc('hour', ts) AS read_ts, {r('sum(value)')} AS reading, count(*) AS events
+FROM events WHERE user_id = (SELECT m FROM top)
+  AND ts BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-07 23:59:59'
+GROUP BY 1, 2"""
+    return q
+
+
+ORACLE = build_io(ORACLE)
