@@ -73,11 +73,9 @@ def meter_lines(events: DataFrame) -> DataFrame:
         F.when(k % FAULT_UTC_OFFSET == 0, F.lit("-06")).otherwise(F.lit("")),
     )
     line = F.concat_ws("\t", F.col("meter_id").cast("string"), ts, reading)
-    return (
-        _hours(events)
-        .select(line.alias("line"), F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy"))
-        .select("line")
-    )
+    # The text is built before the copies are exploded, so a parse filter downstream stays
+    # above the generator and never re-derives the text per predicate.
+    return _hours(events).select(F.explode(F.array_repeat(line, copies)).alias("line"))
 
 
 def temperature_formula(meter_id, day, hour) -> F.Column:
