@@ -96,6 +96,17 @@ def sq_distance(a, b, check: bool = True) -> Column:
     return d2
 
 
+def sq_distance_unrolled(a, b: list) -> Column:
+    """``sq_distance`` for a fixed length ``len(b)`` written as scalar arithmetic (compiled by
+    whole-stage codegen instead of interpreted lambdas); same left-to-right order."""
+    a = _col(a)
+    acc = F.lit(0.0)
+    for i, bi in enumerate(b):
+        u = a[i]
+        acc = acc + F.when(F.isnan(u) | F.isnan(bi), F.lit(0.0)).otherwise((u - bi) * (u - bi))
+    return acc
+
+
 def euclidean(a, b, check: bool = True) -> Column:
     return F.sqrt(sq_distance(a, b, check))
 

@@ -21,7 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shapes import DAY, crop, normalize, shift_candidates, sq_distance
+from ..functions.kernels import assign_udf
+from ..functions.shapes import DAY, crop, normalize, shift_candidates, sq_distance, sq_distance_unrolled
 from ..session import cached
 
 Model = dict  # cid -> (n, list[float])
@@ -64,7 +65,13 @@ def model_frame(spark, model: Model) -> DataFrame:
 # assign / update
 # ---------------------------------------------------------------------------------------
 
-def assign(points: DataFrame, model: Model, max_shift: int = 1, length: int = DAY) -> DataFrame:
+# "arrow": vectorised numpy kernel over Arrow batches (bit-identical to "sql", ~10x faster);
+# "sql": pure higher-order array expressions (no Python worker).
+ASSIGN_METHOD = "arrow"
+
+
+def assign(points: DataFrame, model: Model, max_shift: int = 1, length: int = DAY,
+           method: str | None = None) -> DataFrame:
     """Assign every point to its nearest centroid under the K-SC distance.
 
     For each shift q in [-max_shift, max_shift] the point is rotated, centre-cropped to
@@ -75,6 +82,13 @@ def assign(points: DataFrame, model: Model, max_shift: int = 1, length: int = DA
     """
     if not model:
         raise ValueError("empty model")
+    method = method or ASSIGN_METHOD
+    if method == "arrow":
+        best = assign_udf(model, max_shift, length)(F.col("x"))
+        return points.withColumn("_best", best).select(
+            *points.columns,
+            *[F.col(f"_best.{c}").alias(c) for c in ("cid", "q", "dist", "z")],
+        )
     cents = model_literal(model)
     scored = F.flatten(
         F.transform(
@@ -186,12 +200,11 @@ def evaluate(assigned: DataFrame, model: Model, k_requested: int, length: int =
     """
     n_total, mu = overall_centroid(model, length)
     ssb = sum(n * _sqdist_py(c, mu) for n, c in model.values())
-    mu_lit = F.array(*[F.lit(v) for v in mu])
     own = F.element_at(centroid_lookup(model), F.col("cid"))
-    agg = assigned.agg(
+    agg = assigned.withColumn("_own", own).agg(
         F.count(F.lit(1)).alias("n_points"),
-        F.sum(sq_distance(F.col("z"), mu_lit)).alias("sst"),
-        F.sum(sq_distance(F.col("z"), own)).alias("ssw"),
+        F.sum(sq_distance_unrolled(F.col("z"), [F.lit(v) for v in mu])).alias("sst"),
+        F.sum(sq_distance_unrolled(F.col("z"), [F.col("_own")[i] for i in range(length)])).alias("ssw"),
     )
     k = F.lit(int(k_requested))
     return agg.select(
