@@ -11,9 +11,12 @@ below 5 C) gets all-zero coefficients and ``fallback = true``. The activity load
 the temperature part: ``reading - b4 x4 - b5 x5 - b6 x6`` (intercept and lags stay), and
 its mean and population standard deviation per (meter, hour) form the profile.
 
-Plan: one shuffle on (meter_id, hour) for the lag window; the moment aggregate, the join
-back to the rows and the profile aggregate all reuse that partitioning. A group holds one
-row per day, so a busy meter cannot make a group large.
+Plan: one shuffle on (meter_id, hour) for the lag window, then one aggregate on the same
+partitioning that gathers both the regression moments (observation rows) and the
+whole-group moments of reading and temperature terms. The activity load is linear in
+them, so its mean and population variance follow in closed form from the betas: no join
+back to the rows and no second pass. A group holds one row per day, so a busy meter
+cannot make a group large.
 """
 
 from __future__ import annotations
@@ -43,10 +46,7 @@ def with_lags(weather: DataFrame) -> DataFrame:
     return weather.withColumns({f"lag{i}": F.lag("reading", i).over(w) for i in (1, 2, 3)})
 
 
-def fit_betas(weather: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """``meter_id, hour, n_obs, b0..b6, fallback`` from weather readings
-    (``meter_id, read_date, hour, reading, temperature``)."""
-    rows = rows if rows is not None else with_temperature_terms(with_lags(weather))
+def _moments(rows: DataFrame) -> DataFrame:
     has = F.col("lag3").isNotNull()
     # Only rows with all three lags are observations; mask every regressor to them.
     xs = {i: F.when(has, F.col(c)) for i, c in
@@ -59,37 +59,63 @@ def fit_betas(weather: DataFrame, rows: DataFrame | None = None) -> DataFrame:
             if i <= j:
                 aggs.append(F.covar_pop(xs[i], xs[j]).alias(f"_s{i}{j}"))
         aggs.append(F.covar_pop(xs[i], y).alias(f"_t{i}"))
-    g = rows.groupBy(*KEY).agg(*aggs)
-    idx = list(xs)
-    s = {(a, b): f"_s{idx[a]}{idx[b]}" for a in range(len(idx)) for b in range(len(idx)) if a <= b}
+    # whole-group moments (every row, first days included) for the activity load
+    r, t = F.col("reading"), {k: F.col(f"x{k}") for k in (4, 5, 6)}
+    aggs += [F.avg(r).alias("_ar"), F.var_pop(r).alias("_vr")]
+    aggs += [F.avg(t[k]).alias(f"_a{k}") for k in t]
+    aggs += [F.covar_pop(r, t[k]).alias(f"_cr{k}") for k in t]
+    aggs += [F.covar_pop(t[k], t[l]).alias(f"_c{k}{l}") for k in t for l in t if k <= l]
+    return rows.groupBy(*KEY).agg(*aggs)
+
+
+def _solve(g: DataFrame) -> DataFrame:
+    idx = [1, 2, 3, 4, 5, 6]
+    s = {(a, b): f"_s{idx[a]}{idx[b]}" for a in range(6) for b in range(6) if a <= b}
     g = solve_ldl(g, s, [f"_t{i}" for i in idx], BETAS[1:], PIVOT_TOL)
     intercept = F.col("_my")
     for i in idx:
         intercept = intercept - F.col(f"b{i}") * F.col(f"_m{i}")
     ok = (F.col("n_obs") >= MIN_OBS) & F.col("_solved")
-    return g.select(
-        *KEY,
-        "n_obs",
-        *[F.when(ok, c).otherwise(F.lit(0.0)).alias(name)
-          for name, c in [("b0", intercept)] + [(f"b{i}", F.col(f"b{i}")) for i in idx]],
-        (~ok).alias("fallback"),
-    )
+    return g.withColumns({
+        **{name: F.when(ok, c).otherwise(F.lit(0.0))
+           for name, c in [("b0", intercept)] + [(f"b{i}", F.col(f"b{i}")) for i in idx]},
+        "fallback": ~ok,
+    })
 
 
-def activity(weather: DataFrame) -> DataFrame:
-    """Rows with ``activity`` = reading minus the fitted temperature-driven load."""
-    rows = with_temperature_terms(with_lags(weather))
-    betas = fit_betas(weather, rows)
-    joined = rows.join(betas, KEY)
-    act = F.col("reading") - F.col("b4") * F.col("x4") - F.col("b5") * F.col("x5") - F.col("b6") * F.col("x6")
-    return joined.withColumn("activity", act)
+def fit_betas(weather: DataFrame) -> DataFrame:
+    """``meter_id, hour, n_obs, b0..b6, fallback`` from weather readings
+    (``meter_id, read_date, hour, reading, temperature``)."""
+    g = _solve(_moments(with_temperature_terms(with_lags(weather))))
+    return g.select(*KEY, "n_obs", *BETAS, "fallback")
 
 
 def activity_profile(weather: DataFrame) -> DataFrame:
-    """``meter_id, hour, mean, sd`` (population sd) of the activity load."""
-    return activity(weather).groupBy(*KEY).agg(
-        F.avg("activity").alias("mean"), F.stddev_pop("activity").alias("sd")
-    )
+    """``meter_id, hour, mean, sd`` (population sd) of the activity load.
+
+    activity = reading - b4 x4 - b5 x5 - b6 x6, so over a group
+    mean = E[r] - sum b_k E[x_k] and var = var(r) - 2 sum b_k cov(r, x_k)
+    + sum_k sum_l b_k b_l cov(x_k, x_l).
+    """
+    g = _solve(_moments(with_temperature_terms(with_lags(weather))))
+    b = {k: F.col(f"b{k}") for k in (4, 5, 6)}
+    mean = F.col("_ar")
+    var = F.col("_vr")
+    for k in b:
+        mean = mean - b[k] * F.col(f"_a{k}")
+        var = var - F.lit(2.0) * b[k] * F.col(f"_cr{k}")
+    for k in b:
+        for l in b:
+            var = var + b[k] * b[l] * F.col(f"_c{min(k, l)}{max(k, l)}")
+    return g.select(*KEY, mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"))
+
+
+def activity(weather: DataFrame) -> DataFrame:
+    """Per-row activity load (``reading`` minus the fitted temperature-driven load)."""
+    rows = with_temperature_terms(with_lags(weather))
+    betas = fit_betas(weather)
+    act = F.col("reading") - F.col("b4") * F.col("x4") - F.col("b5") * F.col("x5") - F.col("b6") * F.col("x6")
+    return rows.join(betas, KEY).withColumn("activity", act)
 
 
 def profile_arrays(profile: DataFrame, hours: int = 24) -> DataFrame:
