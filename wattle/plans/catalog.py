@@ -340,7 +340,9 @@ def q_meter_slice(spark, sf):
         F.max_by("user_id", F.struct("_s", F.col("user_id")))).first()[0]
     sl = pr.meter_slice(ev.withColumnRenamed("user_id", "meter_id"), top,
                         "2024-01-01 00:00:00", "2024-01-07 23:59:59", ts_col="ts")
-    return sl.groupBy("meter_id", F.date_trunc("hour", "ts").alias("read_ts")).agg(
+    hour_ts = F.make_timestamp_ntz(F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.hour("ts"),
+                                   F.lit(0), F.lit(0))  # wall-clock hour, independent of the session zone
+    return sl.groupBy("meter_id", hour_ts.alias("read_ts")).agg(
         _r(F.sum("value"), "reading"), F.count(F.lit(1)).alias("events"))
 
 
