@@ -300,20 +300,19 @@ def tag_points(assigned: DataFrame, length: int = DAY) -> DataFrame:
 def meter_entropy(assigned: DataFrame) -> DataFrame:
     """Per meter: ``-sum p ln p`` over the share of its days in each cluster.
 
-    ``meter_id, n_days, n_clusters, entropy`` (0.0, never -0.0, for a single cluster).
+    ``meter_id, n_days, n_clusters, entropy`` (exactly 0.0 for a single cluster). Two
+    partial aggregates, no window: with n_k days in cluster k and T = sum n_k,
+    -sum (n_k/T) ln(n_k/T) = ln T - sum n_k ln n_k / T.
     """
     per = assigned.groupBy("meter_id", "cid").agg(F.count(F.lit(1)).alias("_n"))
-    tot = F.sum("_n").over(Window.partitionBy("meter_id"))
-    p = F.col("_n") / F.col("_t")
-    return (
-        per.withColumn("_t", tot)
-        .groupBy("meter_id")
-        .agg(
-            F.first("_t").alias("n_days"),
-            F.count(F.lit(1)).alias("n_clusters"),
-            (-F.sum(p * F.log(p)) + F.lit(0.0)).alias("entropy"),
-        )
+    g = per.groupBy("meter_id").agg(
+        F.sum("_n").alias("n_days"),
+        F.count(F.lit(1)).alias("n_clusters"),
+        F.sum(F.col("_n") * F.log(F.col("_n").cast("double"))).alias("_s"),
     )
+    h = F.log(F.col("n_days").cast("double")) - F.col("_s") / F.col("n_days")
+    return g.select("meter_id", "n_days", "n_clusters",
+                    F.when(F.col("n_clusters") == 1, F.lit(0.0)).otherwise(F.greatest(h, F.lit(0.0))).alias("entropy"))
 
 
 def entropy_histogram(entropy: DataFrame, bins: int = 10) -> DataFrame:
