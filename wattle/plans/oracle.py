@@ -194,7 +194,7 @@ def fitted():
 
 
 def entropy():
-    sql = """SELECT meter_id, sum(n) AS n_days, count(*) AS n_clusters,
+    sql = """SELECT meter_id, CAST(sum(n) AS BIGINT) AS n_days, count(*) AS n_clusters,
   -sum((n / t) * ln(n / t)) + 0.0 AS entropy FROM (
   SELECT meter_id, cid, n, sum(n) OVER (PARTITION BY meter_id) AS t FROM (
     SELECT meter_id, cid, count(*) AS n FROM f_asg GROUP BY 1, 2))
