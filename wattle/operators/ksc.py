@@ -251,6 +251,7 @@ def sweep(points: DataFrame, pool: DataFrame, k_start: int, k_end: int, least_co
         raise ValueError("need 1 <= k_start <= k_end")
     table = []
     res = assigned = None
+    pool = cached(pool)  # at most a few hundred rows, sampled once per K
     for k in range(k_start, k_end + 1):
         seeds = collect_model(sample_seeds(pool, k))
         res = fit(points, seeds, max_iter, delta, max_shift, length)
@@ -283,7 +284,8 @@ def centroid_shares(centroids: DataFrame) -> DataFrame:
     Runs on the centroid table (at most a few hundred rows), so the global window is cheap.
     """
     total = F.sum("n").over(Window.partitionBy())
-    return centroids.select("cid", "n", (F.lit(100.0) * F.col("n") / total).alias("share"), "c")
+    return (centroids.select("cid", "n", (F.lit(100.0) * F.col("n") / total).alias("share"), "c")
+            .orderBy(F.desc("share"), "cid"))
 
 
 def tag_points(assigned: DataFrame, length: int = DAY) -> DataFrame:
