@@ -57,12 +57,14 @@ def slopes(row: int = 0) -> tuple[float, float, float]:
 
 
 def dense_index(df: DataFrame, key: str, buckets: int = NUMBERING_BUCKETS) -> DataFrame:
-    """Adds ``idx`` = 0..n-1, a bijection onto the rows ordered by (key mod buckets, key).
+    """Adds ``idx`` = 0..n-1, a bijection onto the rows ordered by (bucket, key).
 
-    Distributed: rows are ranked inside ``buckets`` hash groups (one shuffle) and offset
-    by the running count of the groups before them (at most ``buckets`` rows, broadcast).
+    Distributed: rows are ranked inside ``buckets`` md5 buckets of the key (one shuffle;
+    md5 spreads any id pattern evenly) and offset by the running count of the buckets
+    before them (at most ``buckets`` rows, broadcast).
     """
-    b = F.pmod(F.col(key), F.lit(buckets))
+    b = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"),
+               F.lit(buckets))
     with_b = df.withColumn("_b", b)
     counts = with_b.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
     # at most `buckets` rows: the running sum is a single small task

@@ -384,7 +384,8 @@ def synthetic():
     mean_slots = ", ".join(f"coalesce(max(CASE WHEN hour = {h} THEN mean END), 0.0)" for h in range(DAY))
     ctes = profile() + [
         ("prof", f"SELECT meter_id, [{mean_slots}] AS mean FROM profile GROUP BY meter_id"),
-        ("prof_b", f"SELECT *, ((meter_id % {nb}) + {nb}) % {nb} AS b FROM prof"),
+        ("prof_b", f"SELECT *, CAST(('0x' || substr(md5(CAST(meter_id AS VARCHAR)), 1, 8))::UBIGINT % {nb} AS BIGINT) AS b "
+                   "FROM prof"),
         ("prof_off", "SELECT b, coalesce(sum(cnt) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off "
                      "FROM (SELECT b, count(*) AS cnt FROM prof_b GROUP BY b)"),
         ("numbered", "SELECT meter_id, mean, off + row_number() OVER (PARTITION BY b ORDER BY meter_id) - 1 AS idx "
