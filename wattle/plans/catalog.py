@@ -350,3 +350,23 @@ QUERIES.update({
     "export_roundtrip": q_export_roundtrip,
     "meter_slice": q_meter_slice,
 })
+
+
+def q_cluster_members(spark, sf):
+    """Points tagged with the largest cluster of the fit (ties: lowest cid)."""
+    _, res, assigned = fitted(spark, sf)
+    top = min(res.model.items(), key=lambda kv: (-kv[1][0], kv[0]))[0]
+    return ksc.tag_points(assigned).where(F.col("cid") == top).select(
+        "meter_id", "day", "cid", _r(F.array_max("original"), "peak_share"))
+
+
+def q_activity_load(spark, sf):
+    """Row-level activity load: readings joined with their (meter, hour) model."""
+    a = pf.activity(weather(spark, sf))
+    return a.select("meter_id", "read_date", "hour", _r("reading"), _r("activity"), "fallback")
+
+
+QUERIES.update({
+    "cluster_members": q_cluster_members,
+    "activity_load": q_activity_load,
+})

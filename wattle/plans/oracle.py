@@ -453,3 +453,18 @@ GROUP BY 1, 2"""
 
 
 ORACLE = build_io(ORACLE)
+
+
+def build_more(q: dict) -> dict:
+    orig = normalize(crop_expr("x", P.WINDOW))
+    q["cluster_members"] = _with(fitted() + [
+        ("top", "SELECT cid FROM f_model ORDER BY n DESC, cid LIMIT 1"),
+    ], f"""SELECT a.meter_id, a.day, a.cid, {r('list_max(' + orig + ')')} AS peak_share
+FROM f_asg a JOIN pts{P.WINDOW} p USING (meter_id, day) WHERE a.cid = (SELECT cid FROM top)""")
+    q["activity_load"] = _with(betas(), f"""SELECT l.meter_id, l.read_date, l.hour, {r('l.reading')} AS reading,
+  {r('l.reading - b.b4 * l.x4 - b.b5 * l.x5 - b.b6 * l.x6')} AS activity, b.fallback
+FROM lags l JOIN betas b USING (meter_id, hour)""")
+    return q
+
+
+ORACLE = build_more(ORACLE)
