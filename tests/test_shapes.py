@@ -88,7 +88,8 @@ def test_let_binding_evaluates_once_semantics(spark):
 
 def test_sq_distance_unrolled_matches(spark):
     a, b = [0.1 * i for i in range(24)], [0.05 * i * i for i in range(24)]
-    u = one(spark, S.sq_distance_unrolled(F.col("a"), [F.lit(v) for v in b]), a=a)
+    from wattle.functions.literals import sql_double
+    u = one(spark, S.sq_distance_unrolled("a", [sql_double(v) for v in b]), a=a)
     v = one(spark, S.sq_distance("a", "b"), a=a, b=b)
     assert u == v
     assert math.isclose(u, sum((p - q) ** 2 for p, q in zip(a, b)), rel_tol=1e-12)

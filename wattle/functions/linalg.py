@@ -2,13 +2,14 @@
 
 Used for per-group least squares: the groups' moment matrices come from one
 ``groupBy().agg(covar_pop…)`` and are solved here row-wise, inside whole-stage codegen,
-with no Python worker and no per-group collection of rows.
+with no Python worker and no per-group collection of rows. The expressions are emitted as
+SQL text, one projection per elimination level, so building the plan costs a handful of
+driver calls instead of thousands.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def solve_ldl(df: DataFrame, s: dict, t: list[str], out: list[str], tol: float = 1e-10,
@@ -17,43 +18,28 @@ def solve_ldl(df: DataFrame, s: dict, t: list[str], out: list[str], tol: float =
 
     ``s[(i, j)]`` (i <= j) and ``t[i]`` name columns. LDL^T without pivoting; a pivot
     ``d_i <= tol * S_ii`` (a zero, constant or collinear regressor) makes the row
-    unsolvable: its ``out`` columns are null and ``ok_col`` is false. Each elimination level
-    is one projection, so expressions stay linear in size.
+    unsolvable: its ``out`` columns are null and ``ok_col`` is false. Level i computes the
+    pivot d_i, the multipliers L_ji (j > i) and the forward substitution w_i.
     """
     k = len(t)
 
     def S(i, j):
-        return F.col(s[(min(i, j), max(i, j))])
+        return f"`{s[(min(i, j), max(i, j))]}`"
 
-    L = lambda j, i: F.col(f"_l{j}_{i}")
-    d = lambda i: F.col(f"_d{i}")
     for i in range(k):
-        acc = S(i, i)
-        for m in range(i):
-            acc = acc - L(i, m) * L(i, m) * d(m)
-        piv = F.when(acc > F.lit(tol) * S(i, i), acc)
-        df = df.withColumn(f"_d{i}", piv)
-        cols = {}
+        acc = S(i, i) + "".join(f" - _l{i}_{m} * _l{i}_{m} * _d{m}" for m in range(i))
+        exprs = [f"CASE WHEN ({acc}) > {tol!r} * {S(i, i)} THEN ({acc}) END AS _d{i}"]
+        df = df.selectExpr("*", *exprs)
+        exprs = []
         for j in range(i + 1, k):
-            acc = S(j, i)
-            for m in range(i):
-                acc = acc - L(j, m) * L(i, m) * d(m)
-            cols[f"_l{j}_{i}"] = acc / d(i)
-        if cols:
-            df = df.withColumns(cols)
-    for i in range(k):  # forward: L w = t
-        acc = F.col(t[i])
-        for m in range(i):
-            acc = acc - L(i, m) * F.col(f"_w{m}")
-        df = df.withColumn(f"_w{i}", acc)
+            num = S(j, i) + "".join(f" - _l{j}_{m} * _l{i}_{m} * _d{m}" for m in range(i))
+            exprs.append(f"({num}) / _d{i} AS _l{j}_{i}")
+        exprs.append(f"`{t[i]}`" + "".join(f" - _l{i}_{m} * _w{m}" for m in range(i)) + f" AS _w{i}")
+        df = df.selectExpr("*", *exprs)
     for i in reversed(range(k)):  # back: D L^T b = w
-        acc = F.col(f"_w{i}") / d(i)
-        for m in range(i + 1, k):
-            acc = acc - L(m, i) * F.col(out[m])
-        df = df.withColumn(out[i], acc)
-    ok = F.lit(True)
-    for i in range(k):
-        ok = ok & d(i).isNotNull()
+        acc = f"_w{i} / _d{i}" + "".join(f" - _l{m}_{i} * `{out[m]}`" for m in range(i + 1, k))
+        df = df.selectExpr("*", f"{acc} AS `{out[i]}`")
+    ok = " AND ".join(f"_d{i} IS NOT NULL" for i in range(k))
     tmp = [f"_d{i}" for i in range(k)] + [f"_w{i}" for i in range(k)] + \
           [f"_l{j}_{i}" for i in range(k) for j in range(i + 1, k)]
-    return df.withColumn(ok_col, ok).drop(*tmp)
+    return df.selectExpr("*", f"({ok}) AS `{ok_col}`").drop(*tmp)

@@ -96,15 +96,16 @@ def sq_distance(a, b, check: bool = True) -> Column:
     return d2
 
 
-def sq_distance_unrolled(a, b: list) -> Column:
+def sq_distance_unrolled(a: str, b: list) -> Column:
     """``sq_distance`` for a fixed length ``len(b)`` written as scalar arithmetic (compiled by
-    whole-stage codegen instead of interpreted lambdas); same left-to-right order."""
-    a = _col(a)
-    acc = F.lit(0.0)
+    whole-stage codegen instead of interpreted lambdas); same left-to-right order.
+
+    ``a`` names an array column; ``b`` holds SQL expressions (literals or column refs)."""
+    acc = "0.0D"
     for i, bi in enumerate(b):
-        u = a[i]
-        acc = acc + F.when(F.isnan(u) | F.isnan(bi), F.lit(0.0)).otherwise((u - bi) * (u - bi))
-    return acc
+        u = f"`{a}`[{i}]"
+        acc = f"({acc} + CASE WHEN isnan({u}) OR isnan({bi}) THEN 0.0D ELSE ({u} - {bi}) * ({u} - {bi}) END)"
+    return F.expr(acc)
 
 
 def euclidean(a, b, check: bool = True) -> Column:

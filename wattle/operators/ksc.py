@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import assign_udf
+from ..functions.literals import sql_array, sql_double
 from ..functions.shapes import DAY, crop, normalize, shift_candidates, sq_distance, sq_distance_unrolled
 from ..session import cached
 
@@ -34,21 +35,16 @@ Model = dict  # cid -> (n, list[float])
 
 def model_literal(model: Model) -> Column:
     """``ARRAY<STRUCT<cid INT, c ARRAY<DOUBLE>>>`` ordered by cid."""
-    return F.array(
-        *[
-            F.struct(F.lit(int(cid)).alias("cid"), F.array(*[F.lit(float(v)) for v in c]).alias("c"))
-            for cid, (_, c) in sorted(model.items())
-        ]
-    )
+    items = ", ".join(f"named_struct('cid', {int(cid)}, 'c', {sql_array(c)})" for cid, (_, c) in sorted(model.items()))
+    return F.expr(f"array({items})")
 
 
 def centroid_lookup(model: Model) -> Column:
     """``MAP<INT, ARRAY<DOUBLE>>`` literal for cid -> centroid."""
     items = sorted(model.items())
-    return F.map_from_arrays(
-        F.array(*[F.lit(int(cid)) for cid, _ in items]),
-        F.array(*[F.array(*[F.lit(float(v)) for v in c]) for _, (_, c) in items]),
-    )
+    keys = ", ".join(str(int(cid)) for cid, _ in items)
+    vals = ", ".join(sql_array(c) for _, (_, c) in items)
+    return F.expr(f"map_from_arrays(array({keys}), array({vals}))")
 
 
 def collect_model(centroids: DataFrame) -> Model:
@@ -124,7 +120,7 @@ def update(assigned: DataFrame, length: int = DAY) -> DataFrame:
     """
     return assigned.groupBy("cid").agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(F.col("z")[i]) for i in range(length)]).alias("c"),
+        F.expr("array(" + ", ".join(f"avg(z[{i}])" for i in range(length)) + ")").alias("c"),
     )
 
 
@@ -203,8 +199,8 @@ def evaluate(assigned: DataFrame, model: Model, k_requested: int, length: int =
     own = F.element_at(centroid_lookup(model), F.col("cid"))
     agg = assigned.withColumn("_own", own).agg(
         F.count(F.lit(1)).alias("n_points"),
-        F.sum(sq_distance_unrolled(F.col("z"), [F.lit(v) for v in mu])).alias("sst"),
-        F.sum(sq_distance_unrolled(F.col("z"), [F.col("_own")[i] for i in range(length)])).alias("ssw"),
+        F.sum(sq_distance_unrolled("z", [sql_double(v) for v in mu])).alias("sst"),
+        F.sum(sq_distance_unrolled("z", [f"_own[{i}]" for i in range(length)])).alias("ssw"),
     )
     k = F.lit(int(k_requested))
     return agg.select(

@@ -71,7 +71,8 @@ def complete_days(readings: DataFrame, strict: bool = True) -> DataFrame:
         F.count(F.lit(1)).alias("_n"),
         F.bit_or(F.expr("shiftleft(1, hour)")).alias("_mask"),
         F.sum("reading").alias("_total"),
-        F.array(*[F.max(F.when(F.col("hour") == h, F.col("reading"))) for h in range(HOURS)]).alias("x"),
+        F.expr("array(" + ", ".join(f"max(CASE WHEN hour = {h} THEN reading END)" for h in range(HOURS))
+               + ")").alias("x"),
     )
     keep = (F.col("_n") == HOURS) & _finite_positive(F.col("_total"))
     if strict:

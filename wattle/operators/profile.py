@@ -47,25 +47,23 @@ def with_lags(weather: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    has = F.col("lag3").isNotNull()
     # Only rows with all three lags are observations; mask every regressor to them.
-    xs = {i: F.when(has, F.col(c)) for i, c in
+    xs = {i: f"CASE WHEN lag3 IS NOT NULL THEN {c} END" for i, c in
           [(1, "lag1"), (2, "lag2"), (3, "lag3"), (4, "x4"), (5, "x5"), (6, "x6")]}
-    y = F.when(has, F.col("reading"))
-    aggs = [F.count(y).alias("n_obs"), F.avg(y).alias("_my")]
-    aggs += [F.avg(xs[i]).alias(f"_m{i}") for i in xs]
+    y = "CASE WHEN lag3 IS NOT NULL THEN reading END"
+    aggs = [f"count({y}) AS n_obs", f"avg({y}) AS _my"]
+    aggs += [f"avg({xs[i]}) AS _m{i}" for i in xs]
     for i in xs:
         for j in xs:
             if i <= j:
-                aggs.append(F.covar_pop(xs[i], xs[j]).alias(f"_s{i}{j}"))
-        aggs.append(F.covar_pop(xs[i], y).alias(f"_t{i}"))
+                aggs.append(f"covar_pop({xs[i]}, {xs[j]}) AS _s{i}{j}")
+        aggs.append(f"covar_pop({xs[i]}, {y}) AS _t{i}")
     # whole-group moments (every row, first days included) for the activity load
-    r, t = F.col("reading"), {k: F.col(f"x{k}") for k in (4, 5, 6)}
-    aggs += [F.avg(r).alias("_ar"), F.var_pop(r).alias("_vr")]
-    aggs += [F.avg(t[k]).alias(f"_a{k}") for k in t]
-    aggs += [F.covar_pop(r, t[k]).alias(f"_cr{k}") for k in t]
-    aggs += [F.covar_pop(t[k], t[l]).alias(f"_c{k}{l}") for k in t for l in t if k <= l]
-    return rows.groupBy(*KEY).agg(*aggs)
+    aggs += ["avg(reading) AS _ar", "var_pop(reading) AS _vr"]
+    aggs += [f"avg(x{k}) AS _a{k}" for k in (4, 5, 6)]
+    aggs += [f"covar_pop(reading, x{k}) AS _cr{k}" for k in (4, 5, 6)]
+    aggs += [f"covar_pop(x{k}, x{l}) AS _c{k}{l}" for k in (4, 5, 6) for l in (4, 5, 6) if k <= l]
+    return rows.groupBy(*KEY).agg(*[F.expr(a) for a in aggs])
 
 
 def _solve(g: DataFrame) -> DataFrame:
@@ -121,6 +119,6 @@ def activity(weather: DataFrame) -> DataFrame:
 def profile_arrays(profile: DataFrame, hours: int = 24) -> DataFrame:
     """``meter_id, mean ARRAY<DOUBLE>, sd ARRAY<DOUBLE>`` with 0.0 for missing hours."""
     def slots(c):
-        return F.array(*[F.coalesce(F.max(F.when(F.col("hour") == h, F.col(c))), F.lit(0.0))
-                         for h in range(hours)])
+        return F.expr("array(" + ", ".join(f"coalesce(max(CASE WHEN hour = {h} THEN `{c}` END), 0.0D)"
+                                           for h in range(hours)) + ")")
     return profile.groupBy("meter_id").agg(slots("mean").alias("mean"), slots("sd").alias("sd"))

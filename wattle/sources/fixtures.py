@@ -37,11 +37,8 @@ def meter_days(events: DataFrame) -> DataFrame:
         F.hour("ts").alias("hour"),
         "value",
     )
-    slots = [
-        F.round(F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("value"))), F.lit(0.0)), 2)
-        for h in range(HOURS)
-    ]
-    return e.groupBy("meter_id", "day").agg(F.array(*slots).alias("v"))
+    slots = ", ".join(f"round(coalesce(sum(CASE WHEN hour = {h} THEN value END), 0.0D), 2)" for h in range(HOURS))
+    return e.groupBy("meter_id", "day").agg(F.expr(f"array({slots})").alias("v"))
 
 
 def _hours(events: DataFrame) -> DataFrame:
