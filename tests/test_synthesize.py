@@ -58,3 +58,15 @@ def test_dense_index_is_a_bijection(spark):
 def test_float32_slopes():
     s0, s1, s2 = syn.slopes(0)
     assert s0 != -0.0059 and abs(s0 + 0.0059) < 1e-9
+
+
+def test_profile_noise_and_slope_row(spark, inputs):
+    prof, temps = inputs
+    prof_sd = prof.withColumn("sd", F.array_repeat(F.lit(0.0), 24))
+    s = syn.synthesize(prof_sd, temps, 5, 1, "2024-02-01", 1.0, 2, 3, detail=True, noise="profile", slope_row=2)
+    # zero profile sd: activity equals the (non-negative) profile mean exactly
+    r = s.select("seed_meter_id", "i", "activity").collect()
+    means = {row.meter_id: row.mean for row in prof.collect()}
+    assert all(abs(x.activity - max(means[x.seed_meter_id][x.i % 24], 0.0)) < 1e-15 for x in r)
+    with pytest.raises(ValueError):
+        syn.synthesize(prof, temps, 5, 1, "2024-02-01", 1.0, 2, 3, noise="bogus")

@@ -109,12 +109,17 @@ def thermal_load(t, x0, y0, x1, x2, slope_row: int = 0):
 
 def synthesize(profiles: DataFrame, temperatures: DataFrame, n_series: int, n_days: int,
                start_date: str, peaky_ratio: float, parallelism: int = 8, seed: int = 7,
-               detail: bool = False) -> DataFrame:
+               detail: bool = False, noise: str = "constant", slope_row: int = 0) -> DataFrame:
     """``series_id, seed_meter_id, read_ts, load, temperature`` (24 * n_days rows per series).
 
-    ``profiles``: ``meter_id, mean ARRAY<DOUBLE>(24)`` (see ``profile.profile_arrays``).
-    ``temperatures``: ``pos (0..L-1), temperature`` — the temperature seed, cycled.
+    ``profiles``: ``meter_id, mean ARRAY<DOUBLE>(24)`` (+ ``sd`` for ``noise="profile"``; see
+    ``profile.profile_arrays``). ``temperatures``: ``pos (0..L-1), temperature`` — the
+    temperature seed, cycled. ``noise="constant"`` draws activity with sd 0.1 (the reference
+    behaviour); ``"profile"`` uses the profile's own standard deviation for the hour.
+    ``slope_row`` picks the row of ``THERMAL_SLOPES``.
     """
+    if noise not in ("constant", "profile"):
+        raise ValueError("noise must be 'constant' or 'profile'")
     spark = profiles.sparkSession
     n_profiles = profiles.count()
     n_temps = temperatures.count()
@@ -122,7 +127,8 @@ def synthesize(profiles: DataFrame, temperatures: DataFrame, n_series: int, n_da
         raise ValueError("need at least one profile and one seed temperature")
     hours = 24 * n_days
 
-    numbered = dense_index(profiles.select("meter_id", "mean"), "meter_id")
+    prof_cols = ["meter_id", "mean"] + (["sd"] if noise == "profile" else [])
+    numbered = dense_index(profiles.select(*prof_cols), "meter_id")
     params = series_parameters(spark, n_series, n_profiles, parallelism, seed)
     series = params.join(_maybe_broadcast(numbered, n_profiles, PROFILE_ROW_BYTES), "idx")
     if n_profiles * PROFILE_ROW_BYTES > BROADCAST_BYTES:
@@ -131,22 +137,23 @@ def synthesize(profiles: DataFrame, temperatures: DataFrame, n_series: int, n_da
 
     i = F.col("i")
     rows = series.select(
-        "series_id", F.col("meter_id").alias("seed_meter_id"), "mean", "y0", "x1", "x2",
+        "series_id", F.col("meter_id").alias("seed_meter_id"), "mean", *(["sd"] if noise == "profile" else []),
+        "y0", "x1", "x2",
         F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("i"),
     ).withColumn("pos", F.pmod(i, F.lit(n_temps)))
     temps = temperatures.select(F.col("pos").cast("long").alias("pos"), F.col("temperature").alias("_seed_t"))
     rows = rows.join(_maybe_broadcast(temps, n_temps, TEMPERATURE_ROW_BYTES), "pos")
 
     dh = digest(seed, "hour", F.col("series_id"), i)
+    sd = F.element_at("sd", F.pmod(i, F.lit(24)) + 1) if noise == "profile" else F.lit(ACTIVITY_SD)
     rows = rows.withColumns({
         "_d": (i / 24).cast("int"),
         "temperature": F.col("_seed_t") + F.lit(TEMPERATURE_SD) * gaussian(dh, 0),
-        "_act": F.greatest(F.element_at("mean", F.pmod(i, F.lit(24)) + 1) + F.lit(ACTIVITY_SD) * gaussian(dh, 2),
-                           F.lit(0.0)),
+        "_act": F.greatest(F.element_at("mean", F.pmod(i, F.lit(24)) + 1) + sd * gaussian(dh, 2), F.lit(0.0)),
     })
     rows = rows.withColumn("x0", F.min("temperature").over(Window.partitionBy("series_id")))
     rows = rows.withColumn("thermal", thermal_load(F.col("temperature"), F.col("x0"), F.col("y0"),
-                                                   F.col("x1"), F.col("x2")))
+                                                   F.col("x1"), F.col("x2"), slope_row))
     rows = rows.withColumn("_load", F.col("_act") + F.col("thermal"))
     rows = rows.withColumn("_avg", F.avg("_load").over(Window.partitionBy("series_id", "_d")))
     diff = F.col("_load") - F.col("_avg")
