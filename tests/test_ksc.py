@@ -41,7 +41,7 @@ def pts(spark):
 
 def test_assign_is_true_minimum(spark, pts):
     seeds = ksc.collect_model(ksc.sample_seeds(C.pool(pts), 4))
-    for method in ("sql", "arrow"):
+    for method in ("sql", "arrow", "codegen"):
         rows = ksc.assign(pts, seeds, 1, method=method).limit(200).collect()
         for r in rows:
             d, cid, q = brute(list(r.x), seeds, 1)
@@ -54,7 +54,7 @@ def test_tie_goes_to_lowest_cid(spark):
     c = [0.1] * 12 + [0.0] * 12
     model = {2: (1, c), 1: (1, list(c))}
     df = spark.createDataFrame([(1, x)], "meter_id bigint, x array<double>")
-    for method in ("sql", "arrow"):
+    for method in ("sql", "arrow", "codegen"):
         assert ksc.assign(df, model, 1, method=method).first().cid == 1
 
 
