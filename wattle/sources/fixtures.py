@@ -37,6 +37,13 @@ def meter_days(events: DataFrame) -> DataFrame:
         F.hour("ts").alias("hour"),
         "value",
     )
+    # Each (meter, day) row expands 24x downstream (lines, parsing, weather rows), but its
+    # shuffle output is small in bytes, so adaptive coalescing would squeeze the expansion
+    # into a few tasks. An explicit partition count is never coalesced; the aggregate
+    # reuses this partitioning, so it costs no extra exchange.
+    spark = events.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    e = e.repartition(n, "meter_id", "day")
     slots = ", ".join(f"round(coalesce(sum(CASE WHEN hour = {h} THEN value END), 0.0D), 2)" for h in range(HOURS))
     return e.groupBy("meter_id", "day").agg(F.expr(f"array({slots})").alias("v"))
 
