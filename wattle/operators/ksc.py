@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import assign_udf
 from ..functions.literals import sql_array, sql_double
 from ..functions.shapes import DAY, crop, normalize, shift_candidates, sq_distance, sq_distance_unrolled
-from ..session import cached
+from ..session import cached, reliable, spread
 
 Model = dict  # cid -> (n, list[float])
 
@@ -190,10 +190,15 @@ class FitResult:
     history: list = field(default_factory=list)   # (iteration, n_moved, total_moved)
 
 
+def stable(points: DataFrame) -> DataFrame:
+    """Points ready for iterating: spread over the cluster, checkpointed, persisted."""
+    return cached(reliable(spread(points)))
+
+
 def fit(points: DataFrame, seeds: Model, max_iter: int = 10, delta: float = 1e-4,
         max_shift: int = 1, length: int = DAY) -> FitResult:
     """Iterate assign -> update until no centroid moves more than ``delta`` or
-    ``max_iter`` iterations ran. ``points`` should be persisted/checkpointed by the caller."""
+    ``max_iter`` iterations ran. Pass ``stable(points)`` (each iteration scans them)."""
     model = dict(seeds)
     prev = model
     history = []

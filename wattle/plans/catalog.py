@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import shapes as S
 from ..operators import ksc
 from ..operators import prepare as pr
-from ..session import cached, reliable
+from ..session import cached, reliable, spread
 from ..sources import fixtures as fx
 from . import params as P
 
@@ -49,7 +49,7 @@ def points(spark, sf, window=P.WINDOW) -> DataFrame:
 
 def stable_points(spark, sf) -> DataFrame:
     """Points for iterative work: checkpointed (lineage cut) and kept in memory."""
-    return cached(reliable(points(spark, sf)))
+    return ksc.stable(points(spark, sf))
 
 
 def pool(pts: DataFrame) -> DataFrame:

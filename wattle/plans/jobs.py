@@ -17,7 +17,7 @@ import os
 from pyspark.sql import SparkSession
 
 from ..operators import ksc, prepare as pr, profile as pf, synthesize as syn
-from ..session import cached, reliable
+from ..session import cached, parallelism, reliable, spread
 from ..sources import text as tx
 
 
@@ -36,7 +36,7 @@ def ksc_clustering(spark: SparkSession, point_dir: str, centroid_dir: str, out_d
                    max_iter: int = 10, delta: float = 1e-4, min_partitions: int | None = None,
                    max_shift: int = 1, k_start: int = 2, k_end: int = 20,
                    least_coverage: float = 0.5) -> list:
-    points = cached(reliable(tx.read_points(spark, point_dir, min_partitions)))
+    points = cached(reliable(spread(tx.read_points(spark, point_dir), max(min_partitions or 0, parallelism(spark)))))
     pool = tx.read_centroids(spark, centroid_dir)
     res = ksc.sweep(points, pool, k_start, k_end, least_coverage, max_iter, delta, max_shift)
     shares = ksc.centroid_shares(ksc.model_frame(spark, res.fit.model))

@@ -67,3 +67,20 @@ def reliable(df: DataFrame) -> DataFrame:
 
 def cached(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for work that must use the whole cluster: the larger of the configured
+    shuffle partitions and the total task slots."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Round-robin the rows over ``n`` partitions (default: ``parallelism``).
+
+    For inputs of iterative or CPU-heavy stages: adaptive execution sizes partitions by
+    shuffle bytes, which can leave a small-but-expensive table (e.g. the K-SC points) in a
+    single task. An explicit count is kept as is; round-robin after Spark's local sort is
+    deterministic, so a retried task sees the same rows.
+    """
+    return df.repartition(n or parallelism(df.sparkSession))

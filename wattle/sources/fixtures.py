@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.prepare import HOURS
+from ..session import parallelism
 
 # Fault injection for the raw text fixture. A line key
 # k = (meter_id * 1000 + day_of_year) * 24 + hour selects the fault by divisibility,
@@ -41,9 +42,7 @@ def meter_days(events: DataFrame) -> DataFrame:
     # shuffle output is small in bytes, so adaptive coalescing would squeeze the expansion
     # into a few tasks. An explicit partition count is never coalesced; the aggregate
     # reuses this partitioning, so it costs no extra exchange.
-    spark = events.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    e = e.repartition(n, "meter_id", "day")
+    e = e.repartition(parallelism(events.sparkSession), "meter_id", "day")
     slots = ", ".join(f"round(coalesce(sum(CASE WHEN hour = {h} THEN value END), 0.0D), 2)" for h in range(HOURS))
     return e.groupBy("meter_id", "day").agg(F.expr(f"array({slots})").alias("v"))
 
