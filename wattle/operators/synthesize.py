@@ -114,7 +114,7 @@ def synthesize(profiles: DataFrame, temperatures: DataFrame, n_series: int, n_da
 
     ``profiles``: ``meter_id, mean ARRAY<DOUBLE>(24)`` (+ ``sd`` for ``noise="profile"``; see
     ``profile.profile_arrays``). ``temperatures``: ``pos (0..L-1), temperature`` — the
-    temperature seed, cycled. ``noise="constant"`` draws activity with sd 0.1 (the reference
+    temperature seed, cycled. ``noise="constant"`` draws activity with sd 0.1 (the original
     behaviour); ``"profile"`` uses the profile's own standard deviation for the hour.
     ``slope_row`` picks the row of ``THERMAL_SLOPES``.
     """
