@@ -1,16 +1,18 @@
 """K-SC: shift-invariant k-means over normalised daily load shapes.
 
-Model state is at most a few hundred centroids of 24 values (the seed pool holds 100),
-so each iteration ships it to the tasks as a literal array (the DataFrame equivalent of
-a broadcast variable) and gets it back as one aggregated row per cluster:
-
-  assign  : narrow projection over the persisted points, no shuffle, no join
-  update  : groupBy(cid) with partial aggregation -> at most K rows cross the network,
-            so a cluster holding a third of all points costs nothing extra
+Model state is at most a few hundred centroids of 24 values (the seed pool holds 100;
+``MAX_CENTROIDS`` is enforced), so each iteration ships it to the tasks with the task
+closure (the DataFrame equivalent of a broadcast variable) and gets it back as one
+aggregated row per cluster:
+
+  assign  : narrow over the persisted points (Arrow-batched kernel by default), no
+            shuffle, no join
+  update  : groupBy(cid) with partial aggregation -> at most K rows per task cross the
+            network, so a cluster holding a third of all points costs nothing extra
   evaluate: one aggregate pass (SST, SSW) with the final model as literals
 
-The loop's plan has constant size (points + literal model), so lineage does not grow
-with the iteration count, and the points are checkpointed once before the loop.
+The loop's plan has constant size (points + model), so lineage does not grow with the
+iteration count; the points are spread, checkpointed and persisted once (``stable``).
 """
 
 from __future__ import annotations
@@ -61,10 +63,12 @@ def model_frame(spark, model: Model) -> DataFrame:
 # assign / update
 # ---------------------------------------------------------------------------------------
 
-# "arrow": vectorised numpy kernel over Arrow batches (bit-identical to "sql", ~10x faster);
-# "sql": pure higher-order array expressions (no Python worker);
+# "arrow": vectorised numpy kernel over Arrow batches (bit-identical to "sql", ~10x faster)
+# "sql": pure higher-order array expressions (no Python worker)
+# "codegen": unrolled scalar expressions (no Python worker), small models only
 ASSIGN_METHOD = "arrow"
-CODEGEN_MAX_TERMS = 64    # "codegen": unrolled scalar expressions, small models only
+CODEGEN_MAX_TERMS = 64
+MAX_CENTROIDS = 1000      # the model travels with every task; keep it a few hundred KB
 
 
 def assign(points: DataFrame, model: Model, max_shift: int = 1, length: int = DAY,
@@ -79,6 +83,8 @@ def assign(points: DataFrame, model: Model, max_shift: int = 1, length: int = DA
     """
     if not model:
         raise ValueError("empty model")
+    if len(model) > MAX_CENTROIDS:
+        raise ValueError(f"at most {MAX_CENTROIDS} centroids are supported, got {len(model)}")
     method = method or ASSIGN_METHOD
     if method == "arrow":
         best = assign_udf(model, max_shift, length)(F.col("x"))
