@@ -6,7 +6,7 @@ POOL = 100             # seed centroids sampled from the points
 K_FIT = 5              # clusters for the single-K queries
 FIT_ITERS = 3          # iterations of the fixed fit
 DELTA = 1e-4           # convergence: no centroid moved more than this
-SWEEP_START, SWEEP_END, SWEEP_ITERS = 2, 5, 2
+SWEEP_START, SWEEP_END, SWEEP_ITERS = 2, 8, 2
 LEAST_COVERAGE = 0.40  # K sweep stops at the first K reaching this coverage
 ENTROPY_BINS = 10
 ENTROPY_THRESHOLD = 1.0  # meters at or below are "predictable"
