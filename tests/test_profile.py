@@ -78,3 +78,34 @@ def test_profile_arrays_fill_missing_hours(spark):
     p = spark.createDataFrame([(1, 0, 1.0, 0.5), (1, 5, 2.0, 0.1)], "meter_id bigint, hour int, mean double, sd double")
     r = pf.profile_arrays(p).first()
     assert r.mean[0] == 1.0 and r.mean[5] == 2.0 and r.mean[1] == 0.0 and len(r.mean) == 24
+
+
+def test_copies_match_expanded_least_squares(spark):
+    base = weather_rows(30, seed=5)
+    # exact copies: day 7 three times, day 12 twice, and day 20 repeated so that copies hold
+    # a third of all rows
+    rows = list(base) + [base[7]] * 2 + [base[12]] + [base[20]] * 15
+    rows_sorted = sorted(rows, key=lambda r: (r[1], r[3], r[4]))
+    b = pf.fit_betas(frame(spark, rows)).first()
+    X, y = design(rows_sorted)
+    ref = np.linalg.lstsq(X, y, rcond=None)[0]
+    assert b.n_obs == len(rows) - 3 and not b.fallback
+    assert [b[f"b{i}"] for i in range(7)] == pytest.approx(list(ref), rel=1e-7, abs=1e-9)
+    lags = sorted((r.read_date, r.lag1, r.lag2, r.lag3) for r in pf.with_lags(frame(spark, rows)).collect())
+    assert len(lags) == len(rows)
+    expect = sorted((rows_sorted[i][1], rows_sorted[i - 1][3] if i >= 1 else None,
+                     rows_sorted[i - 2][3] if i >= 2 else None, rows_sorted[i - 3][3] if i >= 3 else None)
+                    for i in range(len(rows_sorted)))
+    assert lags == expect
+    # activity profile over the expanded rows
+    act = [r[3] - b.b4 * max(r[4] - 20, 0) - b.b5 * max(16 - r[4], 0) - b.b6 * max(5 - r[4], 0) for r in rows]
+    p = pf.activity_profile(frame(spark, rows)).first()
+    assert p.mean == pytest.approx(np.mean(act), rel=1e-9) and p.sd == pytest.approx(np.std(act), rel=1e-7)
+
+
+def test_copies_never_reach_the_window_as_rows(spark):
+    plan = pf.fit_betas(frame(spark, weather_rows(12)))._jdf.queryExecution().executedPlan().toString()
+    # the copy-collapsing aggregate is combined before its shuffle; the window sees its output
+    assert "partial_count" in plan
+    lag_window_input = plan.split("Window [")[-1]      # the deepest window is the lag window
+    assert "HashAggregate" in lag_window_input and "functions=[count(1)]" in lag_window_input

@@ -11,12 +11,15 @@ below 5 C) gets all-zero coefficients and ``fallback = true``. The activity load
 the temperature part: ``reading - b4 x4 - b5 x5 - b6 x6`` (intercept and lags stay), and
 its mean and population standard deviation per (meter, hour) form the profile.
 
-Plan: one shuffle on (meter_id, hour) for the lag window, then one aggregate on the same
-partitioning that gathers both the regression moments (observation rows) and the
-whole-group moments of reading and temperature terms. The activity load is linear in
-them, so its mean and population variance follow in closed form from the betas: no join
-back to the rows and no second pass. A group holds one row per day, so a busy meter
-cannot make a group large.
+Plan (copy-robust): exact copies of a row are first collapsed into (row, multiplicity m)
+by an aggregate that is combined map-side, so a group of copies holding any share of the
+data never reaches one task. The lag window then runs over *distinct* rows (at most one
+per date and value of a meter-hour). Inside a run of m copies the lags are determined by
+the copy's position, so each distinct row yields at most four weighted observation
+templates (copies 1, 2, 3, and copies 4..m with weight m - 3). Weighted two-pass moments
+of the templates (regression) and of the distinct rows (activity) are aggregated on the
+same (meter_id, hour) partitioning; the activity load is linear in them, so its mean and
+population variance follow in closed form from the betas: no join back to the rows.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ MIN_OBS = N_REGRESSORS + 1
 PIVOT_TOL = 1e-10
 BETAS = [f"b{i}" for i in range(N_REGRESSORS + 1)]
 KEY = ["meter_id", "hour"]
+ORDER = ["read_date", "reading", "temperature"]
 
 
 def with_temperature_terms(weather: DataFrame) -> DataFrame:
@@ -39,31 +43,140 @@ def with_temperature_terms(weather: DataFrame) -> DataFrame:
     return weather.withColumns({"x4": cdd, "x5": hdd, "x6": cold})
 
 
+def runs(weather: DataFrame) -> DataFrame:
+    """Distinct rows of each (meter, hour) with their copy count ``m`` and run context.
+
+    ``s``: rows (copies included) before the run in date order; ``t1, t2, t3``: readings
+    at the last three of those positions (null where there are fewer). Equal dates are
+    ordered by value, so copies are adjacent.
+    """
+    d = weather.groupBy(*KEY, *ORDER).agg(F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy(*KEY).orderBy(*ORDER)
+    d = d.select(
+        *KEY, *ORDER, "m",
+        *[F.lag("reading", i).over(w).alias(f"_r{i}") for i in (1, 2, 3)],
+        *[F.coalesce(F.lag("m", i).over(w), F.lit(0)).alias(f"_m{i}") for i in (1, 2)],
+        F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"),
+    )
+    return d.selectExpr(
+        *KEY, *ORDER, "m", "s", "_r1 AS t1",
+        "CASE WHEN _m1 >= 2 THEN _r1 ELSE _r2 END AS t2",
+        "CASE WHEN _m1 >= 3 THEN _r1 WHEN _m1 + _m2 >= 3 THEN _r2 ELSE _r3 END AS t3",
+    )
+
+
 def with_lags(weather: DataFrame) -> DataFrame:
-    """Adds ``lag1..lag3``: readings of the 1..3 previous rows of the same (meter, hour)
-    by date (gaps in the calendar are ignored; equal dates are ordered by value)."""
-    w = Window.partitionBy(*KEY).orderBy("read_date", "reading", "temperature")
-    return weather.withColumns({f"lag{i}": F.lag("reading", i).over(w) for i in (1, 2, 3)})
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    # Only rows with all three lags are observations; mask every regressor to them.
-    xs = {i: f"CASE WHEN lag3 IS NOT NULL THEN {c} END" for i, c in
-          [(1, "lag1"), (2, "lag2"), (3, "lag3"), (4, "x4"), (5, "x5"), (6, "x6")]}
-    y = "CASE WHEN lag3 IS NOT NULL THEN reading END"
-    aggs = [f"count({y}) AS n_obs", f"avg({y}) AS _my"]
-    aggs += [f"avg({xs[i]}) AS _m{i}" for i in xs]
-    for i in xs:
-        for j in xs:
+    """Every row with ``lag1..lag3``: the readings of the 1..3 previous rows of the same
+    (meter, hour) by date (gaps in the calendar are ignored; equal dates are ordered by
+    value). Copies are expanded from their run, so the window never sees them."""
+    r = runs(weather).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    return r.selectExpr(
+        *KEY, *ORDER,
+        "CASE WHEN _k >= 2 THEN reading ELSE t1 END AS lag1",
+        "CASE WHEN _k >= 3 THEN reading WHEN _k = 2 THEN t1 ELSE t2 END AS lag2",
+        "CASE WHEN _k >= 4 THEN reading WHEN _k = 3 THEN t1 WHEN _k = 2 THEN t2 ELSE t3 END AS lag3",
+    )
+
+
+_OBS = ["y", "l1", "l2", "l3", "x4", "x5", "x6"]
+_ACT = ["y", "x4", "x5", "x6"]
+
+
+def _templates(rs: DataFrame) -> DataFrame:
+    """Weighted rows per distinct row. Regression observations: kind 'o' (copies 1-3 of a
+    run, weight 1) and 'oh' (copies 4..m, weight m - 3); activity rows: 'a' (a row without
+    copies) and 'ah' (a row with m > 1 copies, weight m)."""
+    r = with_temperature_terms(rs)
+
+    def item(kind, w, l1, l2, l3, valid):
+        return (f"named_struct('kind', {kind}, 'w', CAST({w} AS BIGINT), 'y', reading, 'l1', {l1}, 'l2', {l2}, "
+                f"'l3', {l3}, 'x4', x4, 'x5', x5, 'x6', x6, 'ok', {valid})")
+    null = "CAST(NULL AS DOUBLE)"
+    items = [
+        item("'o'", "1", "t1", "t2", "t3", "s >= 3"),
+        item("'o'", "1", "reading", "t1", "t2", "m >= 2 AND s >= 2"),
+        item("'o'", "1", "reading", "reading", "t1", "m >= 3 AND s >= 1"),
+        item("'oh'", "m - 3", "reading", "reading", "reading", "m >= 4"),
+        item("CASE WHEN m = 1 THEN 'a' ELSE 'ah' END", "m", null, null, null, "true"),
+    ]
+    e = r.selectExpr(*KEY, f"inline(filter(array({', '.join(items)}), t -> t.ok))")
+    return e.drop("ok")
+
+
+def _moments(rs: DataFrame) -> DataFrame:
+    """Per (meter, hour): regression moments (means, covariances, n_obs) and whole-group
+    activity moments.
+
+    Rows of weight 1 go through Spark's own ``avg``/``covar_pop``; copy-weighted rows (only
+    present when the input has exact copies) get a weighted two-pass computation, and the
+    two parts are merged with the parallel co-moment formula. Without copies the result is
+    exactly the built-in aggregates over the rows.
+    """
+    e = _templates(rs)
+    part = Window.partitionBy(*KEY)
+    groups = (("o", "oh", _OBS), ("a", "ah", _ACT))
+    # heavy part: shifted two-pass weighted means (ref + sum w (v - ref) / W)
+    cols = {}
+    for _, heavy, names in groups:
+        sel = F.col("kind") == heavy
+        cols[f"_W{heavy}"] = F.sum(F.when(sel, F.col("w"))).over(part)
+        for v in names:
+            cols[f"_ref{heavy}_{v}"] = F.min(F.when(sel, F.col(v))).over(part)
+    e = e.withColumns(cols)
+    cols = {}
+    for _, heavy, names in groups:
+        sel = F.col("kind") == heavy
+        for v in names:
+            dev = F.sum(F.when(sel, F.col("w") * (F.col(v) - F.col(f"_ref{heavy}_{v}")))).over(part)
+            cols[f"_mu{heavy}_{v}"] = F.col(f"_ref{heavy}_{v}") + F.try_divide(dev, F.col(f"_W{heavy}"))
+    e = e.withColumns(cols)
+
+    aggs = []
+    for light, heavy, names in groups:
+        aggs += [f"count(CASE WHEN kind = '{light}' THEN 1 END) AS _n{light}",
+                 f"coalesce(first(_W{heavy}, true), 0) AS _n{heavy}"]
+        for v in names:
+            aggs += [f"avg(CASE WHEN kind = '{light}' THEN {v} END) AS _m{light}_{v}",
+                     f"first(_mu{heavy}_{v}, true) AS _m{heavy}_{v}"]
+        for i, u in enumerate(names):
+            for v in names[i:]:
+                aggs += [f"covar_pop(CASE WHEN kind = '{light}' THEN {u} END, CASE WHEN kind = '{light}' THEN {v} END) "
+                         f"AS _c{light}_{u}_{v}",
+                         f"sum(CASE WHEN kind = '{heavy}' THEN w * ({u} - _mu{heavy}_{u}) * ({v} - _mu{heavy}_{v}) END) "
+                         f"AS _C{heavy}_{u}_{v}"]
+    g = e.groupBy(*KEY).agg(*[F.expr(a) for a in aggs])
+
+    def mean(light, heavy, v):
+        na, nb = f"_n{light}", f"_n{heavy}"
+        ma, mb = f"_m{light}_{v}", f"_m{heavy}_{v}"
+        return f"CASE WHEN {nb} = 0 THEN {ma} WHEN {na} = 0 THEN {mb} ELSE {ma} + ({mb} - {ma}) * {nb} / ({na} + {nb}) END"
+
+    def cov(light, heavy, u, v):
+        na, nb = f"_n{light}", f"_n{heavy}"
+        ca, cb = f"_c{light}_{u}_{v}", f"_C{heavy}_{u}_{v}"
+        du = f"(_m{heavy}_{u} - _m{light}_{u})"
+        dv = f"(_m{heavy}_{v} - _m{light}_{v})"
+        merged = f"({ca} * {na} + {cb} + {du} * {dv} * {na} * {nb} / ({na} + {nb})) / ({na} + {nb})"
+        return f"CASE WHEN {nb} = 0 THEN {ca} WHEN {na} = 0 THEN {cb} / {nb} ELSE {merged} END"
+
+    obs = {1: "l1", 2: "l2", 3: "l3", 4: "x4", 5: "x5", 6: "x6"}
+    out = ["CAST(_no + _noh AS BIGINT) AS n_obs", f"{mean('o', 'oh', 'y')} AS _my"]
+    out += [f"{mean('o', 'oh', v)} AS _m{i}" for i, v in obs.items()]
+    order = {v: k for k, v in enumerate(_OBS)}
+
+    def ocov(u, v):
+        a, b = sorted((u, v), key=order.get)
+        return cov("o", "oh", a, b)
+    for i, vi in obs.items():
+        for j, vj in obs.items():
             if i <= j:
-                aggs.append(f"covar_pop({xs[i]}, {xs[j]}) AS _s{i}{j}")
-        aggs.append(f"covar_pop({xs[i]}, {y}) AS _t{i}")
-    # whole-group moments (every row, first days included) for the activity load
-    aggs += ["avg(reading) AS _ar", "var_pop(reading) AS _vr"]
-    aggs += [f"avg(x{k}) AS _a{k}" for k in (4, 5, 6)]
-    aggs += [f"covar_pop(reading, x{k}) AS _cr{k}" for k in (4, 5, 6)]
-    aggs += [f"covar_pop(x{k}, x{l}) AS _c{k}{l}" for k in (4, 5, 6) for l in (4, 5, 6) if k <= l]
-    return rows.groupBy(*KEY).agg(*[F.expr(a) for a in aggs])
+                out.append(f"{ocov(vi, vj)} AS _s{i}{j}")
+        out.append(f"{ocov(vi, 'y')} AS _t{i}")
+    out += [f"{mean('a', 'ah', 'y')} AS _ar", f"{cov('a', 'ah', 'y', 'y')} AS _vr"]
+    out += [f"{mean('a', 'ah', f'x{k}')} AS _a{k}" for k in (4, 5, 6)]
+    out += [f"{cov('a', 'ah', 'y', f'x{k}')} AS _cr{k}" for k in (4, 5, 6)]
+    out += [f"{cov('a', 'ah', f'x{k}', f'x{l}')} AS _c{k}{l}" for k in (4, 5, 6) for l in (4, 5, 6) if k <= l]
+    return g.selectExpr(*KEY, *out)
 
 
 def _solve(g: DataFrame) -> DataFrame:
@@ -84,7 +197,7 @@ def _solve(g: DataFrame) -> DataFrame:
 def fit_betas(weather: DataFrame) -> DataFrame:
     """``meter_id, hour, n_obs, b0..b6, fallback`` from weather readings
     (``meter_id, read_date, hour, reading, temperature``)."""
-    g = _solve(_moments(with_temperature_terms(with_lags(weather))))
+    g = _solve(_moments(runs(weather)))
     return g.select(*KEY, "n_obs", *BETAS, "fallback")
 
 
@@ -95,7 +208,7 @@ def activity_profile(weather: DataFrame) -> DataFrame:
     mean = E[r] - sum b_k E[x_k] and var = var(r) - 2 sum b_k cov(r, x_k)
     + sum_k sum_l b_k b_l cov(x_k, x_l).
     """
-    g = _solve(_moments(with_temperature_terms(with_lags(weather))))
+    g = _solve(_moments(runs(weather)))
     b = {k: F.col(f"b{k}") for k in (4, 5, 6)}
     mean = F.col("_ar")
     var = F.col("_vr")
