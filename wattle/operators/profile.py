@@ -52,14 +52,18 @@ def runs(weather: DataFrame) -> DataFrame:
     """
     d = weather.groupBy(*KEY, *ORDER).agg(F.count(F.lit(1)).alias("m"))
     w = Window.partitionBy(*KEY).orderBy(*ORDER)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = d.select(
         *KEY, *ORDER, "m",
         *[F.lag("reading", i).over(w).alias(f"_r{i}") for i in (1, 2, 3)],
         *[F.coalesce(F.lag("m", i).over(w), F.lit(0)).alias(f"_m{i}") for i in (1, 2)],
         F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"),
+        # per-group shift references for copy-weighted sums (same window operator)
+        F.first("reading").over(whole).alias("ref_reading"),
+        F.first("temperature").over(whole).alias("ref_temperature"),
     )
     return d.selectExpr(
-        *KEY, *ORDER, "m", "s", "_r1 AS t1",
+        *KEY, *ORDER, "m", "s", "ref_reading", "ref_temperature", "_r1 AS t1",
         "CASE WHEN _m1 >= 2 THEN _r1 ELSE _r2 END AS t2",
         "CASE WHEN _m1 >= 3 THEN _r1 WHEN _m1 + _m2 >= 3 THEN _r2 ELSE _r3 END AS t3",
     )
@@ -82,69 +86,63 @@ _OBS = ["y", "l1", "l2", "l3", "x4", "x5", "x6"]
 _ACT = ["y", "x4", "x5", "x6"]
 
 
-def _templates(rs: DataFrame) -> DataFrame:
-    """Weighted rows per distinct row. Regression observations: kind 'o' (copies 1-3 of a
-    run, weight 1) and 'oh' (copies 4..m, weight m - 3); activity rows: 'a' (a row without
-    copies) and 'ah' (a row with m > 1 copies, weight m)."""
+def _moments(rs: DataFrame) -> DataFrame:
+    """Per (meter, hour): regression moments (means, covariances, n_obs) and whole-group
+    activity moments, in one aggregate on the lag window's partitioning.
+
+    Rows of weight 1 — observations from copies 1-3 of a run (kind 'o') and distinct rows
+    without copies (kind 'a') — go through Spark's own ``avg``/``covar_pop``. Copy-weighted
+    rows, present only where the input has exact copies — copies 4..m of a run (kind 'oh',
+    weight m - 3, all lags equal the reading) and distinct rows with m > 1 copies (kind
+    'ah', weight m) — are summed shifted by the group's first row (mean = ref + D/W,
+    co-moment = S - D_u D_v / W; a constant column has exactly zero spread). The parts are
+    merged with the parallel co-moment formula; without copies the result is exactly the
+    built-in aggregates over the rows.
+    """
     r = with_temperature_terms(rs)
+    cdd, hdd, cold = temperature_terms(F.col("ref_temperature"))
+    r = r.withColumns({"ref_y": F.col("ref_reading"), "ref_l1": F.col("ref_reading"), "ref_l2": F.col("ref_reading"),
+                       "ref_l3": F.col("ref_reading"), "ref_x4": cdd, "ref_x5": hdd, "ref_x6": cold})
+    refs = ", ".join(f"'ref_{v}', ref_{v}" for v in _OBS)
 
     def item(kind, w, l1, l2, l3, valid):
-        return (f"named_struct('kind', {kind}, 'w', CAST({w} AS BIGINT), 'y', reading, 'l1', {l1}, 'l2', {l2}, "
-                f"'l3', {l3}, 'x4', x4, 'x5', x5, 'x6', x6, 'ok', {valid})")
+        return (f"named_struct('kind', CAST({kind} AS TINYINT), 'w', CAST({w} AS BIGINT), 'y', reading, 'l1', {l1}, 'l2', {l2}, "
+                f"'l3', {l3}, 'x4', x4, 'x5', x5, 'x6', x6, {refs}, 'ok', {valid})")
     null = "CAST(NULL AS DOUBLE)"
+    # kind codes: 0 = 'o', 1 = 'oh', 2 = 'a', 3 = 'ah'
     items = [
-        item("'o'", "1", "t1", "t2", "t3", "s >= 3"),
-        item("'o'", "1", "reading", "t1", "t2", "m >= 2 AND s >= 2"),
-        item("'o'", "1", "reading", "reading", "t1", "m >= 3 AND s >= 1"),
-        item("'oh'", "m - 3", "reading", "reading", "reading", "m >= 4"),
-        item("CASE WHEN m = 1 THEN 'a' ELSE 'ah' END", "m", null, null, null, "true"),
+        item("0", "1", "t1", "t2", "t3", "s >= 3"),
+        item("0", "1", "reading", "t1", "t2", "m >= 2 AND s >= 2"),
+        item("0", "1", "reading", "reading", "t1", "m >= 3 AND s >= 1"),
+        item("1", "m - 3", "reading", "reading", "reading", "m >= 4"),
+        item("CASE WHEN m = 1 THEN 2 ELSE 3 END", "m", null, null, null, "true"),
     ]
     e = r.selectExpr(*KEY, f"inline(filter(array({', '.join(items)}), t -> t.ok))")
-    return e.drop("ok")
-
-
-def _moments(rs: DataFrame) -> DataFrame:
-    """Per (meter, hour): regression moments (means, covariances, n_obs) and whole-group
-    activity moments.
-
-    Rows of weight 1 go through Spark's own ``avg``/``covar_pop``; copy-weighted rows (only
-    present when the input has exact copies) get a weighted two-pass computation, and the
-    two parts are merged with the parallel co-moment formula. Without copies the result is
-    exactly the built-in aggregates over the rows.
-    """
-    e = _templates(rs)
-    part = Window.partitionBy(*KEY)
-    groups = (("o", "oh", _OBS), ("a", "ah", _ACT))
-    # heavy part: shifted two-pass weighted means (ref + sum w (v - ref) / W)
-    cols = {}
-    for _, heavy, names in groups:
-        sel = F.col("kind") == heavy
-        cols[f"_W{heavy}"] = F.sum(F.when(sel, F.col("w"))).over(part)
-        for v in names:
-            cols[f"_ref{heavy}_{v}"] = F.min(F.when(sel, F.col(v))).over(part)
-    e = e.withColumns(cols)
-    cols = {}
-    for _, heavy, names in groups:
-        sel = F.col("kind") == heavy
-        for v in names:
-            dev = F.sum(F.when(sel, F.col("w") * (F.col(v) - F.col(f"_ref{heavy}_{v}")))).over(part)
-            cols[f"_mu{heavy}_{v}"] = F.col(f"_ref{heavy}_{v}") + F.try_divide(dev, F.col(f"_W{heavy}"))
-    e = e.withColumns(cols)
 
     aggs = []
-    for light, heavy, names in groups:
-        aggs += [f"count(CASE WHEN kind = '{light}' THEN 1 END) AS _n{light}",
-                 f"coalesce(first(_W{heavy}, true), 0) AS _n{heavy}"]
+    code = {"o": 0, "oh": 1, "a": 2, "ah": 3}
+    for light, heavy, names in (("o", "oh", _OBS), ("a", "ah", _ACT)):
+        lk, hk = code[light], code[heavy]
+        aggs += [f"count(CASE WHEN kind = {lk} THEN 1 END) AS _n{light}",
+                 f"coalesce(sum(CASE WHEN kind = {hk} THEN w END), 0) AS _n{heavy}"]
         for v in names:
-            aggs += [f"avg(CASE WHEN kind = '{light}' THEN {v} END) AS _m{light}_{v}",
-                     f"first(_mu{heavy}_{v}, true) AS _m{heavy}_{v}"]
+            aggs += [f"avg(CASE WHEN kind = {lk} THEN {v} END) AS _m{light}_{v}",
+                     f"sum(CASE WHEN kind = {hk} THEN w * ({v} - ref_{v}) END) AS _D{heavy}_{v}",
+                     f"first(ref_{v}) AS _ref_{v}"]
         for i, u in enumerate(names):
             for v in names[i:]:
-                aggs += [f"covar_pop(CASE WHEN kind = '{light}' THEN {u} END, CASE WHEN kind = '{light}' THEN {v} END) "
+                aggs += [f"covar_pop(CASE WHEN kind = {lk} THEN {u} END, CASE WHEN kind = {lk} THEN {v} END) "
                          f"AS _c{light}_{u}_{v}",
-                         f"sum(CASE WHEN kind = '{heavy}' THEN w * ({u} - _mu{heavy}_{u}) * ({v} - _mu{heavy}_{v}) END) "
-                         f"AS _C{heavy}_{u}_{v}"]
-    g = e.groupBy(*KEY).agg(*[F.expr(a) for a in aggs])
+                         f"sum(CASE WHEN kind = {hk} THEN w * ({u} - ref_{u}) * ({v} - ref_{v}) END) "
+                         f"AS _S{heavy}_{u}_{v}"]
+    g = e.groupBy(*KEY).agg(*[F.expr(a) for a in dict.fromkeys(aggs)])
+    hv = []
+    for heavy, names in (("oh", _OBS), ("ah", _ACT)):
+        hv += [f"_ref_{v} + try_divide(_D{heavy}_{v}, _n{heavy}) AS _m{heavy}_{v}" for v in names]
+        for i, u in enumerate(names):
+            for v in names[i:]:
+                hv.append(f"_S{heavy}_{u}_{v} - try_divide(_D{heavy}_{u} * _D{heavy}_{v}, _n{heavy}) AS _C{heavy}_{u}_{v}")
+    g = g.selectExpr("*", *hv)
 
     def mean(light, heavy, v):
         na, nb = f"_n{light}", f"_n{heavy}"
