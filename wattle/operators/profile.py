@@ -90,11 +90,11 @@ def _moments(rs: DataFrame) -> DataFrame:
     """Per (meter, hour): regression moments (means, covariances, n_obs) and whole-group
     activity moments, in one aggregate on the lag window's partitioning.
 
-    Rows of weight 1 — observations from copies 1-3 of a run (kind 'o') and distinct rows
-    without copies (kind 'a') — go through Spark's own ``avg``/``covar_pop``. Copy-weighted
-    rows, present only where the input has exact copies — copies 4..m of a run (kind 'oh',
-    weight m - 3, all lags equal the reading) and distinct rows with m > 1 copies (kind
-    'ah', weight m) — are summed shifted by the group's first row (mean = ref + D/W,
+    Rows of weight 1 — observations from copies 1-3 of a run and distinct rows without
+    copies — go through Spark's own ``avg``/``covar_pop``. Copy-weighted rows, present only
+    where the input has exact copies — copies 4..m of a run (weight m - 3, all lags equal
+    the reading) and distinct rows with m > 1 copies (weight m) — are summed shifted by the
+    group's first row (mean = ref + D/W,
     co-moment = S - D_u D_v / W; a constant column has exactly zero spread). The parts are
     merged with the parallel co-moment formula; without copies the result is exactly the
     built-in aggregates over the rows.
@@ -105,35 +105,38 @@ def _moments(rs: DataFrame) -> DataFrame:
                        "ref_l3": F.col("ref_reading"), "ref_x4": cdd, "ref_x5": hdd, "ref_x6": cold})
     refs = ", ".join(f"'ref_{v}', ref_{v}" for v in _OBS)
 
-    def item(kind, w, l1, l2, l3, valid):
-        return (f"named_struct('kind', CAST({kind} AS TINYINT), 'w', CAST({w} AS BIGINT), 'y', reading, 'l1', {l1}, 'l2', {l2}, "
-                f"'l3', {l3}, 'x4', x4, 'x5', x5, 'x6', x6, {refs}, 'ok', {valid})")
+    def item(okind, akind, w, l1, l2, l3, valid):
+        return (f"named_struct('okind', CAST({okind} AS TINYINT), 'akind', CAST({akind} AS TINYINT), "
+                f"'w', CAST({w} AS BIGINT), 'wa', m, 'y', reading, 'l1', {l1}, 'l2', {l2}, 'l3', {l3}, "
+                f"'x4', x4, 'x5', x5, 'x6', x6, {refs}, 'ok', {valid})")
     null = "CAST(NULL AS DOUBLE)"
-    # kind codes: 0 = 'o', 1 = 'oh', 2 = 'a', 3 = 'ah'
+    # observation kinds: 0 = weight-1 copy 1-3 of a run, 1 = copies 4..m (weight m - 3);
+    # activity kinds (carried by the first row of each distinct row, whose values are the
+    # row's own): 2 = a row without copies, 3 = a row with m > 1 copies (weight m)
     items = [
-        item("0", "1", "t1", "t2", "t3", "s >= 3"),
-        item("0", "1", "reading", "t1", "t2", "m >= 2 AND s >= 2"),
-        item("0", "1", "reading", "reading", "t1", "m >= 3 AND s >= 1"),
-        item("1", "m - 3", "reading", "reading", "reading", "m >= 4"),
-        item("CASE WHEN m = 1 THEN 2 ELSE 3 END", "m", null, null, null, "true"),
+        item("CASE WHEN s >= 3 THEN 0 END", "CASE WHEN m = 1 THEN 2 ELSE 3 END", "1", "t1", "t2", "t3", "true"),
+        item("0", "NULL", "1", "reading", "t1", "t2", "m >= 2 AND s >= 2"),
+        item("0", "NULL", "1", "reading", "reading", "t1", "m >= 3 AND s >= 1"),
+        item("1", "NULL", "m - 3", "reading", "reading", "reading", "m >= 4"),
     ]
     e = r.selectExpr(*KEY, f"inline(filter(array({', '.join(items)}), t -> t.ok))")
 
     aggs = []
-    code = {"o": 0, "oh": 1, "a": 2, "ah": 3}
+    code = {"o": ("okind", 0, "w"), "oh": ("okind", 1, "w"), "a": ("akind", 2, "wa"), "ah": ("akind", 3, "wa")}
     for light, heavy, names in (("o", "oh", _OBS), ("a", "ah", _ACT)):
-        lk, hk = code[light], code[heavy]
-        aggs += [f"count(CASE WHEN kind = {lk} THEN 1 END) AS _n{light}",
-                 f"coalesce(sum(CASE WHEN kind = {hk} THEN w END), 0) AS _n{heavy}"]
+        lc, lk, _ = code[light]
+        hc, hk, hw = code[heavy]
+        aggs += [f"count(CASE WHEN {lc} = {lk} THEN 1 END) AS _n{light}",
+                 f"coalesce(sum(CASE WHEN {hc} = {hk} THEN {hw} END), 0) AS _n{heavy}"]
         for v in names:
-            aggs += [f"avg(CASE WHEN kind = {lk} THEN {v} END) AS _m{light}_{v}",
-                     f"sum(CASE WHEN kind = {hk} THEN w * ({v} - ref_{v}) END) AS _D{heavy}_{v}",
+            aggs += [f"avg(CASE WHEN {lc} = {lk} THEN {v} END) AS _m{light}_{v}",
+                     f"sum(CASE WHEN {hc} = {hk} THEN {hw} * ({v} - ref_{v}) END) AS _D{heavy}_{v}",
                      f"first(ref_{v}) AS _ref_{v}"]
         for i, u in enumerate(names):
             for v in names[i:]:
-                aggs += [f"covar_pop(CASE WHEN kind = {lk} THEN {u} END, CASE WHEN kind = {lk} THEN {v} END) "
+                aggs += [f"covar_pop(CASE WHEN {lc} = {lk} THEN {u} END, CASE WHEN {lc} = {lk} THEN {v} END) "
                          f"AS _c{light}_{u}_{v}",
-                         f"sum(CASE WHEN kind = {hk} THEN w * ({u} - ref_{u}) * ({v} - ref_{v}) END) "
+                         f"sum(CASE WHEN {hc} = {hk} THEN {hw} * ({u} - ref_{u}) * ({v} - ref_{v}) END) "
                          f"AS _S{heavy}_{u}_{v}"]
     g = e.groupBy(*KEY).agg(*[F.expr(a) for a in dict.fromkeys(aggs)])
     hv = []
