@@ -11,14 +11,14 @@ below 5 C) gets all-zero coefficients and ``fallback = true``. The activity load
 the temperature part: ``reading - b4 x4 - b5 x5 - b6 x6`` (intercept and lags stay), and
 its mean and population standard deviation per (meter, hour) form the profile.
 
-Plan (copy-robust): exact copies of a row are first collapsed into (row, multiplicity m)
-by an aggregate that is combined map-side, so a group of copies holding any share of the
-data never reaches one task. The lag window then runs over *distinct* rows (at most one
-per date and value of a meter-hour). Inside a run of m copies the lags are determined by
-the copy's position, so each distinct row yields at most four weighted observation
-templates (copies 1, 2, 3, and copies 4..m with weight m - 3). Weighted two-pass moments
-of the templates (regression) and of the distinct rows (activity) are aggregated on the
-same (meter_id, hour) partitioning; the activity load is linear in them, so its mean and
+Plan (copy-robust, one shuffle on (meter_id, hour)): exact copies of a row are collapsed
+into (row, multiplicity m) by an aggregate that runs partial before that shuffle and final
+after it, so a group of copies holding any share of the data never reaches one task as
+rows. The lag window then runs over *distinct* rows (at most one per date and value of a
+meter-hour). Inside a run of m copies the lags are determined by the copy's position, so
+each distinct row yields at most four observation templates (copies 1, 2, 3, and copies
+4..m with weight m - 3). One aggregate on the same partitioning gathers the regression
+moments and the whole-group moments; the activity load is linear in them, so its mean and
 population variance follow in closed form from the betas: no join back to the rows.
 """
 
@@ -94,8 +94,8 @@ def _moments(rs: DataFrame) -> DataFrame:
     copies — go through Spark's own ``avg``/``covar_pop``. Copy-weighted rows, present only
     where the input has exact copies — copies 4..m of a run (weight m - 3, all lags equal
     the reading) and distinct rows with m > 1 copies (weight m) — are summed shifted by the
-    group's first row (mean = ref + D/W,
-    co-moment = S - D_u D_v / W; a constant column has exactly zero spread). The parts are
+    group's first row (mean = ref + D/W, co-moment = S - D_u D_v / W; a constant column has
+    exactly zero spread). The parts are
     merged with the parallel co-moment formula; without copies the result is exactly the
     built-in aggregates over the rows.
     """
