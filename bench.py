@@ -44,6 +44,12 @@ def main():
         state["points"] = pts
         state["n_points"] = pts.count()
         state["seeds"] = ksc.collect_model(ksc.sample_seeds(C.pool(pts), P.K_FIT))
+        # generator inputs, like the profile and temperature seed files it reads
+        w = C.weather(spark, SF_DIR)
+        state["prof"] = cached(pf.profile_arrays(pf.activity_profile(w)))
+        state["temps"] = cached(syn.temperature_seed(w))
+        state["prof"].count()
+        state["temps"].count()
 
     def assign_pass():
         sink(ksc.assign(state["points"], state["seeds"], P.MAX_SHIFT))
@@ -63,12 +69,8 @@ def main():
         sink(pf.activity_profile(C.weather(spark, SF_DIR)))
 
     def synth_1000x30():
-        w = C.weather(spark, SF_DIR)
-        prof = cached(pf.profile_arrays(pf.activity_profile(w)))
-        temps = cached(syn.temperature_seed(w))
-        sink(syn.synthesize(prof, temps, 1000, 30, "2024-02-01", P.PEAKY_RATIO, int(CPUS) * 2, 7))
-        prof.unpersist()
-        temps.unpersist()
+        sink(syn.synthesize(state["prof"], state["temps"], 1000, 30, "2024-02-01", P.PEAKY_RATIO,
+                            int(CPUS) * 2, 7))
 
     def tagged_entropy():
         a = ksc.assign(state["points"], state["seeds"], P.MAX_SHIFT)
