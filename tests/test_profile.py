@@ -109,3 +109,19 @@ def test_copies_never_reach_the_window_as_rows(spark):
     assert "partial_count" in plan
     lag_window_input = plan.split("Window [")[-1]      # the deepest window is the lag window
     assert "HashAggregate" in lag_window_input and "functions=[count(1)]" in lag_window_input
+
+
+def test_lag_expansion_in_chunks(spark):
+    from wattle.operators import profile as prof
+    old = prof.COPY_CHUNK
+    prof.COPY_CHUNK = 3
+    try:
+        rows = weather_rows(6, seed=9) + [weather_rows(6, seed=9)[2]] * 7
+        rows_sorted = sorted(rows, key=lambda r: (r[1], r[3], r[4]))
+        got = sorted((r.read_date, r.lag1, r.lag2, r.lag3) for r in pf.with_lags(frame(spark, rows)).collect())
+        expect = sorted((rows_sorted[i][1], rows_sorted[i - 1][3] if i >= 1 else None,
+                         rows_sorted[i - 2][3] if i >= 2 else None, rows_sorted[i - 3][3] if i >= 3 else None)
+                        for i in range(len(rows_sorted)))
+        assert got == expect
+    finally:
+        prof.COPY_CHUNK = old

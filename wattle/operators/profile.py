@@ -36,6 +36,7 @@ PIVOT_TOL = 1e-10
 BETAS = [f"b{i}" for i in range(N_REGRESSORS + 1)]
 KEY = ["meter_id", "hour"]
 ORDER = ["read_date", "reading", "temperature"]
+COPY_CHUNK = 4096
 
 
 def with_temperature_terms(weather: DataFrame) -> DataFrame:
@@ -72,8 +73,12 @@ def runs(weather: DataFrame) -> DataFrame:
 def with_lags(weather: DataFrame) -> DataFrame:
     """Every row with ``lag1..lag3``: the readings of the 1..3 previous rows of the same
     (meter, hour) by date (gaps in the calendar are ignored; equal dates are ordered by
-    value). Copies are expanded from their run, so the window never sees them."""
-    r = runs(weather).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    value). Copies are expanded from their run, so the window never sees them; the
+    expansion is two-level (chunks of ``COPY_CHUNK`` positions), so no array holds more than
+    that many positions however many copies a run has."""
+    c = F.lit(COPY_CHUNK)
+    r = runs(weather).withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / c).cast("long"))))
+    r = r.withColumn("_k", F.explode(F.sequence(F.col("_c") * c + 1, F.least(F.col("_c") * c + c, F.col("m")))))
     return r.selectExpr(
         *KEY, *ORDER,
         "CASE WHEN _k >= 2 THEN reading ELSE t1 END AS lag1",
