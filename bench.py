@@ -14,9 +14,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
-from wattle.operators import ksc, profile as pf, prepare as pr, synthesize as syn  # noqa: E402
+from wattle.operators import ksc, profile as pf, synthesize as syn  # noqa: E402
 from wattle.plans import catalog as C, params as P  # noqa: E402
 from wattle.session import cached, get_session  # noqa: E402
 

@@ -2,7 +2,6 @@
 
 import os
 
-from wattle.operators import synthesize as syn
 from wattle.plans import catalog as C
 from wattle.plans import jobs
 from wattle.sources import fixtures as fx

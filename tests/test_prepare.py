@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from wattle.operators import prepare as pr
 
 D0 = dt.date(2024, 1, 1)

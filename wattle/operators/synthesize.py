@@ -25,7 +25,7 @@ import struct
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import digest, gaussian, randint, uniform  # noqa: F401
+from ..functions.draws import digest, gaussian, randint
 
 # Slopes of the three thermal-load sections, one row per profile family.
 # They are rounded through 32-bit floats; the generator uses the first row.

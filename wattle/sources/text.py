@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.prepare import point_key  # noqa: F401
-
 
 def _nums(c) -> F.Column:
     return F.transform(F.split(c, ","), lambda v: v.cast("double"))
