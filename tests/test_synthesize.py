@@ -70,3 +70,15 @@ def test_profile_noise_and_slope_row(spark, inputs):
     assert all(abs(x.activity - max(means[x.seed_meter_id][x.i % 24], 0.0)) < 1e-15 for x in r)
     with pytest.raises(ValueError):
         syn.synthesize(prof, temps, 5, 1, "2024-02-01", 1.0, 2, 3, noise="bogus")
+
+
+def test_noise_statistics(spark):
+    prof = spark.createDataFrame([(1, [0.5] * 24)], "meter_id bigint, mean array<double>")
+    temps = spark.createDataFrame([(0, 10.0)], "pos long, temperature double")
+    s = syn.synthesize(prof, temps, 200, 10, "2024-02-01", 1.0, 4, 21, detail=True)
+    r = s.agg(F.avg("activity"), F.stddev_pop("activity"), F.avg("temperature"), F.stddev_pop("temperature")).first()
+    assert r[0] == pytest.approx(0.5, abs=0.005) and r[1] == pytest.approx(0.1, abs=0.005)
+    assert r[2] == pytest.approx(10.0, abs=0.05) and r[3] == pytest.approx(2.0, abs=0.05)
+    # peaky ratio 1 leaves the load unchanged: load = activity + thermal
+    d = s.select(F.max(F.abs(F.col("load") - F.col("activity") - F.col("thermal")))).first()[0]
+    assert d < 1e-12
