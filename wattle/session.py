@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     # the regression's moment aggregate keeps ~220 buffer fields; above the default of 100
     # whole-stage codegen is switched off for it (measured 1.5x slower at sf0.1)
     "spark.sql.codegen.maxFields": "1000",
+    # checkpoints of iterative inputs are removed once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
