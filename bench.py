@@ -15,9 +15,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
-from wattle.operators import ksc, profile as pf, synthesize as syn  # noqa: E402
+from wattle.operators import ksc, prepare as pr, profile as pf, synthesize as syn  # noqa: E402
 from wattle.plans import catalog as C, params as P  # noqa: E402
-from wattle.session import cached, get_session  # noqa: E402
+from wattle.session import cached, get_session, scratch_path  # noqa: E402
+from wattle.sources import fixtures as fx, text as tx  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "4")
@@ -49,6 +50,13 @@ def main():
         state["temps"] = cached(syn.temperature_seed(w))
         state["prof"].count()
         state["temps"].count()
+        # raw readings as a text file, the production input of the ingest
+        state["raw"] = scratch_path(spark, "bench-raw")
+        fx.meter_lines(C.events(spark, SF_DIR)).write.text(state["raw"])
+
+    def text_ingest():
+        lines = tx.read_raw_lines(spark, state["raw"])
+        sink(pr.daily_points(pr.complete_days(pr.ingest_lines(lines)), P.WINDOW))
 
     def assign_pass():
         sink(ksc.assign(state["points"], state["seeds"], P.MAX_SHIFT))
@@ -76,7 +84,7 @@ def main():
         sink(ksc.meter_entropy(a))
         sink(ksc.tag_points(a))
 
-    jobs = [("daily_points", daily_points), ("assign_pass", assign_pass), ("ksc_fit3", fit3),
+    jobs = [("daily_points", daily_points), ("text_ingest", text_ingest), ("assign_pass", assign_pass), ("ksc_fit3", fit3),
             ("k_sweep", k_sweep), ("tag_entropy", tagged_entropy), ("regression_betas", regression_betas),
             ("activity_profile", activity_profile), ("synth_1000x30", synth_1000x30)]
 
