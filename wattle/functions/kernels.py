@@ -26,6 +26,7 @@ RESULT_TYPE = T.StructType([
     T.StructField("dist", T.DoubleType()),
     T.StructField("z", T.ArrayType(T.DoubleType())),
 ])
+CHUNK_ROWS = 2048
 _ARROW_TYPE = pa.struct([("cid", pa.int32()), ("q", pa.int32()), ("dist", pa.float64()),
                          ("z", pa.list_(pa.float64()))])
 
@@ -84,26 +85,34 @@ def assign_udf(model: dict, max_shift: int, length: int):
     def nearest_centroid(x: pa.Array) -> pa.Array:
         n = len(x)
         lengths, values = _to_matrix(x)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        zw = np.minimum(lengths, length)
+        same = n == 0 or bool((zw == zw[0]).all())
         cid = np.zeros(n, np.int32)
         q = np.zeros(n, np.int32)
         dist = np.zeros(n)
-        zs: list = [None] * n
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        Z = np.zeros((n, int(zw[0]) if n else length)) if same else [None] * n
         for w in np.unique(lengths):
             sel = np.nonzero(lengths == w)[0]
-            X = np.stack([values[offsets[r]:offsets[r] + w] for r in sel]) if len(np.unique(lengths)) > 1 \
-                else values.reshape(n, int(w))
-            c_, q_, d_, z_ = nearest(X, cids, C, max_shift, length)
-            cid[sel], q[sel], dist[sel] = c_, q_, d_
-            for j, r in enumerate(sel):
-                zs[r] = z_[j]
-        width = min(int(lengths.max()), length) if n else length
-        if n and len(np.unique(lengths)) == 1:
-            zflat = np.concatenate(zs) if n else np.zeros(0)
+            if len(sel) == n:
+                X = values.reshape(n, int(w))
+            else:  # mixed window sizes in one batch (not produced by daily_points)
+                X = np.stack([values[offsets[r]:offsets[r] + w] for r in sel])
+            for lo in range(0, len(sel), CHUNK_ROWS):   # bounds the (rows, K, S) tensors
+                part = sel[lo:lo + CHUNK_ROWS]
+                c_, q_, d_, z_ = nearest(X[lo:lo + CHUNK_ROWS], cids, C, max_shift, length)
+                cid[part], q[part], dist[part] = c_, q_, d_
+                if same:
+                    Z[part] = z_
+                else:
+                    for j, r in enumerate(part):
+                        Z[r] = z_[j]
+        if same:
+            width = Z.shape[1]
             z_arr = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)),
-                                             pa.array(zflat))
+                                             pa.array(Z.ravel()))
         else:
-            z_arr = pa.array([list(v) for v in zs], type=pa.list_(pa.float64()))
+            z_arr = pa.array([list(v) for v in Z], type=pa.list_(pa.float64()))
         return pa.StructArray.from_arrays(
             [pa.array(cid), pa.array(q), pa.array(dist), z_arr], fields=list(_ARROW_TYPE))
 
