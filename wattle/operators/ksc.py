@@ -126,7 +126,7 @@ def _assign_codegen(points: DataFrame, model: Model, max_shift: int, length: int
     """The assignment as unrolled scalar arithmetic (JVM only, compiled by codegen).
 
     Same arithmetic and order as the other paths; needs points of at least ``length`` hours.
-    Measured at sf0.1 (32,536 points, 3 shifts): bit-identical to the Arrow kernel but 6-7x
+    Measured at sf0.1 (32,536 points, 3 shifts): bit-identical to the Arrow kernel but 6-13x
     slower (the generated methods are too large for the JIT), and the expression tree
     exhausts a 1 GB driver at K = 100, so it is limited to small models.
     """
