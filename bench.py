@@ -25,6 +25,14 @@ CPUS = os.environ.get("BENCH_CPUS", "4")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
+def _sf_value(path: str):
+    tag = os.path.basename(path.rstrip("/")).replace("sf", "")
+    try:
+        return float(tag)
+    except ValueError:
+        return tag
+
+
 def sink(df):
     df.write.format("noop").mode("overwrite").save()
 
@@ -104,7 +112,7 @@ def main():
         "value": round(sum(med.values()), 3),
         "unit": "sec",
         "queries": med,
-        "sf": os.path.basename(SF_DIR.rstrip("/")).replace("sf", ""),
+        "sf": _sf_value(SF_DIR),
         "cpus": int(CPUS),
         "points": state["n_points"],
         "assign_point_centroid_shifts_per_sec": round(evals / med["assign_pass"], 1),
