@@ -302,20 +302,21 @@ def sweep(points: DataFrame, pool: DataFrame, k_start: int, k_end: int, least_co
     if k_start > k_end or k_start < 1:
         raise ValueError("need 1 <= k_start <= k_end")
     table = []
-    res = assigned = None
+    res = None
     pool = cached(pool)  # at most a few hundred rows, sampled once per K
     for k in range(k_start, k_end + 1):
         seeds = collect_model(sample_seeds(pool, k))
         res = fit(points, seeds, max_iter, delta, max_shift, length)
-        if assigned is not None:
-            assigned.unpersist()
-        assigned = cached(assign(points, res.assigning_model, max_shift, length))
-        q = evaluate(assigned, res.model, k, length).collect()[0].asDict()
+        # evaluated from a narrow re-assignment: no points-sized copy is kept per K
+        q = evaluate(assign(points, res.assigning_model, max_shift, length), res.model, k, length)
+        q = q.collect()[0].asDict()
         q.update(iterations=res.iterations, converged=res.converged)
         table.append(q)
         if q["coverage"] is not None and q["coverage"] >= least_coverage:
             break
-    return SweepResult(table, res, assigned)
+    pool.unpersist()
+    # only the kept K's assignment is persisted, for tags and entropy
+    return SweepResult(table, res, cached(assign(points, res.assigning_model, max_shift, length)))
 
 
 def sweep_frame(spark, table: list) -> DataFrame:
