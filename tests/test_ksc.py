@@ -119,3 +119,8 @@ def test_sweep_stops_at_coverage(spark, pts):
     assert [r["k"] for r in res.table] == [2]
     with pytest.raises(ValueError):
         ksc.sweep(pts, C.pool(pts), 3, 2, 0.5)
+
+
+def test_stable_points_spread_over_task_slots(spark, pts):
+    assert pts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert pts.count() == C.points(spark, SF01).count()

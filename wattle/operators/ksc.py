@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import assign_udf
 from ..functions.literals import sql_array, sql_double
 from ..functions.shapes import DAY, crop, normalize, shift_candidates, sq_distance, sq_distance_unrolled
-from ..session import cached, reliable, spread
+from ..session import cached, parallelism, reliable, spread
 
 Model = dict  # cid -> (n, list[float])
 
@@ -196,9 +196,20 @@ class FitResult:
     history: list = field(default_factory=list)   # (iteration, n_moved, total_moved)
 
 
+POINTS_PER_PARTITION = 50_000   # ~12 MB of 26-hour points; ~15 M distance evaluations at K = 100
+
+
 def stable(points: DataFrame) -> DataFrame:
-    """Points ready for iterating: spread over the cluster, checkpointed, persisted."""
-    return cached(reliable(spread(points)))
+    """Points ready for iterating: checkpointed, then spread over a partition count sized from
+    their row count (at least the task slots, at most ``spark.sql.shuffle.partitions``) and
+    persisted. Adaptive execution sizes partitions by bytes, which can leave these small but
+    CPU-heavy rows in a single task."""
+    spark = points.sparkSession
+    ck = reliable(points)
+    rows = ck.count()
+    slots = spark.sparkContext.defaultParallelism
+    n = max(slots, min(-(-rows // POINTS_PER_PARTITION), parallelism(spark)))
+    return cached(spread(ck, n))
 
 
 def fit(points: DataFrame, seeds: Model, max_iter: int = 10, delta: float = 1e-4,
