@@ -6,8 +6,8 @@ import __spark_entry__ as E
 from conftest import SF01
 from oracle_util import compare, duck
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = E.QUERIES
+ORACLE = E.ORACLE
 
 
 @pytest.fixture(scope="module")
