@@ -39,3 +39,22 @@ FROM m"""
 
 
 ORACLE["op8_url_filters"] = _url_sql()
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_FOLDED_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), " + _LOWER + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op10_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_FOLDED_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_FOLDED_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM s, unnest(range(1, len(w) - k + 2)) AS u(i)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM d, ks, unnest(range(1, greatest(1, len(w) - k + 2))) AS u(i)),
+h AS (SELECT doc_id, i, dw.k AS k, item FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + k)) AS u(p) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""

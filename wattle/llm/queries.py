@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lang_id, token_count, url_filter
+from . import decontaminate, lang_id, quality, token_count, url_filter
 from .common import columns, table
 
 
@@ -21,13 +21,27 @@ def op5_token_counts(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality_rules(spark, sf_dir):
+    d = quality.score(table(spark, sf_dir, "documents"))
+    return d.withColumn("js_char", F.round("js_char", 6)).withColumn("js_word", F.round("js_word", 6))
+
+
 def op8_url_filters(spark, sf_dir):
     pages = url_filter.filter_urls(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
 
+def op10_decontamination(spark, sf_dir):
+    d = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return d.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
+    "op10_decontamination": op10_decontamination,
 }
