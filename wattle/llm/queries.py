@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, quality, token_count, url_filter
+from . import decontaminate, lang_id, quality, secrets, token_count, url_filter
 from .common import columns, table
 
 
@@ -31,6 +31,13 @@ def op8_url_filters(spark, sf_dir):
     return pages.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
 
+def op9_secret_scan(spark, sf_dir):
+    d = secrets.scan(table(spark, sf_dir, "documents"))
+    count = [F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return d.select("doc_id", *count, F.sha2(secrets.joined("assign", "access", "hex"), 256).alias("base_sha256"),
+                    secrets.joined(*secrets.KINDS).alias("spans"))
+
+
 def op10_decontamination(spark, sf_dir):
     d = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select(
@@ -43,5 +50,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
+    "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
 }
