@@ -58,3 +58,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+ORACLE["op3_source_mix"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+o AS (SELECT *, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS w,
+        2.0 * source_size AS cap FROM s),
+r AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+        sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_after,
+        1.5 * sum(source_size) OVER () AS budget FROM o),
+l AS (SELECT arg_min((budget - cap_before) / w_after, cap / w) FILTER (WHERE (budget - cap_before) / w_after <= cap / w) AS lam FROM r),
+t AS (SELECT source, source_size, least(cap, lam * w) AS target FROM r, l),
+q AS (SELECT *, least(floor(target + 0.5)::BIGINT, 2 * source_size) AS take FROM t),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS full_copies FROM q),
+c AS (SELECT d.doc_id, d.size, f.source_size, f.target, f.full_copies, f.take - f.full_copies * f.source_size AS rest,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('0:' || coalesce(d.doc_id::VARCHAR || ':', '') || d.size::VARCHAR)
+                          ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       (size * (full_copies + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c"""

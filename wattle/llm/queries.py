@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, quality, secrets, token_count, url_filter
+from . import decontaminate, lang_id, mixing, quality, secrets, token_count, url_filter
 from .common import columns, table
 
 
+def op3_source_mix(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
+
+
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = lang_id.held_out(F.col("doc_id"))
@@ -46,6 +50,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
