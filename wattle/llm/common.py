@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: words of most contracts: runs of anything but space and \x09-\x0D
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -79,3 +81,24 @@ def small_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of ids or small arrays that are broadcast at most; beyond it a join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again.
+
+    Cuts the lineage like a checkpoint, compressed and by column: what is read later
+    survives lost executors, and only the columns needed are read.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (stored, so cheap to count) marked for broadcast if it has at most ``rows``
+    rows; else as it is, and the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

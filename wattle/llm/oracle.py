@@ -78,3 +78,21 @@ c AS (SELECT d.doc_id, d.size, f.source_size, f.target, f.full_copies, f.take -
 SELECT doc_id, size, source_size, round(target, 6) AS target,
        (size * (full_copies + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c"""
+
+# an independent form: prefixes of single words, counted exactly
+ORACLE["op1_line_dedup"] = r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, list_distinct(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS s
+      FROM t, unnest(range(1, len(ls) + 1)) AS u(i)),
+n AS (SELECT *, len(s) AS n, row_number() OVER (ORDER BY doc_id, i) AS o FROM l WHERE len(s) > 0),
+w AS (SELECT o, n, unnest(s) AS w FROM n),
+f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
+r AS (SELECT o, n, w.w, row_number() OVER (PARTITION BY o ORDER BY df, w.w) AS k FROM w JOIN f USING (w)),
+p AS (SELECT * FROM r WHERE k <= n - ceil(0.8 * n - 0.000001) + 1),
+c AS (SELECT DISTINCT a.o AS a, b.o AS b FROM p a JOIN p b ON a.w = b.w AND a.o < b.o AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+m AS (SELECT DISTINCT b FROM c JOIN n x ON x.o = a JOIN n y ON y.o = b
+      WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+g AS (SELECT doc_id, list(i) AS gone FROM n JOIN m ON n.o = m.b GROUP BY doc_id)
+SELECT t.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(coalesce(gone, []), i)], chr(10)), '')) AS text_sha256
+FROM t LEFT JOIN g ON t.doc_id = g.doc_id"""

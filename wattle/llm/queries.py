@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, mixing, quality, secrets, token_count, url_filter
+from . import decontaminate, lang_id, line_dedup, mixing, quality, secrets, token_count, url_filter
 from .common import columns, table
 
 
+def op1_line_dedup(spark, sf_dir):
+    d = line_dedup.dedup_lines(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return d.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"),
+                    F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op3_source_mix(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
@@ -50,6 +56,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
