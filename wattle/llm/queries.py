@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, line_dedup, mixing, quality, secrets, token_count, url_filter
+from . import decontaminate, lang_id, line_dedup, mixing, ngram_join, quality, secrets, token_count, url_filter
 from .common import columns, table
 
 
@@ -31,6 +31,10 @@ def op5_token_counts(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     d = quality.score(table(spark, sf_dir, "documents"))
     return d.withColumn("js_char", F.round("js_char", 6)).withColumn("js_word", F.round("js_word", 6))
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_join": op6_ngram_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
