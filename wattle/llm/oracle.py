@@ -109,3 +109,37 @@ l AS (SELECT a, b FROM p WHERE 100 * k >= 90 * (na + nb - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.other) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n"""
+
+
+def _license_sql() -> str:
+    from . import licenses as m
+
+    words = ", ".join(f"({i}, {_quoted(name)}, {_quoted(w)}, {n})"
+                      for i, (name, text) in enumerate(m.TEMPLATES) for w, n in m.template_words(text).items())
+    return rf"""
+WITH v(i, licence, w, n) AS (VALUES {words}),
+f AS (SELECT doc_id, string_split(text, chr(10)) AS ls,
+        coalesce(source, 'unknown') || CASE WHEN doc_id % 10000 < 100 THEN '' WHEN doc_id % 100 < 10 THEN '/' || (doc_id // 10000)
+            ELSE '/' || (doc_id // 10000) || '/' || (doc_id // 100) END AS dir FROM documents),
+u AS (SELECT doc_id, pos, regexp_extract_all(lower(ls[pos]), '[\p{{L}}\p{{N}}]+') AS ws FROM f, unnest(range(1, len(ls) + 1)) AS x(pos)),
+k AS (SELECT doc_id, pos, w, count(*) AS n FROM (SELECT doc_id, pos, unnest(ws) AS w FROM u) GROUP BY ALL),
+t AS (SELECT count(*) AS total FROM u WHERE len(ws) > 0),
+idf AS (SELECT v.w, ln((1 + any_value(total)) / (1 + count(k.n))) + 1 AS idf FROM (SELECT DISTINCT w FROM v) v LEFT JOIN k ON k.w = v.w, t GROUP BY v.w),
+vn AS (SELECT i, any_value(licence) AS licence, sqrt(sum((n * idf) * (n * idf))) AS norm FROM v JOIN idf USING (w) GROUP BY i),
+len AS (SELECT doc_id, pos, sqrt(sum((n * coalesce(idf, ln(1 + total) + 1)) ** 2)) AS norm FROM k LEFT JOIN idf USING (w), t GROUP BY doc_id, pos),
+dot AS (SELECT k.doc_id, k.pos, v.i, sum(k.n * idf * v.n * idf) AS dot FROM k JOIN v ON k.w = v.w JOIN idf ON idf.w = k.w GROUP BY ALL),
+sc AS (SELECT doc_id, pos, licence, dot / len.norm / vn.norm AS score FROM dot JOIN len USING (doc_id, pos) JOIN vn USING (i)),
+own AS (SELECT doc_id, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos, licence) AS r
+        FROM sc WHERE score >= 0.6) WHERE r = 1),
+o AS (SELECT f.doc_id, f.dir, own.licence, own.score FROM f LEFT JOIN own USING (doc_id)),
+dec AS (SELECT dir, licence FROM (SELECT dir, licence, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, licence) AS r
+        FROM o WHERE licence IS NOT NULL GROUP BY dir, licence) WHERE r = 1),
+up AS (SELECT doc_id, dec.licence, dec.dir AS from_dir, row_number() OVER (PARTITION BY doc_id ORDER BY length(dec.dir) DESC) AS r
+       FROM o JOIN dec ON o.dir = dec.dir OR starts_with(o.dir, dec.dir || '/'))
+SELECT o.doc_id, o.dir || '/' || o.doc_id AS path, coalesce(o.licence, up.licence) AS licence,
+       CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN up.licence IS NOT NULL THEN 'inherited' END AS how,
+       round(o.score, 6) AS score, CASE WHEN o.licence IS NULL THEN up.from_dir END AS from_dir
+FROM o LEFT JOIN up ON o.doc_id = up.doc_id AND r = 1"""
+
+
+ORACLE["op2_license_scan"] = _license_sql()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, line_dedup, mixing, ngram_join, quality, secrets, token_count, url_filter
+from . import decontaminate, lang_id, licenses, line_dedup, mixing, ngram_join, quality, secrets, token_count, url_filter
 from .common import columns, table
 
 
@@ -14,6 +14,24 @@ def op1_line_dedup(spark, sf_dir):
                     F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def document_paths(docs):
+    """Documents as files: a tree of source, ten thousand and hundred ids, with files at
+    every level."""
+    d = columns(docs, "doc_id", "text", "source")
+    i, top = F.col("doc_id"), F.coalesce("source", F.lit("unknown"))
+    block, sub = F.expr("doc_id div 10000"), F.expr("doc_id div 100")
+    path = (F.when(i % 10000 < 100, F.concat_ws("/", top, i)).when(i % 100 < 10, F.concat_ws("/", top, block, i))
+            .otherwise(F.concat_ws("/", top, block, sub, i)))
+    return d.select("doc_id", "text", path.alias("path"))
+
+
+def op2_license_scan(spark, sf_dir):
+    files = document_paths(table(spark, sf_dir, "documents"))
+    d = licenses.scan(files, licence_file=F.lit(False), declares=F.lit(True))
+    return d.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "licence", "how",
+                    F.round("score", 6).alias("score"), "from_dir")
+
+
 def op3_source_mix(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
@@ -61,6 +79,7 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
