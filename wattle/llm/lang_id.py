@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, small_batches
+from .common import columns, small_batches, with_value
 
 SLICES = 128        # labelled texts per language (bound of the sample)
 SLICE_CHARS = 512   # characters of each
@@ -110,3 +110,10 @@ def identify(docs: DataFrame, model, min_margin: float = MIN_MARGIN) -> DataFram
     d = columns(docs, "doc_id", "text")
     d = d.withColumn("p", classifier(docs.sparkSession, model, min_margin)(F.col("text").cast("string")))
     return d.select("doc_id", F.col("p.lang").alias("lang_pred"), "p.score", "p.margin", "p.rejected")
+
+
+def accepted(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """``docs`` without the rejected documents, by a model learned from their own labels."""
+    model = learn(columns(docs, "text", "lang"))
+    judge = classifier(docs.sparkSession, model, min_margin)
+    return with_value(docs, ["text"], lambda text: judge(text.cast("string")), lambda v: (~v["rejected"], {}))
