@@ -7,13 +7,13 @@ add up to the positions, in code points.
 
 *Models.* Two first-order Markov models over the characters of tokens give each bigram a
 log-likelihood ratio. The random model learns from labelled random strings: the values that
-the patterns find anywhere in the corpus, and digests of the sampled texts written in
-hexadecimal (both cases) and base64. The ordinary model learns from the tokens, free of
-pattern matches, of a bounded sample of texts: one for each of ``SAMPLE`` buckets of a hash
-of the text (the least hash of the bucket, a map-side combined minimum over all rows). Only
-bigram counts reach the driver, at most 2 x 68 x 67 of them. Every token of at least
-``MIN_TOKEN`` characters of every text that overlaps no pattern match is scored; it is a
-span of kind ``markov`` when the mean ratio of its characters exceeds ``MIN_MEAN``.
+the patterns find anywhere in the corpus, and a digest of every text written in hexadecimal
+(both cases) and base64. The ordinary model learns from all tokens of at least
+``LEARN_TOKEN`` characters in texts free of pattern matches. Bigrams are counted map-side,
+over the whole corpus; only the counts reach the driver, at most 2 x 68 x 67 of them. Every
+token of at least ``MIN_TOKEN`` characters of every text that overlaps no pattern match is
+scored; it is a span of kind ``markov`` when the mean ratio of its characters exceeds
+``MIN_MEAN``.
 
 All of it is column expressions; no Python runs on the executors.
 
@@ -41,10 +41,9 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]"
 MIN_TOKEN = 20       # characters of a token that is scored
-LEARN_TOKEN = 8      # characters of a token that is learned from
-SAMPLE = 4096        # texts of the ordinary sample (bound)
+LEARN_TOKEN = 12     # characters of a token that is learned from
 SMOOTH = 0.5
-MIN_MEAN = 1.5       # nats per character by which a token must look more random than ordinary
+MIN_MEAN = 1.2       # nats per character by which a token must look more random than ordinary
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -72,39 +71,27 @@ def with_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
     ).withColumn("hex", located(t, HEX))
 
 
-def _sampled(d: DataFrame, sample: int) -> DataFrame:
-    """Texts whose hash is the least of its bucket: at most ``sample`` different ones."""
-    h = d.select("text", F.xxhash64("text").alias("h"))
-    least = h.groupBy(F.pmod("h", F.lit(sample)).alias("b")).agg(F.min("h").alias("h")).select("h")
-    return h.join(F.broadcast(least), "h").groupBy("h").agg(F.min("text").alias("text")).select("text")
-
-
-def _bigrams(tokens: DataFrame, kind: str) -> DataFrame:
-    c = tokens.select(F.split("token", "").alias("c"))
-    c = c.select(F.filter("c", lambda x: x != "").alias("c")).where(F.size("c") > 0)
-    pairs = c.select(F.explode(F.transform("c", lambda x, i: F.struct(
-        F.when(i > 0, F.get("c", i - 1)).otherwise(F.lit("")).alias("a"), x.alias("b")))).alias("p"))
-    return pairs.groupBy(F.lit(kind).alias("kind"), "p.a", "p.b").agg(F.count("*").alias("n"))
-
-
-def learn(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
+def learn(docs: DataFrame) -> list[float]:
     """Log-likelihood ratio (random against ordinary) of every bigram: row ``1 + index`` of
     the character before it (0 at the start of a token), column its own index."""
-    d = columns(docs, "text").where(F.col("text").isNotNull())
-    marked = with_patterns(d)
-    values = marked.select(F.explode(F.concat(
+    d = with_patterns(columns(docs, "text").where(F.col("text").isNotNull()))
+    digest = F.sha2("text", 256)
+    values = F.concat(
         F.transform("assign", lambda s: F.regexp_extract(s["match"], ASSIGN, 2)),
-        F.transform("access", lambda s: s["match"]), F.transform("hex", lambda s: s["match"]))).alias("token"))
-    some = _sampled(d, sample)
-    digests = some.select(F.explode(F.array(
-        F.sha2("text", 256), F.upper(F.sha2("text", 256)), F.base64(F.unhex(F.sha2("text", 256))))).alias("token"))
-    clean = with_patterns(some).where(F.size("assign") + F.size("access") + F.size("hex") == 0)
-    names = clean.select(F.explode(F.regexp_extract_all("text", F.lit(f"{TOKEN}{{{LEARN_TOKEN},}}"), F.lit(0))).alias("token"))
-    keep = F.regexp_replace("token", "[^A-Za-z0-9+/_=-]", "").alias("token")
-    counts = _bigrams(values.unionByName(digests).select(keep), "random").unionByName(_bigrams(names, "ordinary"))
+        F.transform("access", lambda s: s["match"]), F.transform("hex", lambda s: s["match"]),
+        F.array(digest, F.upper(digest), F.base64(F.unhex(digest))))
+    clean = F.size("assign") + F.size("access") + F.size("hex") == 0
+    names = F.when(clean, F.regexp_extract_all("text", F.lit(f"{TOKEN}{{{LEARN_TOKEN},}}"), F.lit(0))).otherwise(
+        F.expr("cast(array() as array<string>)"))
+    tokens = d.select(F.explode(F.array(
+        F.struct(F.lit("random").alias("kind"), values.alias("t")), F.struct(F.lit("ordinary").alias("kind"), names.alias("t")))).alias("k"))
+    tokens = tokens.select("k.kind", F.explode("k.t").alias("token"))
+    c = tokens.select("kind", F.filter(F.split("token", ""), lambda x: F.instr(F.lit(ALPHABET), x) > 0).alias("c"))
+    pairs = c.select("kind", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), "c").alias("a"), F.col("c").alias("b"))).alias("p"))
+    counts = pairs.where("p.b <> ''").groupBy("kind", "p.a", "p.b").agg(F.count("*").alias("n"))
     size = len(ALPHABET)
     n = {"random": [SMOOTH] * (size * (size + 1)), "ordinary": [SMOOTH] * (size * (size + 1))}
-    for r in counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
+    for r in counts.collect():
         row = ALPHABET.index(r["a"]) + 1 if r["a"] else 0
         n[r["kind"]][row * size + ALPHABET.index(r["b"])] += r["n"]
     out = []
