@@ -42,8 +42,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]"
 MIN_TOKEN = 20       # characters of a token that is scored
 LEARN_TOKEN = 12     # characters of a token that is learned from
-SMOOTH = 0.5
-MIN_MEAN = 1.2       # nats per character by which a token must look more random than ordinary
+SMOOTH, PRIOR = 0.5, 8.0   # counts added to a character, and to a bigram's row by the characters' chances
+MIN_MEAN = 2.5       # nats per character by which a token must look more random than ordinary
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -90,16 +90,19 @@ def learn(docs: DataFrame) -> list[float]:
     pairs = c.select("kind", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), "c").alias("a"), F.col("c").alias("b"))).alias("p"))
     counts = pairs.where("p.b <> ''").groupBy("kind", "p.a", "p.b").agg(F.count("*").alias("n"))
     size = len(ALPHABET)
-    n = {"random": [SMOOTH] * (size * (size + 1)), "ordinary": [SMOOTH] * (size * (size + 1))}
+    n = {k: [[0] * size for _ in range(size + 1)] for k in ("random", "ordinary")}
     for r in counts.collect():
-        row = ALPHABET.index(r["a"]) + 1 if r["a"] else 0
-        n[r["kind"]][row * size + ALPHABET.index(r["b"])] += r["n"]
-    out = []
-    for row in range(size + 1):
-        part = {k: v[row * size:(row + 1) * size] for k, v in n.items()}
-        total = {k: sum(v) for k, v in part.items()}
-        out += [math.log(x / total["random"]) - math.log(y / total["ordinary"]) for x, y in zip(part["random"], part["ordinary"])]
-    return out
+        n[r["kind"]][ALPHABET.index(r["a"]) + 1 if r["a"] else 0][ALPHABET.index(r["b"])] += r["n"]
+    chance = {k: _chances(v) for k, v in n.items()}
+    return [math.log(x) - math.log(y) for r, o in zip(chance["random"], chance["ordinary"]) for x, y in zip(r, o)]
+
+
+def _chances(counts: list[list[int]]) -> list[list[float]]:
+    """Chance of each character after each one: counts smoothed towards the characters' own
+    frequencies, so that what never follows a rare character is judged by how rare it is."""
+    own = [SMOOTH + sum(row[i] for row in counts) for i in range(len(ALPHABET))]
+    own = [x / sum(own) for x in own]
+    return [[(x + PRIOR * p) / (sum(row) + PRIOR) for x, p in zip(row, own)] for row in counts]
 
 
 def total_ratio(token: Column, ratios: list[float]) -> Column:
