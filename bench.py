@@ -73,8 +73,8 @@ def main():
         ksc.fit(state["points"], state["seeds"], 3, 0.0, P.MAX_SHIFT)
 
     def k_sweep():
-        res = ksc.sweep(state["points"], C.pool(state["points"]), P.SWEEP_START, P.SWEEP_END,
-                        P.LEAST_COVERAGE, P.SWEEP_ITERS, P.DELTA, P.MAX_SHIFT)
+        # fixed work, comparable between rounds: K = 2..8 until coverage 0.40, two turns each
+        res = ksc.sweep(state["points"], C.pool(state["points"]), 2, 8, 0.40, 2, P.DELTA, P.MAX_SHIFT)
         res.assigned.unpersist()
 
     def regression_betas():

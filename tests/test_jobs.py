@@ -2,6 +2,7 @@
 
 import os
 
+from wattle.operators import prepare as pr
 from wattle.plans import catalog as C
 from wattle.plans import jobs
 from wattle.sources import fixtures as fx
@@ -14,7 +15,7 @@ def test_jobs_end_to_end(spark, scratch):
     raw = os.path.join(scratch, "raw")
     fx.meter_lines(C.events(spark, SF01)).write.text(raw)
     out = jobs.prepare_points(spark, raw, os.path.join(scratch, "points"), os.path.join(scratch, "seeds"), 26)
-    assert out["points"] == C.points(spark, SF01).count()
+    assert out["points"] == pr.daily_points(C.days(spark, SF01), 26).count()
 
     table = jobs.ksc_clustering(spark, os.path.join(scratch, "points"), os.path.join(scratch, "seeds"),
                                 os.path.join(scratch, "ksc"), max_iter=3, k_start=2, k_end=4, least_coverage=0.99)

@@ -1,12 +1,13 @@
 """K-SC assignment, update, quality invariants and entropy."""
 
 import math
+import types
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattle.functions import kernels
+from wattle.functions import shapes as S
 from wattle.operators import ksc
 from wattle.plans import catalog as C
 
@@ -41,7 +42,7 @@ def pts(spark):
 
 def test_assign_is_true_minimum(spark, pts):
     seeds = ksc.collect_model(ksc.sample_seeds(C.pool(pts), 4))
-    for method in ("sql", "arrow", "codegen"):
+    for method in ("sql", "arrow"):
         rows = ksc.assign(pts, seeds, 1, method=method).limit(200).collect()
         for r in rows:
             d, cid, q = brute(list(r.x), seeds, 1)
@@ -54,7 +55,7 @@ def test_tie_goes_to_lowest_cid(spark):
     c = [0.1] * 12 + [0.0] * 12
     model = {2: (1, c), 1: (1, list(c))}
     df = spark.createDataFrame([(1, x)], "meter_id bigint, x array<double>")
-    for method in ("sql", "arrow", "codegen"):
+    for method in ("sql", "arrow"):
         assert ksc.assign(df, model, 1, method=method).first().cid == 1
 
 
@@ -70,18 +71,52 @@ def test_kernel_equals_sql_exactly(spark, pts):
     assert bad.count() == 0
 
 
-def test_kernel_numpy_nan_skip():
-    X = np.array([[0.0, 1.0] * 12])
-    C_ = np.array([[np.nan] + [0.0] * 23])
-    cid, q, d, z = kernels.nearest(X, np.array([3]), C_, 0, 24)
-    assert cid[0] == 3 and d[0] == pytest.approx(math.sqrt(sum(v * v for v in (X[0] / 12.0)[1:])))
+@pytest.mark.parametrize("method", ["sql", "arrow"])
+@pytest.mark.parametrize("x", [[1.0] * 23, [1.0] * 23 + [float("nan")], [1.0] * 23 + [None], [1.0] * 23 + [float("inf")]])
+def test_short_and_non_finite_points_raise(spark, method, x):
+    df = spark.createDataFrame([(1, x)], "meter_id bigint, x array<double>")
+    with pytest.raises(Exception, match="finite|hours"):
+        ksc.assign(df, {1: (1, [0.1] * 24)}, 1, method=method).collect()
+
+
+def test_non_finite_points_are_left_out_of_a_fit(spark, pts):
+    some = pts.select("meter_id", "day", "x").orderBy("meter_id", "day").limit(40)
+    bad = spark.createDataFrame([(9, None, [1.0] * 25 + [float("nan")]), (9, None, [1.0] * 25 + [None]), (9, None, [])],
+                                some.schema)
+    dirty = some.unionByName(bad)
+    assert ksc.rejected(dirty) == 3
+    seeds = ksc.collect_model(ksc.sample_seeds(C.pool(dirty), 3))
+    assert seeds == ksc.collect_model(ksc.sample_seeds(C.pool(some), 3))
+    clean, same = ksc.fit(ksc.stable(some), seeds), ksc.fit(ksc.stable(dirty), seeds)
+    assert clean.converged and {k: n for k, (n, _) in clean.model.items()} == {k: n for k, (n, _) in same.model.items()}
+
+
+def test_many_centroids(spark):
+    rng = np.random.default_rng(1)
+    C_ = rng.random((2000, 24))
+    model = {i: (1, list(c)) for i, c in enumerate(C_)}
+    X = rng.random((30, 24))
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(X)], "meter_id bigint, x array<double>")
+    Z = X / X.sum(axis=1, keepdims=True)
+    want = ((Z[:, None, :] - C_[None]) ** 2).sum(axis=2).argmin(axis=1)
+    got = {r.meter_id: r.cid for r in ksc.assign(df, model, 0).collect()}
+    assert [got[i] for i in range(30)] == list(want)
+
+
+def test_one_tag_for_each_id(spark, pts):
+    twice = pts.select("meter_id", "day", "x").union(pts.select("meter_id", "day", F.reverse("x")))
+    one = ksc.one_per_id(twice)
+    assert one.count() == pts.count()
+    assert one.join(twice, ["meter_id", "day", "x"], "left_semi").count() == pts.count()
 
 
 def test_quality_invariants(spark, pts):
     seeds = ksc.collect_model(ksc.sample_seeds(C.pool(pts), 5))
     res = ksc.fit(pts, seeds, 3, 0.0, 1)
     a = ksc.assign(pts, res.assigning_model, 1)
-    q = ksc.evaluate(a, res.model, 5).first()
+    q = types.SimpleNamespace(**ksc.quality(res.model, res.squares, 5))
+    ssw = a.join(ksc.model_frame(spark, res.model), "cid").select(F.sum(S.sq_distance("z", "c"))).first()[0]
+    assert q.ssw == pytest.approx(ssw, rel=1e-9)
     assert q.sst == pytest.approx(q.ssb + q.ssw, rel=1e-9)
     assert q.ssw <= q.sst
     assert 0.0 <= q.coverage <= 1.0
@@ -96,9 +131,9 @@ def test_quality_invariants(spark, pts):
 def test_k1_has_zero_coverage_and_no_ch(spark, pts):
     seeds = ksc.collect_model(ksc.sample_seeds(C.pool(pts), 1))
     res = ksc.fit(pts, seeds, 2, 0.0, 1)
-    q = ksc.evaluate(ksc.assign(pts, res.assigning_model, 1), res.model, 1).first()
-    assert q.coverage == pytest.approx(0.0, abs=1e-9)
-    assert q.ch is None
+    q = ksc.quality(res.model, res.squares, 1)
+    assert q["coverage"] == pytest.approx(0.0, abs=1e-9)
+    assert q["ch"] is None
 
 
 def test_entropy_values(spark):

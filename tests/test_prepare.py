@@ -53,7 +53,8 @@ def test_extended_window_uses_adjacent_valid_days(spark):
 
 def test_window_validation():
     import pytest
-    for bad in (23, 25, 74):
+    assert [pr.check_window(w) for w in (24, 25, 26, 27, 72, 73)] == [0, 0, 1, 1, 24, 24]
+    for bad in (23, 74):
         with pytest.raises(ValueError):
             pr.check_window(bad)
 

@@ -27,6 +27,7 @@ RESULT_TYPE = T.StructType([
     T.StructField("z", T.ArrayType(T.DoubleType())),
 ])
 CHUNK_ROWS = 2048
+CENTROID_BLOCK = 128
 _ARROW_TYPE = pa.struct([("cid", pa.int32()), ("q", pa.int32()), ("dist", pa.float64()),
                          ("z", pa.list_(pa.float64()))])
 
@@ -49,23 +50,28 @@ def shifted_shapes(X: np.ndarray, max_shift: int, length: int) -> np.ndarray:
 
 
 def nearest(X: np.ndarray, cids: np.ndarray, C: np.ndarray, max_shift: int, length: int):
-    """Per row: (cid, q, dist, z) minimising (dist, cid, q); NaN positions are skipped."""
+    """Per row: (cid, q, dist, z) minimising (dist, cid, q).
+
+    Centroids are scored in blocks with a running minimum, so memory does not grow with
+    their number; a later block wins only by a smaller distance (ties: the lower cid).
+    """
     Zs = shifted_shapes(X, max_shift, length)          # (S, n, L)
     S, n, width = Zs.shape
-    K = C.shape[0]
-    D2 = np.zeros((n, K, S))
-    for i in range(width):
-        diff = Zs[:, :, i].T[:, None, :] - C[None, :, i, None]   # (n, K, S)
-        sq = diff * diff
-        sq[np.isnan(sq)] = 0.0
-        D2 = D2 + sq
-    D = np.sqrt(D2)
-    flat = np.where(np.isnan(D), np.inf, D).reshape(n, K * S)   # cid-major, then q
-    best = np.argmin(flat, axis=1)
-    k_idx, s_idx = np.divmod(best, S)
     rows = np.arange(n)
-    return (cids[k_idx].astype(np.int32), (s_idx - max_shift).astype(np.int32),
-            D[rows, k_idx, s_idx], Zs[s_idx, rows, :])
+    dist, k_best, s_best = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k0 in range(0, C.shape[0], CENTROID_BLOCK):
+        B = C[k0:k0 + CENTROID_BLOCK]
+        D2 = np.zeros((n, len(B), S))
+        for i in range(width):
+            diff = Zs[:, :, i].T[:, None, :] - B[None, :, i, None]   # (n, block, S)
+            D2 = D2 + diff * diff
+        flat = np.sqrt(D2).reshape(n, len(B) * S)                    # cid-major, then q
+        best = np.argmin(flat, axis=1)
+        closer = flat[rows, best] < dist
+        dist = np.where(closer, flat[rows, best], dist)
+        k_best = np.where(closer, k0 + best // S, k_best)
+        s_best = np.where(closer, best % S, s_best)
+    return (cids[k_best].astype(np.int32), (s_best - max_shift).astype(np.int32), dist, Zs[s_best, rows, :])
 
 
 def _to_matrix(arr: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +91,10 @@ def assign_udf(model: dict, max_shift: int, length: int):
     def nearest_centroid(x: pa.Array) -> pa.Array:
         n = len(x)
         lengths, values = _to_matrix(x)
+        if n and lengths.min() < length:
+            raise ValueError(f"a point has {int(lengths.min())} hours, the centroids have {length}")
+        if not np.isfinite(values).all():
+            raise ValueError("a point has a value that is missing or not finite; see prepare.is_finite")
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         zw = np.minimum(lengths, length)
         same = n == 0 or bool((zw == zw[0]).all())

@@ -80,7 +80,7 @@ def normalize(x) -> Column:
 
 def _assert_same_size(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.lit(True)).otherwise(
-        F.raise_error(F.lit("Both points should contain the same number of values."))
+        F.raise_error(F.lit("cannot compare shapes of different length"))
     )
 
 

@@ -1,15 +1,14 @@
 """K-SC: shift-invariant k-means over normalised daily load shapes.
 
-Model state is at most a few hundred centroids of 24 values (the seed pool holds 100;
-``MAX_CENTROIDS`` is enforced), so each iteration ships it to the tasks with the task
-closure (the DataFrame equivalent of a broadcast variable) and gets it back as one
-aggregated row per cluster:
+Model state is the K centroids of 24 values (K is chosen by the user; the seed pool holds
+100), so each iteration ships it to the tasks with the task closure (the DataFrame
+equivalent of a broadcast variable) and gets it back as one aggregated row per cluster:
 
   assign  : narrow over the persisted points (Arrow-batched kernel by default), no
             shuffle, no join
   update  : groupBy(cid) with partial aggregation -> at most K rows per task cross the
             network, so a cluster holding a third of all points costs nothing extra
-  evaluate: one aggregate pass (SST, SSW) with the final model as literals
+  quality : no pass of its own: the update also sums the squared lengths of the shapes
 
 The loop's plan has constant size (points + model), so lineage does not grow with the
 iteration count; the points are spread, checkpointed and persisted once (``stable``).
@@ -20,13 +19,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import assign_udf
-from ..functions.literals import sql_array, sql_double
-from ..functions.shapes import DAY, crop, normalize, shift_candidates, sq_distance, sq_distance_unrolled
+from ..functions.literals import sql_array
+from ..functions.shapes import DAY, crop, normalize, shift_candidates, sq_distance
 from ..session import cached, parallelism, reliable, spread
+from .prepare import is_finite
 
 Model = dict  # cid -> (n, list[float])
 
@@ -41,14 +42,6 @@ def model_literal(model: Model) -> Column:
     return F.expr(f"array({items})")
 
 
-def centroid_lookup(model: Model) -> Column:
-    """``MAP<INT, ARRAY<DOUBLE>>`` literal for cid -> centroid."""
-    items = sorted(model.items())
-    keys = ", ".join(str(int(cid)) for cid, _ in items)
-    vals = ", ".join(sql_array(c) for _, (_, c) in items)
-    return F.expr(f"map_from_arrays(array({keys}), array({vals}))")
-
-
 def collect_model(centroids: DataFrame) -> Model:
     """Bring a centroid table (``cid, n, c``; at most a few hundred rows) to the driver."""
     return {int(r["cid"]): (int(r["n"]), [float(v) for v in r["c"]]) for r in centroids.collect()}
@@ -65,10 +58,7 @@ def model_frame(spark, model: Model) -> DataFrame:
 
 # "arrow": vectorised numpy kernel over Arrow batches (bit-identical to "sql", 16-35x faster)
 # "sql": pure higher-order array expressions (no Python worker)
-# "codegen": unrolled scalar expressions (no Python worker), small models only
 ASSIGN_METHOD = "arrow"
-CODEGEN_MAX_TERMS = 64
-MAX_CENTROIDS = 1000      # the model travels with every task; keep it a few hundred KB
 
 
 def assign(points: DataFrame, model: Model, max_shift: int = 1, length: int = DAY,
@@ -80,11 +70,11 @@ def assign(points: DataFrame, model: Model, max_shift: int = 1, length: int = DA
     minimum of ``(dist, cid, q)`` wins, i.e. ties go to the lowest cid, then the smallest q.
 
     ``points``: ``meter_id, day, x`` -> adds ``cid INT, q INT, dist DOUBLE, z ARRAY<DOUBLE>``.
+    Points need at least ``length`` finite values (see ``stable`` and ``prepare.is_finite``);
+    any other point is an error.
     """
     if not model:
         raise ValueError("empty model")
-    if len(model) > MAX_CENTROIDS:
-        raise ValueError(f"at most {MAX_CENTROIDS} centroids are supported, got {len(model)}")
     method = method or ASSIGN_METHOD
     if method == "arrow":
         best = assign_udf(model, max_shift, length)(F.col("x"))
@@ -92,9 +82,10 @@ def assign(points: DataFrame, model: Model, max_shift: int = 1, length: int = DA
             *points.columns,
             *[F.col(f"_best.{c}").alias(c) for c in ("cid", "q", "dist", "z")],
         )
-    if method == "codegen":
-        return _assign_codegen(points, model, max_shift, length)
     cents = model_literal(model)
+    good = is_finite() & (F.size("x") >= length)
+    points = points.withColumn("x", F.when(good, F.col("x")).otherwise(F.raise_error(F.lit(
+        f"a point needs {length} hours, all finite")).cast("array<double>")))
     scored = F.flatten(
         F.transform(
             F.col("_cands"),
@@ -122,64 +113,26 @@ def assign(points: DataFrame, model: Model, max_shift: int = 1, length: int = DA
     )
 
 
-def _assign_codegen(points: DataFrame, model: Model, max_shift: int, length: int) -> DataFrame:
-    """The assignment as unrolled scalar arithmetic (JVM only, compiled by codegen).
-
-    Same arithmetic and order as the other paths; needs points of at least ``length`` hours.
-    Measured at sf0.1 (32,536 points, 3 shifts): bit-identical to the Arrow kernel but 6-13x
-    slower (the generated methods are too large for the JIT), and the expression tree
-    exhausts a 1 GB driver at K = 100, so it is limited to small models.
-    """
-    shifts = list(range(-max_shift, max_shift + 1))
-    if len(model) * len(shifts) > CODEGEN_MAX_TERMS:
-        raise ValueError(f"codegen assignment supports at most {CODEGEN_MAX_TERMS} centroid-shift pairs")
-    tag = lambda q: f"m{-q}" if q < 0 else f"p{q}"
-    base = points.selectExpr("*", "size(x) AS _n",
-                             f"CAST(CASE WHEN size(x) > {length} THEN (size(x) - {length}) div 2 ELSE 0 END AS INT) AS _st")
-    vals = [f"element_at(x, pmod({i} + _st + (CASE WHEN {abs(q)} >= _n THEN 0 ELSE {q} END), _n) + 1) AS _v{tag(q)}_{i}"
-            for q in shifts for i in range(length)]
-    df = base.selectExpr("*", *vals)
-    sums = []
-    for q in shifts:
-        acc = "0.0D"
-        for i in range(length):
-            acc = f"({acc} + _v{tag(q)}_{i})"
-        sums.append(f"{acc} AS _s{tag(q)}")
-    df = df.selectExpr("*", *sums)
-    zs = [f"CASE WHEN _s{tag(q)} = 0.0D THEN _v{tag(q)}_{i} ELSE _v{tag(q)}_{i} / _s{tag(q)} END AS _z{tag(q)}_{i}"
-          for q in shifts for i in range(length)]
-    df = df.selectExpr(*points.columns, *zs)
-    dists = []
-    for cid, (_, c) in sorted(model.items()):
-        for q in shifts:
-            acc = "0.0D"
-            for i in range(length):
-                z, cv = f"_z{tag(q)}_{i}", sql_double(c[i])
-                acc = f"({acc} + CASE WHEN isnan({z}) OR isnan({cv}) THEN 0.0D ELSE ({z} - {cv}) * ({z} - {cv}) END)"
-            dists.append(f"named_struct('dist', sqrt({acc}), 'cid', {int(cid)}, 'q', {q})")
-    best = dists[0] if len(dists) == 1 else f"least({', '.join(dists)})"
-    df = df.selectExpr("*", f"{best} AS _best")
-    zcase = "CASE _best.q " + " ".join(
-        f"WHEN {q} THEN array({', '.join(f'_z{tag(q)}_{i}' for i in range(length))})" for q in shifts) + " END"
-    return df.selectExpr(*points.columns, "_best.cid AS cid", "_best.q AS q", "_best.dist AS dist", f"{zcase} AS z")
-
-
 def update(assigned: DataFrame, length: int = DAY) -> DataFrame:
-    """New centroids: per-position mean of the assigned shapes. ``cid, n, c``.
+    """New centroids: per-position mean of the assigned shapes, and the sum of the shapes'
+    squared lengths. ``cid, n, c, ss``.
 
     A cluster that received no point has no row (the effective K can shrink).
     """
+    squares = " + ".join(f"z[{i}] * z[{i}]" for i in range(length))
     return assigned.groupBy("cid").agg(
         F.count(F.lit(1)).alias("n"),
         F.expr("array(" + ", ".join(f"avg(z[{i}])" for i in range(length)) + ")").alias("c"),
+        F.expr(f"sum({squares})").alias("ss"),
     )
 
 
 def movement(new_centroids: DataFrame, old: Model, delta: float) -> DataFrame:
     """Adds ``moved`` (distance from the previous centroid) and ``over`` (moved > delta)."""
-    prev = F.element_at(centroid_lookup(old), F.col("cid"))
-    d = F.sqrt(sq_distance(F.col("c"), prev))
-    return new_centroids.withColumn("moved", d).withColumn("over", F.col("moved") > F.lit(delta))
+    before = model_frame(new_centroids.sparkSession, old).select("cid", F.col("c").alias("_old"))
+    both = new_centroids.join(F.broadcast(before), "cid")   # K rows
+    return both.withColumn("moved", F.sqrt(sq_distance("c", "_old"))).drop("_old").withColumn(
+        "over", F.col("moved") > F.lit(delta))
 
 
 # ---------------------------------------------------------------------------------------
@@ -193,26 +146,25 @@ class FitResult:
     assigning_model: Model     # model the final assignment was made with
     iterations: int
     converged: bool
+    squares: float = 0.0       # sum of the squared lengths of the finally assigned shapes
     history: list = field(default_factory=list)   # (iteration, n_moved, total_moved)
 
 
-POINTS_PER_PARTITION = 50_000   # ~12 MB of 26-hour points; ~15 M distance evaluations at K = 100
-
-
 def stable(points: DataFrame) -> DataFrame:
-    """Points ready for iterating: checkpointed, then spread over a partition count sized from
-    their row count (at least the task slots, at most ``spark.sql.shuffle.partitions``) and
-    persisted. Adaptive execution sizes partitions by bytes, which can leave these small but
-    CPU-heavy rows in a single task."""
+    """Points ready for iterating: without points that have a missing or non-finite value,
+    spread over a partition count sized from their row count (at least the task slots, at
+    most ``spark.sql.shuffle.partitions``), checkpointed and persisted. Adaptive execution
+    sizes partitions by bytes, which can leave these small but CPU-heavy rows in one task."""
     spark = points.sparkSession
-    ck = reliable(points)
-    rows = ck.count()
-    slots = spark.sparkContext.defaultParallelism
-    n = max(slots, min(-(-rows // POINTS_PER_PARTITION), parallelism(spark)))
-    return cached(spread(ck, n))
+    return cached(reliable(spread(points.where(is_finite()), parallelism(spark))))
+
 
+def rejected(points: DataFrame) -> int:
+    """How many points ``stable`` leaves out."""
+    return points.where(~is_finite()).count()
 
-def fit(points: DataFrame, seeds: Model, max_iter: int = 10, delta: float = 1e-4,
+
+def fit(points: DataFrame, seeds: Model, max_iter: int = 100, delta: float = 1e-4,
         max_shift: int = 1, length: int = DAY) -> FitResult:
     """Iterate assign -> update until no centroid moves more than ``delta`` or
     ``max_iter`` iterations ran. Pass ``stable(points)`` (each iteration scans them)."""
@@ -220,69 +172,41 @@ def fit(points: DataFrame, seeds: Model, max_iter: int = 10, delta: float = 1e-4
     prev = model
     history = []
     converged = False
-    it = 0
+    it, squares = 0, 0.0
     while it < max_iter and not converged:
         rows = movement(update(assign(points, model, max_shift, length), length), model, delta).collect()
         prev = model
         model = {int(r["cid"]): (int(r["n"]), [float(v) for v in r["c"]]) for r in rows}
+        squares = math.fsum(r["ss"] for r in rows)
         over = [r["moved"] for r in rows if r["over"]]
         history.append((it, len(over), float(sum(over))))
         converged = len(over) == 0
         it += 1
-    return FitResult(len(seeds), model, prev, it, converged, history)
+    return FitResult(len(seeds), model, prev, it, converged, squares, history)
 
 
 # ---------------------------------------------------------------------------------------
 # quality
 # ---------------------------------------------------------------------------------------
 
-def overall_centroid(model: Model, length: int = DAY) -> tuple[int, list[float]]:
-    n_total = sum(n for n, _ in model.values())
-    mu = [0.0] * length
-    for n, c in model.values():
-        for i in range(length):
-            mu[i] += c[i] * n
-    return n_total, [v / n_total for v in mu]
-
-
-def _sqdist_py(a, b) -> float:
-    s = 0.0
-    for u, v in zip(a, b):
-        if not (math.isnan(u) or math.isnan(v)):
-            s += (u - v) * (u - v)
-    return s
-
-
-def evaluate(assigned: DataFrame, model: Model, k_requested: int, length: int = DAY) -> DataFrame:
-    """One-row quality table for an assignment and its cluster means.
+def quality(model: Model, squares: float, k_requested: int) -> dict:
+    """Quality of an assignment whose cluster means are ``model`` and whose shapes' squared
+    lengths sum to ``squares``; needs no pass over the points.
 
-    SST = sum |z - mu|^2, SSW = sum |z - c(z)|^2 (one aggregate pass over the assignment),
-    SSB = sum n_i |c_i - mu|^2 over at most K centroids, coverage = SSB / SST and
-    Calinski-Harabasz = SSB (N - K) / (SSW (K - 1)) with the requested K (null for K = 1
+    With N points, K weighted means c_k and their weighted mean m: SSB = sum n_k |c_k - m|^2,
+    SSW = squares - sum n_k |c_k|^2, SST = SSB + SSW, coverage = SSB / SST and
+    Calinski-Harabasz = SSB (N - K) / (SSW (K - 1)) with the requested K (None for K = 1
     or SSW = 0).
     """
-    n_total, mu = overall_centroid(model, length)
-    ssb = sum(n * _sqdist_py(c, mu) for n, c in model.values())
-    own = F.element_at(centroid_lookup(model), F.col("cid"))
-    agg = assigned.withColumn("_own", own).agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.sum(sq_distance_unrolled("z", [sql_double(v) for v in mu])).alias("sst"),
-        F.sum(sq_distance_unrolled("z", [f"_own[{i}]" for i in range(length)])).alias("ssw"),
-    )
-    k = F.lit(int(k_requested))
-    return agg.select(
-        k.alias("k"),
-        F.lit(len(model)).alias("k_effective"),
-        "n_points",
-        "sst",
-        F.lit(float(ssb)).alias("ssb"),
-        "ssw",
-        F.try_divide(F.lit(float(ssb)), F.col("sst")).alias("coverage"),
-        F.when(
-            (k > 1) & (F.col("ssw") != 0.0),
-            F.lit(float(ssb)) * (F.col("n_points") - k) / (F.col("ssw") * (k - 1)),
-        ).alias("ch"),
-    )
+    weight = np.array([n for n, _ in model.values()], float)
+    means = np.array([c for _, c in model.values()], float)
+    spread_ = means - np.average(means, axis=0, weights=weight)
+    ssb = float(weight @ np.einsum("kl,kl->k", spread_, spread_))
+    ssw = max(0.0, float(squares - weight @ np.einsum("kl,kl->k", means, means)))
+    n, sst = int(weight.sum()), ssb + ssw
+    return {"k": int(k_requested), "k_effective": len(model), "n_points": n, "sst": sst, "ssb": ssb, "ssw": ssw,
+            "coverage": ssb / sst if sst else None,
+            "ch": ssb * (n - k_requested) / (ssw * (k_requested - 1)) if k_requested > 1 and ssw else None}
 
 
 # ---------------------------------------------------------------------------------------
@@ -305,7 +229,7 @@ class SweepResult:
 
 
 def sweep(points: DataFrame, pool: DataFrame, k_start: int, k_end: int, least_coverage: float,
-          max_iter: int = 10, delta: float = 1e-4, max_shift: int = 1, length: int = DAY) -> SweepResult:
+          max_iter: int = 100, delta: float = 1e-4, max_shift: int = 1, length: int = DAY) -> SweepResult:
     """Raise K from ``k_start`` until the coverage reaches ``least_coverage`` (or ``k_end``).
 
     Every K starts from a fresh sample of the seed pool. The last K tried is kept.
@@ -318,9 +242,7 @@ def sweep(points: DataFrame, pool: DataFrame, k_start: int, k_end: int, least_co
     for k in range(k_start, k_end + 1):
         seeds = collect_model(sample_seeds(pool, k))
         res = fit(points, seeds, max_iter, delta, max_shift, length)
-        # evaluated from a narrow re-assignment: no points-sized copy is kept per K
-        q = evaluate(assign(points, res.assigning_model, max_shift, length), res.model, k, length)
-        q = q.collect()[0].asDict()
+        q = quality(res.model, res.squares, k)
         q.update(iterations=res.iterations, converged=res.converged)
         table.append(q)
         if q["coverage"] is not None and q["coverage"] >= least_coverage:
@@ -352,10 +274,17 @@ def centroid_shares(centroids: DataFrame) -> DataFrame:
             .orderBy(F.desc("share"), "cid"))
 
 
+def one_per_id(points: DataFrame) -> DataFrame:
+    """One point of each (meter, day): of several, the one with the least values. Combined
+    map-side, so many copies of one id do not meet in one task."""
+    return points.groupBy("meter_id", "day").agg(F.min("x").alias("x"))
+
+
 def tag_points(assigned: DataFrame, length: int = DAY) -> DataFrame:
     """``meter_id, day, cid, original, shifted``: the centre day normalised, and the
     shifted shape the point was assigned with. The original rides along with the
-    assignment, so no join is needed."""
+    assignment, so no join is needed. A (meter, day) that occurs more than once is tagged
+    as often; pass ``one_per_id`` points for one tag each."""
     return assigned.select(
         "meter_id", "day", "cid",
         normalize(crop("x", length)).alias("original"),
@@ -385,6 +314,7 @@ def entropy_histogram(entropy: DataFrame, bins: int = 10) -> DataFrame:
     """Equal-width histogram of ``entropy`` between its min and max; the maximum falls in
     the last bin. ``bin (1..bins), lo, hi, n`` with empty bins included."""
     spark = entropy.sparkSession
+    entropy = cached(entropy.select("entropy"))  # one number per meter, read twice
     lo, hi = entropy.agg(F.min("entropy"), F.max("entropy")).first()
     if lo is None:
         return spark.createDataFrame([], "bin INT, lo DOUBLE, hi DOUBLE, n BIGINT")

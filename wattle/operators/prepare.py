@@ -81,9 +81,11 @@ def complete_days(readings: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def check_window(window_size: int) -> int:
-    if window_size < HOURS or window_size > 3 * HOURS or (window_size - HOURS) % 2:
-        raise ValueError(f"window size must be 24 + 2n with 0 <= n <= 24, got {window_size}")
-    return (window_size - HOURS) // 2
+    """Margin hours on each side: half of what exceeds 24, rounded down."""
+    n = (window_size - HOURS) // 2
+    if not 0 <= n <= HOURS:
+        raise ValueError(f"a window holds 24 hours and at most a day on each side, got {window_size}")
+    return n
 
 
 def daily_points(days: DataFrame, window_size: int = HOURS) -> DataFrame:
@@ -93,7 +95,7 @@ def daily_points(days: DataFrame, window_size: int = HOURS) -> DataFrame:
     calendar are ignored); a meter's first and last valid day have no point. With
     ``window_size = 24`` the days are returned as they are.
 
-    ``days``: ``meter_id, day, x`` -> ``meter_id, day, x ARRAY<DOUBLE>`` of ``window_size``.
+    ``days``: ``meter_id, day, x`` -> ``meter_id, day, x ARRAY<DOUBLE>`` of ``24 + 2n``.
     """
     n = check_window(window_size)
     if n == 0:
@@ -113,6 +115,13 @@ def daily_points(days: DataFrame, window_size: int = HOURS) -> DataFrame:
     )
 
 
+def is_finite(x: Column | str = "x") -> Column:
+    """Whether a point has values and every one is a finite number."""
+    x = F.col(x) if isinstance(x, str) else x
+    ok = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce((F.size(x) > 0) & ok, F.lit(False))
+
+
 def point_key(meter_id: Column | str = "meter_id", day: Column | str = "day") -> Column:
     """Text id of a point for hashing/export: ``meter|yyyy-MM-dd``."""
     m = F.col(meter_id) if isinstance(meter_id, str) else meter_id
@@ -130,7 +139,7 @@ def seed_centroids(points: DataFrame, k: int = 100, salt: str = "seed") -> DataF
     """
     key = F.md5(F.concat_ws("|", F.lit(salt), point_key()))
     top = (
-        points.select(key.alias("_key"), "meter_id", "day", normalize(crop("x", HOURS)).alias("c"))
+        points.where(is_finite()).select(key.alias("_key"), "meter_id", "day", normalize(crop("x", HOURS)).alias("c"))
         .orderBy("_key", "meter_id", "day")
         .limit(k)
     )

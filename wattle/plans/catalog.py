@@ -44,7 +44,8 @@ def days(spark, sf) -> DataFrame:
 
 
 def points(spark, sf, window=P.WINDOW) -> DataFrame:
-    return pr.daily_points(days(spark, sf), window)
+    """Points of all meter-days (without the injected faults, which only the ingest queries read)."""
+    return pr.daily_points(fx.full_days(events(spark, sf)), window)
 
 
 def stable_points(spark, sf) -> DataFrame:
@@ -60,7 +61,7 @@ def fitted(spark, sf):
     """(points, fit result, final assignment) of the fixed K_FIT fit."""
     pts = stable_points(spark, sf)
     seeds = ksc.collect_model(ksc.sample_seeds(pool(pts), P.K_FIT))
-    res = ksc.fit(pts, seeds, P.FIT_ITERS, P.DELTA, P.MAX_SHIFT)
+    res = ksc.fit(pts, seeds, P.MAX_ITERS, P.DELTA, P.MAX_SHIFT)
     # each query reads the final assignment once: a narrow re-assignment, not a cached copy
     assigned = ksc.assign(pts, res.assigning_model, P.MAX_SHIFT)
     return pts, res, assigned
@@ -101,7 +102,7 @@ def q_shape_shifts(spark, sf):
 
 
 def q_shape_distance(spark, sf):
-    pts = points(spark, sf)
+    pts = cached(points(spark, sf))  # read for the seeds and again for the distances
     seeds = ksc.collect_model(pool(pts).where(F.col("cid") <= P.K_FIT))
     rows = pts.select(
         "meter_id", "day",
@@ -118,14 +119,14 @@ def q_shape_distance(spark, sf):
 
 
 def q_ksc_assign(spark, sf):
-    pts = points(spark, sf)
+    pts = cached(points(spark, sf))
     seeds = ksc.collect_model(ksc.sample_seeds(pool(pts), P.K_FIT))
     a = ksc.assign(pts, seeds, P.MAX_SHIFT)
     return a.select("meter_id", "day", "cid", "q", _r("dist"))
 
 
 def q_ksc_update(spark, sf):
-    pts = points(spark, sf)
+    pts = cached(points(spark, sf))
     seeds = ksc.collect_model(ksc.sample_seeds(pool(pts), P.K_FIT))
     upd = ksc.movement(ksc.update(ksc.assign(pts, seeds, P.MAX_SHIFT)), seeds, P.DELTA)
     return upd.select("cid", "n", _r("moved"), "over", F.posexplode("c").alias("pos", "_v")).select(
@@ -142,9 +143,10 @@ def q_ksc_fit(spark, sf):
 
 
 def q_cluster_quality(spark, sf):
-    _, res, assigned = fitted(spark, sf)
-    q = ksc.evaluate(assigned, res.model, P.K_FIT)
-    return q.select("k", "k_effective", "n_points", *[_r(c) for c in ["sst", "ssb", "ssw", "coverage", "ch"]])
+    _, res, _ = fitted(spark, sf)
+    q = ksc.quality(res.model, res.squares, P.K_FIT)
+    t = ksc.sweep_frame(spark, [{**q, "iterations": res.iterations, "converged": res.converged}])
+    return t.select("k", "k_effective", "n_points", *[_r(c) for c in ["sst", "ssb", "ssw", "coverage", "ch"]])
 
 
 def q_centroid_share(spark, sf):
@@ -191,7 +193,8 @@ def q_entropy_class(spark, sf):
 def q_k_sweep(spark, sf):
     pts = stable_points(spark, sf)
     res = ksc.sweep(pts, pool(pts), P.SWEEP_START, P.SWEEP_END, P.LEAST_COVERAGE,
-                    P.SWEEP_ITERS, P.DELTA, P.MAX_SHIFT)
+                    P.MAX_ITERS, P.DELTA, P.MAX_SHIFT)
+    res.assigned.unpersist()
     t = ksc.sweep_frame(spark, res.table)
     return t.select("k", "k_effective", "iterations", "n_points",
                     *[_r(c) for c in ["sst", "ssb", "ssw", "coverage", "ch"]])
@@ -268,8 +271,8 @@ def synthetic(spark, sf, detail=False) -> DataFrame:
     prof = cached(pf.profile_arrays(pf.activity_profile(w)))
     temps = cached(syn.temperature_seed(w))
     n = prof.count()
-    return syn.synthesize(prof, temps, n, P.SYNTH_DAYS, P.SYNTH_START, P.PEAKY_RATIO,
-                          P.SYNTH_PARTITIONS, P.SYNTH_SEED, detail)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n * P.SYNTH_DAYS * 24 // P.SYNTH_HOURS_PER_TASK))
+    return syn.synthesize(prof, temps, n, P.SYNTH_DAYS, P.SYNTH_START, P.PEAKY_RATIO, tasks, P.SYNTH_SEED, detail)
 
 
 def q_synth_series(spark, sf):
@@ -371,3 +374,99 @@ QUERIES.update({
     "cluster_members": q_cluster_members,
     "activity_load": q_activity_load,
 })
+
+
+# --------------------------------------------------------------------------- files, jobs, screens
+
+from . import jobs  # noqa: E402
+
+
+def q_raw_file_ingest(spark, sf):
+    """The raw reading lines written to text files, scanned and ingested again."""
+    base = scratch_path(spark, "raw")
+    fx.meter_lines(events(spark, sf)).write.text(base)
+    r = pr.ingest_lines(tx.read_raw_lines(spark, base))
+    return r.select("meter_id", "day", F.col("hour").cast("int").alias("hour"), _r("reading"))
+
+
+def q_point_files(spark, sf):
+    """Points written in their text format (globally ordered) and read again, key and values."""
+    base = scratch_path(spark, "points")
+    tx.write_points(points(spark, sf), base, sort=True)
+    return _long(tx.read_points(spark, base), ["meter_id", "day"], "x")
+
+
+def q_result_files(spark, sf):
+    """Shares and entropies of the fit, written in their text formats and read again."""
+    base = scratch_path(spark, "results")
+    _, res, assigned = fitted(spark, sf)
+    tx.write_shares(ksc.centroid_shares(ksc.model_frame(spark, res.model)), f"{base}/shares")
+    tx.write_entropy(ksc.meter_entropy(assigned), f"{base}/entropy")
+    shares = tx.read_shares(spark, f"{base}/shares").select(F.lit("share").alias("kind"), F.col("cid").cast("long").alias("id"), _r("share", "value"))
+    entropy = tx.read_entropy(spark, f"{base}/entropy").select(F.lit("entropy").alias("kind"), F.col("meter_id").alias("id"), _r("entropy", "value"))
+    return shares.unionByName(entropy)
+
+
+def q_tagged_files(spark, sf):
+    """Tagged points written in their text format (ordered) and read again, by cluster."""
+    base = scratch_path(spark, "tagged")
+    _, _, assigned = fitted(spark, sf)
+    tx.write_tagged(ksc.tag_points(assigned), base, sort=True)
+    peak = F.struct(F.array_max("original").alias("o"), F.array_max("shifted").alias("s"))
+    return tx.read_tagged(spark, base).select("cid", peak.alias("p")).select("cid", _r("p.o", "peak"), _r("p.s", "peak_shifted"))
+
+
+def q_point_screen(spark, sf):
+    """Points with faults put in by key arithmetic (a missing or a NaN hour): those that a
+    fit keeps, and how many it leaves out."""
+    k = F.col("meter_id") + F.dayofyear("day")
+    hour3 = F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, F.lit(None).cast("double"))
+    bad = (k % 7 == 0) | (k % 11 == 0)
+    dirty = points(spark, sf).withColumn("x", F.when(bad, F.transform("x", lambda v, i: F.when(i == 3, hour3).otherwise(v))).otherwise(F.col("x")))
+    dirty = cached(dirty)
+    out = ksc.rejected(dirty)
+    return ksc.stable(dirty).groupBy("meter_id").agg(F.count("*").alias("kept"), F.lit(out).alias("rejected"))
+
+
+def q_tagged_repeated(spark, sf):
+    """Every point twice (as it is and reversed): one of each id is kept, the lesser."""
+    p = points(spark, sf)
+    return _long(ksc.one_per_id(p.unionByName(p.withColumn("x", F.reverse("x")))), ["meter_id", "day"], "x")
+
+
+def q_job_prepare_points(spark, sf):
+    """The preparation job over raw text files: points and seeds that it wrote."""
+    base = scratch_path(spark, "job-prepare")
+    fx.meter_lines(events(spark, sf)).write.text(f"{base}/raw")
+    jobs.prepare_points(spark, f"{base}/raw", f"{base}/points", f"{base}/seeds", P.WINDOW, P.POOL)
+    return _long(tx.read_points(spark, f"{base}/points"), ["meter_id", "day"], "x")
+
+
+def q_job_train_profiles(spark, sf):
+    """The training job over weather files: the profiles that it wrote."""
+    base = scratch_path(spark, "job-train")
+    tx.write_weather(weather(spark, sf), f"{base}/weather")
+    jobs.train_profiles(spark, f"{base}/weather", f"{base}/profiles")
+    p = tx.profiles_long(tx.read_profiles(spark, f"{base}/profiles"))
+    return p.select("meter_id", "hour", _r("mean"), _r("sd"))
+
+
+def q_temperature_seed_file(spark, sf):
+    """The temperature seed as one line of a text file, read again."""
+    base = scratch_path(spark, "temperatures")
+    seed = syn.temperature_seed(weather(spark, sf)).agg(F.array_sort(F.collect_list(F.struct("pos", "temperature"))).alias("t"))
+    seed.select(F.array_join(F.transform("t", lambda e: e["temperature"].cast("string")), "|")).write.text(base)
+    return tx.read_temperature_seed(spark, base).select("pos", _r("temperature"))
+
+
+QUERIES.update({
+    "raw_file_ingest": q_raw_file_ingest,
+    "point_files": q_point_files,
+    "result_files": q_result_files,
+    "tagged_files": q_tagged_files,
+    "point_screen": q_point_screen,
+    "tagged_repeated": q_tagged_repeated,
+    "job_prepare_points": q_job_prepare_points,
+    "job_train_profiles": q_job_train_profiles,
+    "temperature_seed_file": q_temperature_seed_file,
+})

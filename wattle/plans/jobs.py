@@ -17,7 +17,7 @@ import os
 from pyspark.sql import SparkSession
 
 from ..operators import ksc, prepare as pr, profile as pf, synthesize as syn
-from ..session import cached, parallelism, reliable, spread
+from ..session import cached
 from ..sources import text as tx
 
 
@@ -33,15 +33,17 @@ def prepare_points(spark: SparkSession, input_dir: str, point_out: str, centroid
 
 
 def ksc_clustering(spark: SparkSession, point_dir: str, centroid_dir: str, out_dir: str,
-                   max_iter: int = 10, delta: float = 1e-4, min_partitions: int | None = None,
+                   max_iter: int = 100, delta: float = 1e-4, min_partitions: int | None = None,
                    max_shift: int = 1, k_start: int = 2, k_end: int = 20,
                    least_coverage: float = 0.5) -> list:
-    points = cached(reliable(spread(tx.read_points(spark, point_dir), max(min_partitions or 0, parallelism(spark)))))
+    read = tx.read_points(spark, point_dir, min_partitions)
+    points = ksc.stable(read)   # points with a missing or non-finite value are left out
     pool = tx.read_centroids(spark, centroid_dir)
     res = ksc.sweep(points, pool, k_start, k_end, least_coverage, max_iter, delta, max_shift)
     shares = ksc.centroid_shares(ksc.model_frame(spark, res.fit.model))
     tx.write_shares(shares, os.path.join(out_dir, "centroid"))
-    tx.write_tagged(ksc.tag_points(res.assigned), os.path.join(out_dir, "taggedpoints"), sort=True)
+    tags = ksc.tag_points(ksc.assign(ksc.one_per_id(points), res.fit.assigning_model, max_shift))
+    tx.write_tagged(tags, os.path.join(out_dir, "taggedpoints"), sort=True)
     tx.write_entropy(ksc.meter_entropy(res.assigned), os.path.join(out_dir, "entropy"))
     tx.write_elbow(ksc.sweep_frame(spark, res.table), os.path.join(out_dir, "elbow"))
     res.assigned.unpersist()

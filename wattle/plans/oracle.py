@@ -20,7 +20,7 @@ def _with(ctes: list[tuple[str, str]], body: str) -> str:
             continue
         seen.add(name)
         parts.append(f"{name} AS (\n{sql}\n)")
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
 def r(expr: str) -> str:
@@ -95,16 +95,22 @@ HAVING count(*) = 24 AND count(DISTINCT hour) = 24 AND sum(reading) > 0"""
     return readings() + [("cdays", sql)]
 
 
-def points(w: int = P.WINDOW):
-    name = f"pts{w}"
+def fdays():
+    """Days without injected faults."""
+    return meter_days() + [("fdays", f"SELECT meter_id, day, v AS x FROM meter_days WHERE {lsum('v')} > 0")]
+
+
+def points(w: int = P.WINDOW, days: str = "fdays"):
+    name = f"pts{w}" if days == "fdays" else f"{days}{w}"
     n = (w - DAY) // 2
+    source = fdays() if days == "fdays" else cdays()
     if n == 0:
-        return cdays() + [(name, "SELECT meter_id, day, x FROM cdays")]
+        return source + [(name, f"SELECT meter_id, day, x FROM {days}")]
     sql = f"""SELECT meter_id, day, list_concat(list_concat(prev[{DAY - n + 1}:{DAY}], x), nxt[1:{n}]) AS x FROM (
-  SELECT meter_id, day, x, lag(x) OVER w AS prev, lead(x) OVER w AS nxt FROM cdays
+  SELECT meter_id, day, x, lag(x) OVER w AS prev, lead(x) OVER w AS nxt FROM {days}
   WINDOW w AS (PARTITION BY meter_id ORDER BY day))
 WHERE prev IS NOT NULL AND nxt IS NOT NULL"""
-    return cdays() + [(name, sql)]
+    return source + [(name, sql)]
 
 
 def pool(w: int = P.WINDOW):
@@ -146,27 +152,29 @@ def update(assigned: str, name: str):
     return [(name, f"SELECT cid, count(*) AS n, [{avgs}] AS c FROM {assigned} GROUP BY cid")]
 
 
-def moved(new: str, old: str, name: str, delta: float = P.DELTA):
-    sql = f"""SELECT count(*) FILTER (WHERE moved > {delta!r}) AS n_over FROM (
-  SELECT a.cid, sqrt({sqdist('a.c', 'b.c')}) AS moved FROM {new} a JOIN {old} b USING (cid))"""
-    return [(name, sql)]
-
-
-def fit(seed_name: str, prefix: str, iters: int):
-    """Unrolled fit with early stop; defines {prefix}_stop, {prefix}_model, {prefix}_asg."""
-    ctes = []
-    for it in range(iters):
-        model = seed_name if it == 0 else f"{prefix}_m{it}"
-        ctes += assign(model, f"{prefix}_a{it}")
-        ctes += update(f"{prefix}_a{it}", f"{prefix}_m{it + 1}")
-        ctes += moved(f"{prefix}_m{it + 1}", model, f"{prefix}_mv{it}")
-    flags = " UNION ALL ".join(f"SELECT {it} AS it, n_over FROM {prefix}_mv{it}" for it in range(iters))
-    ctes.append((f"{prefix}_stop", f"SELECT coalesce(min(it) FILTER (WHERE n_over = 0), {iters - 1}) AS it FROM ({flags})"))
-    ctes.append((f"{prefix}_model", " UNION ALL ".join(
-        f"SELECT cid, n, c FROM {prefix}_m{it + 1} WHERE (SELECT it FROM {prefix}_stop) = {it}" for it in range(iters))))
-    ctes.append((f"{prefix}_asg", " UNION ALL ".join(
-        f"SELECT * FROM {prefix}_a{it} WHERE (SELECT it FROM {prefix}_stop) = {it}" for it in range(iters))))
-    return ctes
+def fit(seed_name: str, prefix: str, iters: int = P.MAX_ITERS, delta: float = P.DELTA):
+    """Fit until nothing moves: a recursive CTE whose one row a turn carries the model.
+    Defines {prefix}_stop, {prefix}_model, {prefix}_asg."""
+    avgs = ", ".join(f"avg(z[{i + 1}])" for i in range(DAY))
+    run = f"""SELECT 0 AS it, list({{'cid': cid, 'n': n, 'c': c}} ORDER BY cid) AS m, list({{'cid': cid, 'n': n, 'c': c}} ORDER BY cid) AS prev,
+  CAST(1 AS BIGINT) AS n_over FROM {seed_name}
+UNION ALL
+SELECT it + 1, list({{'cid': cid, 'n': n, 'c': c}} ORDER BY cid), any_value(m),
+  count(*) FILTER (WHERE sqrt({sqdist('c', "list_filter(m, lambda e: e.cid = u.cid)[1].c")}) > {delta!r})
+FROM (
+  SELECT it, any_value(m) AS m, cid, count(*) AS n, [{avgs}] AS c FROM (
+    SELECT it, m, e.cid AS cid, z, row_number() OVER (PARTITION BY meter_id, day ORDER BY sqrt({sqdist('z', 'e.c')}), e.cid, q) AS k
+    FROM (SELECT it, m, unnest(m) AS e FROM {prefix}_run WHERE n_over > 0 AND it < {iters}) CROSS JOIN cands)
+  WHERE k = 1 GROUP BY it, cid) u
+GROUP BY it"""
+    ctes = cands() + [
+        (f"{prefix}_run", run),
+        (f"{prefix}_last", f"SELECT * FROM {prefix}_run QUALIFY row_number() OVER (ORDER BY it DESC) = 1"),
+        (f"{prefix}_stop", f"SELECT it - 1 AS it FROM {prefix}_last"),
+        (f"{prefix}_model", f"SELECT unnest(m, recursive := true) FROM {prefix}_last"),
+        (f"{prefix}_prev", f"SELECT unnest(prev, recursive := true) FROM {prefix}_last"),
+    ]
+    return ctes + assign(f"{prefix}_prev", f"{prefix}_asg")
 
 
 def quality(prefix: str, k: int):
@@ -190,7 +198,7 @@ def quality_cols(src: str) -> str:
 
 
 def fitted():
-    return seeds(P.K_FIT, "f_seed") + fit("f_seed", "f", P.FIT_ITERS)
+    return seeds(P.K_FIT, "f_seed") + fit("f_seed", "f")
 
 
 def entropy():
@@ -266,7 +274,7 @@ LEFT JOIN (SELECT bin, count(*) AS n FROM binned GROUP BY bin) c ON c.bin = b.bi
     sweep = []
     ks = list(range(P.SWEEP_START, P.SWEEP_END + 1))
     for k in ks:
-        sweep += seeds(k, f"s{k}_seed") + fit(f"s{k}_seed", f"s{k}", P.SWEEP_ITERS) + quality(f"s{k}", k)
+        sweep += seeds(k, f"s{k}_seed") + fit(f"s{k}_seed", f"s{k}") + quality(f"s{k}", k)
     allq = " UNION ALL ".join(f"SELECT * FROM s{k}_q" for k in ks)
     sweep += [("sw", allq),
               ("sw_stop", f"SELECT coalesce(min(k) FILTER (WHERE ssb / sst >= {P.LEAST_COVERAGE!r}), {ks[-1]}) AS k FROM sw")]
@@ -376,9 +384,10 @@ def _dbl(v: float) -> str:
 
 
 def synthetic():
-    from ..operators import synthesize as syn
-    s0, s1, s2 = (_dbl(v) for v in syn.slopes(0))
-    nb = syn.NUMBERING_BUCKETS
+    # Fixed values, stated again so that a wrong constant in the generator shows: the slopes
+    # (as 32-bit floats) and the number of buckets of the profile numbering.
+    s0, s1, s2 = (f"CAST(CAST({v} AS FLOAT) AS DOUBLE)" for v in ("-0.0059", "0.0155", "0.2233"))
+    nb = 1021
     seed = P.SYNTH_SEED
     hours_n = 24 * P.SYNTH_DAYS
     mean_slots = ", ".join(f"coalesce(max(CASE WHEN hour = {h} THEN mean END), 0.0)" for h in range(DAY))
@@ -468,3 +477,28 @@ FROM lags l JOIN betas b USING (meter_id, hour)""")
 
 
 ORACLE = build_more(ORACLE)
+
+
+def build_files(q: dict) -> dict:
+    """Files and jobs must give back what they were given."""
+    q["raw_file_ingest"] = q["ingest_clean"]
+    q["point_files"] = q["daily_points_26"]
+    q["job_train_profiles"] = q["activity_profile"]
+    q["job_prepare_points"] = _with(points(P.WINDOW, "cdays"), long_form(f"cdays{P.WINDOW}", "meter_id, day", "x"))
+    q["result_files"] = _with(entropy(), f"""SELECT 'share' AS kind, CAST(cid AS BIGINT) AS id, {r('100.0 * n / sum(n) OVER ()')} AS value FROM f_model
+UNION ALL SELECT 'entropy', meter_id, {r('entropy')} FROM ent""")
+    orig = normalize(crop_expr("x", P.WINDOW))
+    q["tagged_files"] = _with(fitted(), f"""SELECT a.cid, {r('list_max(' + orig + ')')} AS peak, {r('list_max(a.z)')} AS peak_shifted
+FROM f_asg a JOIN pts{P.WINDOW} p USING (meter_id, day)""")
+    bad = "((meter_id + dayofyear(day)) % 7 = 0 OR (meter_id + dayofyear(day)) % 11 = 0)"
+    q["point_screen"] = _with(points(), f"""SELECT meter_id, count(*) FILTER (WHERE NOT {bad}) AS kept,
+  CAST((SELECT count(*) FROM pts{P.WINDOW} WHERE {bad}) AS BIGINT) AS rejected FROM pts{P.WINDOW}
+GROUP BY meter_id HAVING count(*) FILTER (WHERE NOT {bad}) > 0""")
+    q["tagged_repeated"] = _with(points() + [("one", f"SELECT meter_id, day, least(x, list_reverse(x)) AS x FROM pts{P.WINDOW}")],
+                                 long_form("one", "meter_id, day", "x"))
+    q["temperature_seed_file"] = _with(weather(), f"""SELECT row_number() OVER (ORDER BY read_date, hour) - 1 AS pos,
+  {r('avg(temperature)')} AS temperature FROM weather GROUP BY read_date, hour""")
+    return q
+
+
+ORACLE = build_files(ORACLE)

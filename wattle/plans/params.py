@@ -4,10 +4,10 @@ WINDOW = 26            # hours per point: the day plus one margin hour on each s
 MAX_SHIFT = 1          # shifts -1, 0, +1 hour
 POOL = 100             # seed centroids sampled from the points
 K_FIT = 5              # clusters for the single-K queries
-FIT_ITERS = 3          # iterations of the fixed fit
+MAX_ITERS = 100        # bound of every fit; convergence stops it long before
 DELTA = 1e-4           # convergence: no centroid moved more than this
-SWEEP_START, SWEEP_END, SWEEP_ITERS = 2, 8, 2
-LEAST_COVERAGE = 0.40  # K sweep stops at the first K reaching this coverage
+SWEEP_START, SWEEP_END = 2, 30
+LEAST_COVERAGE = 0.50  # K sweep stops at the first K reaching this coverage
 ENTROPY_BINS = 10
 ENTROPY_THRESHOLD = 1.0  # meters at or below are "predictable"
 TOP_TAGGED = 10
@@ -18,4 +18,4 @@ SYNTH_DAYS = 7
 SYNTH_START = "2024-02-01"
 PEAKY_RATIO = 1.5
 SYNTH_SEED = 7
-SYNTH_PARTITIONS = 8
+SYNTH_HOURS_PER_TASK = 2_000_000  # generated rows of one task

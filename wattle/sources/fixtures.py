@@ -38,13 +38,20 @@ def meter_days(events: DataFrame) -> DataFrame:
         F.hour("ts").alias("hour"),
         "value",
     )
-    # Each (meter, day) row expands 24x downstream (lines, parsing, weather rows), but its
-    # shuffle output is small in bytes, so adaptive coalescing would squeeze the expansion
-    # into a few tasks. An explicit partition count is never coalesced; the aggregate
-    # reuses this partitioning, so it costs no extra exchange.
-    e = e.repartition(parallelism(events.sparkSession), "meter_id", "day")
     slots = ", ".join(f"round(coalesce(sum(CASE WHEN hour = {h} THEN value END), 0.0D), 2)" for h in range(HOURS))
-    return e.groupBy("meter_id", "day").agg(F.expr(f"array({slots})").alias("v"))
+    # Events are folded map-side (24 sums per meter-day cross the network, however busy the
+    # day). The result is small in bytes but expands 24x downstream (lines, parsing, weather
+    # rows), so it is then dealt out explicitly: adaptive coalescing would leave it in a few
+    # tasks, and an explicit count is never coalesced.
+    days = e.groupBy("meter_id", "day").agg(F.expr(f"array({slots})").alias("v"))
+    return days.repartition(parallelism(events.sparkSession), "meter_id", "day")
+
+
+def full_days(events: DataFrame) -> DataFrame:
+    """``meter_id, day, x``: the days as a meter reports them without faults, as
+    ``prepare.complete_days`` keeps them (a positive total)."""
+    total = F.aggregate("v", F.lit(0.0), lambda a, v: a + v)
+    return meter_days(events).where(total > 0.0).select("meter_id", "day", F.col("v").alias("x"))
 
 
 def _hours(events: DataFrame) -> DataFrame:

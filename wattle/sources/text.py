@@ -32,7 +32,7 @@ def _join_nums(c) -> F.Column:
 
 def _fields(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
     df = spark.read.text(path)
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
+    if min_partitions:
         df = df.repartition(min_partitions)
     return df.select(F.split("value", r"\|").alias("f"))
 
@@ -93,8 +93,11 @@ def profiles_long(profiles: DataFrame) -> DataFrame:
 
 
 def read_temperature_seed(spark, path: str) -> DataFrame:
-    """``pos BIGINT, temperature DOUBLE`` from the first line of the seed file."""
-    first = spark.read.text(path).limit(1)
+    """``pos BIGINT, temperature DOUBLE`` from the first line of the first seed file."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_i"))
+    first = lines.orderBy("_f", "_b", "_i").limit(1)   # a top-1, not a sort
     return first.select(F.posexplode(F.split("value", r"\|")).alias("pos", "_t")).select(
         F.col("pos").cast("long"), F.col("_t").cast("double").alias("temperature"))
 
