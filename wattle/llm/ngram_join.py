@@ -7,9 +7,13 @@ hash bucket (rare first, counted over all documents), then hash.
 1. *Classes.* Documents with equal sets form a class, found by a 128-bit digest of the set
    with map-side minima; copies, however many, are one class from here on.
 2. *Blocks.* Similar sets share a pair of neighbours among the first ``2 (1 - T) n + 1`` pairs
-   of their ordered lists (``line_dedup`` has the proof). Classes that share such a pair are
-   put into one block: each is tied to the first class of the pair, and the ties'
-   connected components are the blocks. No pair of classes is ever listed.
+   of their ordered lists, and at least r of them among the first ``2 (1 - T) n + r``
+   (``line_dedup`` has the proof). Where up to ``FEW`` classes share a pair, the combinations that
+   pass the length and positional filters are counted over all pairs, and two classes are
+   tied when they share as many as similar sets must. Where more do, as in a large family of
+   near copies, each class is tied to the next smaller one unless the length filter parts
+   them, so their combinations are never listed. The ties' connected components are the
+   blocks: every two similar sets are in one block.
 3. *Tries.* The full sets of the classes in a block are joined by prefix trees (``trie``). A
    block of more than ``CHUNK`` shingles is dealt into chunks, and every two chunks meet in a task of
    their own, so that a task holds two chunks at most. Each task returns only links that
@@ -32,6 +36,7 @@ N = 3
 PERCENT = 90
 RANKS = 16384
 CHUNK = 300_000   # shingles of a chunk: about 20 MB in a task
+FEW = 32          # classes sharing a pair whose combinations are counted
 SET = "struct<n:int,h1:bigint,h2:bigint,pairs:array<bigint>>"
 
 
@@ -105,6 +110,35 @@ def shingle_ranks(docs: DataFrame, n: int) -> list[int]:
     return ranks
 
 
+def _spare(n: int) -> int:
+    """Pairs in the prefix beyond those that the differences of similar sets can break."""
+    return 4 + n // 50
+
+
+def ties(classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of classes whose components bring all similar ones together."""
+    keys = classes.select(F.col("h1").alias("node"), "n", F.posexplode("pairs").alias("p", "g"))
+    keys = keys.withColumn("m", F.count("*").over(Window.partitionBy("g"))).where("m > 1")
+    keys = stored(keys, "pairs")
+    lose = 100 - percent
+    few = keys.where(F.col("m") <= FEW).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("node", "n", "p"))).alias("r"))
+    # length; then the words before and after the shared pair, which bound the difference
+    combined = F.expr(f"""filter(flatten(transform(r, (x, i) -> transform(slice(r, i + 2, size(r)), y -> struct(x, y)))),
+        e -> 100 * least(e.x.n, e.y.n) >= {percent} * greatest(e.x.n, e.y.n)
+         AND (abs(e.x.p - e.y.p) + abs((e.x.n - e.x.p) - (e.y.n - e.y.p))) * {100 + percent} <= {lose} * (e.x.n + e.y.n))""")
+    both = few.select(F.explode(combined).alias("e")).groupBy("e.x.node", "e.x.n", F.col("e.y.node").alias("b"), F.col("e.y.n").alias("bn")).count()
+
+    def must(n):
+        broken = F.floor(F.lit(2 * lose) * n / 100)
+        return F.greatest(F.lit(1), F.least(n - 1 - broken, 4 + F.floor(n / 50)))
+
+    counted = both.where(F.col("count") >= F.least(must(F.col("n")), must(F.col("bn")))).select(F.col("node").alias("a"), "b")
+    by_size = Window.partitionBy("g").orderBy("n", "node")
+    many = keys.where(F.col("m") > FEW).select("node", "n", F.lag("node").over(by_size).alias("b"), F.lag("n").over(by_size).alias("bn"))
+    many = many.where(100 * F.col("bn") >= percent * F.col("n")).select(F.col("node").alias("a"), "b")
+    return counted.unionByName(many).distinct()
+
+
 def _set_functions(spark, ranks, n: int, percent: int):
     """Arrow functions text -> SET (digest and pairs of the prefix) and text -> the set."""
     small_batches(spark)
@@ -120,7 +154,7 @@ def _set_functions(spark, ranks, n: int, percent: int):
         sizes, h1, h2, pairs = [], [], [], []
         for s in ordered_sets(texts, n, table):
             x = xxhash.xxh3_128_intdigest(s.tobytes())
-            take = 2 * (100 - percent) * len(s) // 100 + 1
+            take = 2 * (100 - percent) * len(s) // 100 + _spare(len(s))
             u = s[:take + 1].view(np.uint64)
             sizes.append(len(s))
             h1.append((x & ((1 << 64) - 1)) - (1 << 63))
@@ -197,7 +231,9 @@ def join_chunks(percent: int):
                 if k != key:
                     found += links(part)
                     key, part = k, ([], [])
-                part[sides[i]].append((nodes[i], sets[i].values.to_numpy()))
+                side = part[sides[i]]
+                if not side or side[-1][0] != nodes[i]:  # a repeated row gives its class again
+                    side.append((nodes[i], sets[i].values.to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
         found = links(part)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
@@ -224,22 +260,18 @@ def label(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUN
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("pairs").alias("pairs"))
     classes = stored(classes, "classes")
 
-    # blocks: every class is tied to the first class of each pair that it shares
-    w = Window.partitionBy("g").orderBy("node")
-    keys = classes.select(F.col("h1").alias("node"), F.explode("pairs").alias("g"))
-    ties = keys.select("node", F.first("node").over(w).alias("lead")).where("node <> lead")
-    blocks = stored(components(ties.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()), "blocks")
+    blocks = components(ties(classes, percent))
 
     # full sets of the classes in blocks, from one document of each class
-    inside = blocks.join(classes.select(F.col("h1").alias("node"), "h2", "rep", "n"), "node")
-    inside = stored(inside.select("node", F.col("root").alias("block"), "h2", "rep", "n"), "inside")
+    inside = blocks.join(classes.select(F.col("h1").alias("node"), "h2", "rep", "n"), "node").withColumnRenamed("root", "block")
     chunks = inside.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk)).cast("int").alias("chunks"))
+    inside = stored(inside.join(chunks, "block").select("node", "block", "h2", "rep", "chunks"), "inside")
     again = d.select(doc_id.alias("rep"), text.alias("text"))
     # a null rep (no id in the class) is found by its digest like any other
     reps = small(stored(inside.select("rep").distinct(), "reps"))
     found = again.join(reps, again["rep"].eqNullSafe(reps["rep"]), "left_semi").select(whole(F.col("text")).alias("s"), digest(F.col("text")).alias("d"))
     sets = found.where("d.n > 0").select(F.col("d.h1").alias("node"), F.col("d.h2").alias("h2"), "s")
-    sets = sets.join(inside.select("node", "h2", "block"), ["node", "h2"]).dropDuplicates(["node"]).join(chunks, "block")
+    sets = sets.join(small(inside.select("node", "h2", "block", "chunks")), ["node", "h2"])
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     sets = sets.select("block", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"),
