@@ -52,9 +52,9 @@ def repeated_words(hashes: str, has_copies: str) -> tuple[Column, Column]:
     ``hashes``: 64-bit hashes of a text's 3-word windows in order. Windows are sorted by
     hash, those equal to a neighbour are put back in order, and their union is measured.
     """
-    ordered = F.when(F.col(has_copies), F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    ordered = F.when(F.col(has_copies), F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     covered = F.expr("""coalesce(aggregate(
-        array_sort(transform(
+        sort_array(transform(
             filter(_sorted, (e, j) -> e.h = get(_sorted, j - 1).h OR e.h = get(_sorted, j + 1).h), e -> e.i)),
         named_struct('n', 0L, 'end', 0L),
         (a, i) -> named_struct('n', a.n + i + 3L - greatest(a.end, cast(i AS BIGINT)), 'end', i + 3L),
