@@ -6,7 +6,7 @@ POOL = 100             # seed centroids sampled from the points
 K_FIT = 5              # clusters for the single-K queries
 MAX_ITERS = 100        # bound of every fit; convergence stops it long before
 DELTA = 1e-4           # convergence: no centroid moved more than this
-SWEEP_START, SWEEP_END = 2, 30
+SWEEP_START, SWEEP_END = 2, 10
 LEAST_COVERAGE = 0.50  # K sweep stops at the first K reaching this coverage
 ENTROPY_BINS = 10
 ENTROPY_THRESHOLD = 1.0  # meters at or below are "predictable"
