@@ -157,7 +157,7 @@ def mix(docs: DataFrame, quotas=None, sources: str = "source", copies: int = MAX
     within = d.where(F.col("_b") == F.col("_edge")).withColumn("_sum", F.col("_before") + F.sum("size").over(at_edge))
     # a document is in when its middle is before the point
     within = within.select(result(F.when(2 * F.col("_sum") - F.col("size") <= 2 * F.col("_rest"), 1).otherwise(0)))
-    return sure.unionByName(within)
+    return sure.union(within)  # same columns in the same order; names may repeat
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
