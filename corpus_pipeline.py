@@ -23,8 +23,9 @@ def line_deduplication(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of similar ones."""
-    return ngram_join.keep_one(docs)
+    """One document of each group of similar ones: 0.8 of their five-word shingles, while the
+    op6 query has settings of its own."""
+    return ngram_join.keep_one(docs, n=5, percent=80)
 
 
 def decontamination(spark, docs, sf_dir):

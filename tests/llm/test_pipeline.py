@@ -40,3 +40,24 @@ def test_pipeline_of_nothing_and_of_edges(spark):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, SF001)
         docs.collect()
+
+
+def test_near_duplicates_are_those_of_five_words_and_four_fifths(spark):
+    import random
+
+    from conftest import SF01
+    from test_methods import documents, frame, linked, shingles
+
+    rnd = random.Random(7)
+    texts = [r["text"] for r in documents(spark, SF01).where("n_chars > 600").orderBy("doc_id").limit(150).collect()]
+    texts += [t + " " + " ".join(f"more{rnd.random()}" for _ in range(len(H.words(t)) * 3 // 20)) for t in texts[:40]]  # 0.87 at five words
+    for t in texts[40:80]:  # one edit in 50 words: 0.82 at five words, 0.89 at three
+        w = H.words(t)
+        w[25::50] = [f"edit{rnd.random()}" for _ in w[25::50]]
+        texts.append(" ".join(w))
+    sets = [shingles(t, 5) for t in texts]
+    roots = linked(sets, 80)
+    expected = [i for i, r in enumerate(roots) if r == i or not sets[i]]
+    got = P.near_duplicates(spark, frame(spark, texts), SF01)
+    assert sorted(r["doc_id"] for r in got.collect()) == expected
+    assert len(expected) < len(set(linked([shingles(t) for t in texts], 90)))
