@@ -313,6 +313,23 @@ def test_quality_separates_labelled_documents(spark):
     assert n.get((0, True), 0) <= 0.2 * n[0, False]
 
 
+def test_quality_rejects_the_wrong_language_and_rare_words(spark):
+    rnd = random.Random(3)
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF01}/labels.parquet").where("quality = 1").collect()}
+    own = [(r["doc_id"], r["text"], r["lang"]) for r in documents(spark, SF01).collect()]
+    langs = sorted({lang for _, _, lang in own if lang})
+    probe = rnd.sample([x for x in own if x[0] in good and 100 <= len(H.words(x[1])) <= 400], 20)  # few beside the references
+    wrong = [(10**6 + i, t, rnd.choice([k for k in langs if k != lang])) for i, t, lang in probe]
+    salad = [(2 * 10**6 + k, " ".join(f"zq{rnd.randint(0, 10**6)}" for _ in range(50 + 20 * k)), langs[k % len(langs)]) for k in range(12)]
+    d = spark.createDataFrame(own + wrong + salad, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.score(d, char_limit=2.0).collect()}  # only words decide
+    assert not any(got[i]["base_failed"] for i, _, _ in wrong + salad)
+    assert sum(got[i]["kept"] for i, _, _ in wrong) <= 2
+    assert sum(got[i]["kept"] for i, _, _ in salad) == 0
+    kept = [got[i]["kept"] for i in good if not got[i]["base_failed"]]
+    assert len(kept) > 100 and sum(kept) >= 0.99 * len(kept)
+
+
 def test_long_repeated_text(spark):
     text = " ".join(f"a{i}" for i in range(20_000)) + " " + " ".join(f"a{i}" for i in range(20_000))
     assert quality.score(frame(spark, [text, "x " * 100])).orderBy("doc_id").first()["n_repeat_words"] == 40_000

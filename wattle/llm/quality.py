@@ -5,9 +5,13 @@ classes (upper, lower, digit, white space, symbol, punctuation, other) and the l
 ``COMMON`` most frequent words plus one bin for every other word. References are summed over
 all documents of the language; a document without a label, or with one beyond the
 ``MAX_LANGS`` most frequent, is compared with the reference of all documents. A document
-fails when a distance (square root of the base-2 divergence) exceeds its limit plus the
-noise that a text of its length is expected to have. Below ``MIN_WORDS`` words the
-histograms say too little and only the base rules count.
+fails when the distance of its characters (square root of the base-2 divergence) exceeds its
+limit plus the noise that a text of its length is expected to have. Words are judged by
+divergences, less what sampling alone is expected to give, against a part of the divergence
+of a text without any of the reference's common words: over all bins, which tell languages
+that share words apart but need some length, and over two bins, common and other words,
+whose noise is small from ``MIN_WORDS`` words on. Below that the histograms say too little and
+only the base rules count.
 
 Everything is column expressions: one pass counts words per language (map-side combined, so
 a hot language costs nothing extra), one pass computes each document's counts, which are
@@ -30,6 +34,8 @@ COMMON = 40        # words of a language's histogram
 MAX_LANGS = 200    # references on the driver: 200 x 40 words
 MIN_WORDS = 50     # guard: shorter texts are not judged by histograms
 CHAR_LIMIT, WORD_LIMIT = 0.18, 0.30
+WORD_PART, SHARE_PART = 0.25, 0.4   # of the divergence of a text without common words: all bins, two bins
+WORD_SIGMAS = 2                     # standard deviations of the sampled divergence that are let pass
 
 # The character classes, each a letter; a-z is deleted and counted by difference.
 WHITE, SYMBOLS, DIGITS = "\t\n\x0b\x0c\r ", "#*$%&|<>", "0123456789"
@@ -135,9 +141,28 @@ def distance(counts: str, reference: str) -> Column:
                     + CASE WHEN s.q > 0 THEN 0.5 * s.q * log2(2 * s.q / (s.p + s.q)) ELSE 0D END), 0D)))""")
 
 
+def sampled(bins: int, n: str) -> Column:
+    """Expected divergence, from sampling alone, of ``n`` draws to their own distribution."""
+    return F.lit(bins - 1) / (F.lit(8 * 0.6931471805599453) * F.greatest(F.col(n), F.lit(1)))
+
+
 def noise(bins: int, n: str) -> Column:
-    """Expected distance, from sampling alone, of ``n`` draws to their own distribution."""
-    return F.sqrt(F.lit(bins - 1) / (F.lit(8 * 0.6931471805599453) * F.greatest(F.col(n), F.lit(1))))
+    """``sampled`` as a distance."""
+    return F.sqrt(sampled(bins, n))
+
+
+def _two(array: str, common: int) -> Column:
+    """Common words and the others of a word histogram."""
+    own = F.aggregate(F.slice(array, 1, common), F.lit(0.0), lambda a, x: a + x)
+    return F.array(own, F.get(array, F.lit(common)).cast("double"))
+
+
+def odd_words(common: int, word_limit: float) -> Column:
+    """Whether ``js_word``, or the share of common words, is beyond what sampling explains."""
+    bare = F.pow("js_bare", 2)   # one per reference: the least that a lack of all common words gives
+    spread = 1 + WORD_SIGMAS * (2 / common) ** 0.5
+    return (F.pow("js_word", 2) > F.least(F.lit(word_limit ** 2), WORD_PART * bare) + spread * sampled(common + 1, "n_words")) | (
+        F.pow("js_two", 2) > SHARE_PART * bare + sampled(2, "n_words"))
 
 
 def score(docs: DataFrame, common: int = COMMON, min_words: int = MIN_WORDS,
@@ -147,12 +172,14 @@ def score(docs: DataFrame, common: int = COMMON, min_words: int = MIN_WORDS,
     sums = [_sums("chars", len(CLASSES) + 2), _sums("common", common + 1)]
     own = counts.where("ref is not null").groupBy("ref").agg(*sums)
     pooled = counts.agg(*sums).withColumn("ref", F.lit(None).cast("string"))
-    refs = F.broadcast(own.unionByName(pooled).withColumnRenamed("ref", "r"))  # at most MAX_LANGS + 1 rows
+    refs = own.unionByName(pooled).withColumnRenamed("ref", "r").withColumn("bare", F.array(*[F.lit(0.0)] * common, F.lit(1.0)))
+    refs = refs.withColumn("js_bare", distance("bare", "common_ref")).withColumn("two_ref", _two("common_ref", common)).drop("bare")
+    refs = F.broadcast(refs)  # at most MAX_LANGS + 1 rows
     d = counts.join(refs, counts["ref"].eqNullSafe(refs["r"]))
     d = d.withColumn("js_char", distance("chars", "chars_ref")).withColumn("js_word", distance("common", "common_ref"))
+    d = d.withColumn("two", _two("common", common)).withColumn("js_two", distance("two", "two_ref"))
     base_failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    odd = (F.col("js_char") > char_limit + noise(len(CLASSES) + 2, "word_chars")) | (
-        F.col("js_word") > word_limit + noise(common + 1, "n_words"))
+    odd = (F.col("js_char") > char_limit + noise(len(CLASSES) + 2, "word_chars")) | odd_words(common, word_limit)
     d = d.withColumn("base_failed", base_failed)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "js_char", "js_word",
                     "base_failed", (~F.col("base_failed") & ~((F.col("n_words") >= min_words) & odd)).alias("kept"))
