@@ -374,6 +374,19 @@ def test_markov_models_tell_random_from_ordinary(spark):
     assert all(re.fullmatch("[0-9A-F]{40}", m["match"]) for r in clean for m in r["markov"])
 
 
+def test_short_random_strings_are_found(spark):
+    import string
+
+    ratios, rnd = secrets.learn(documents(spark, SF01)), random.Random(9)
+    keys = ["".join(rnd.choices(string.ascii_letters + string.digits, k=k)) for k in range(8, 20) for _ in range(20)]
+    names = ["important", "Verantwortung", "nevertheless", "some_variable", "1234567890", "2026-12-04", "==========", "----------", "questionable"]
+    d = frame(spark, [f"see {x} there" for x in keys + names])
+    got = {r["doc_id"]: [(m["start"], m["match"]) for m in r["markov"]] for r in secrets.scan(d, ratios).collect()}
+    found = [got[i] == [(4, x)] for i, x in enumerate(keys)]
+    assert sum(found[:40]) >= 36 and sum(found[40:]) >= 190   # 8 and 9 characters; 10 to 19
+    assert not any(got[len(keys) + i] for i in range(len(names)))
+
+
 def test_redaction(spark):
     d = frame(spark, ["my password: hunter22 and é deadbeefdeadbeefdeadbeefdeadbeef.", None, "clean"])
     got = [r["text"] for r in secrets.redact(d, [0.0] * (67 * 68)).orderBy("doc_id").collect()]

@@ -13,7 +13,7 @@ the patterns find anywhere in the corpus, and a digest of every text written in
 over the whole corpus; only the counts reach the driver, at most 2 x 68 x 67 of them. Every
 token of at least ``MIN_TOKEN`` characters of every text that overlaps no pattern match is
 scored; it is a span of kind ``markov`` when the mean ratio of its characters exceeds
-``MIN_MEAN``.
+``MIN_MEAN``. Signs alone (``========``) are no secret under ``LONG_TOKEN`` characters.
 
 All of it is column expressions; no Python runs on the executors.
 
@@ -40,8 +40,9 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]"
-MIN_TOKEN = 20       # characters of a token that is scored
-LEARN_TOKEN = 12     # characters of a token that is learned from
+MIN_TOKEN = 8        # characters of a token that is scored
+LONG_TOKEN = 20      # characters from which a token without letters and digits is scored too
+LEARN_TOKEN = 8      # characters of a token that is learned from: all that are scored
 SMOOTH, PRIOR = 0.5, 8.0   # counts added to a character, and to a bigram's row by the characters' chances
 MIN_MEAN = 2.5       # nats per character by which a token must look more random than ordinary
 
@@ -116,6 +117,15 @@ def total_ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(chars, F.struct(F.lit(0).alias("row"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"])
 
 
+def random_tokens(tokens: Column, ratios: list[float], min_mean: float) -> Column:
+    """The located tokens that look more random than ordinary."""
+    def odd(s):
+        size = F.length(s["match"])
+        return ((size >= LONG_TOKEN) | s["match"].rlike("[A-Za-z0-9]")) & (total_ratio(s["match"], ratios) > min_mean * size)
+
+    return F.filter(tokens, odd)
+
+
 def scan(docs: DataFrame, ratios: list[float] | None = None, min_mean: float = MIN_MEAN) -> DataFrame:
     """``doc_id, text`` and the spans of each kind as ``array<struct<start,end,match>>``."""
     ratios = learn(docs) if ratios is None else ratios
@@ -123,7 +133,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, min_mean: float = M
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = d.withColumn("_token", located(t, f"{TOKEN}{{{MIN_TOKEN},}}")).withColumn("_base", F.concat("assign", "access", "hex"))
     free = F.filter("_token", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    d = d.withColumn("markov", F.filter(free, lambda s: total_ratio(s["match"], ratios) > min_mean * F.length(s["match"])))
+    d = d.withColumn("markov", random_tokens(free, ratios, min_mean))
     return d.drop("_token", "_base")
 
 
@@ -150,8 +160,7 @@ def redact(docs: DataFrame, ratios: list[float] | None = None, mark: str = "<sec
     d = docs.toDF(*[f"_{i}" for i in range(len(have))]).withColumn("text", F.col(f"_{at}"))
     d = with_patterns(d).withColumn("_base", F.concat("assign", "access", "hex"))
     tokens = located(F.coalesce("text", F.lit("")), f"{TOKEN}{{{MIN_TOKEN},}}")
-    d = d.withColumn("_all", F.concat("_base", F.filter(
-        tokens, lambda s: total_ratio(s["match"], ratios) > min_mean * F.length(s["match"]))))
+    d = d.withColumn("_all", F.concat("_base", random_tokens(tokens, ratios, min_mean)))
     cut = F.aggregate(
         F.array_sort("_all"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
