@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import url_filter as _u
+from .common import WORD
 
 ORACLE: dict[str, str] = {}
 
@@ -143,3 +144,81 @@ FROM o LEFT JOIN up ON o.doc_id = up.doc_id AND r = 1"""
 
 
 ORACLE["op2_license_scan"] = _license_sql()
+
+# CRC-32 of bytes, by its polynomial: a table of 256 remainders, then one step for each byte
+_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: " + _STEP.format("x") + "))"
+
+
+def _crc(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes; ``crc_table`` is a column ``tab`` in scope."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda o: ('0x' || o)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+ORACLE["op13_sharding"] = f"""
+WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS (SELECT doc_id, strlen(t) + 1 AS size, {_crc("t")} AS crc, coalesce('s' || source, 'null') AS s FROM d, crc),
+k2 AS (SELECT *, md5(concat_ws(':', '0', coalesce(doc_id::VARCHAR, 'null'), size, crc, s)) AS key FROM k),
+f AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY key) - 1 + (('0x' || substr(md5(s), 1, 5))::BIGINT + 0.5::DOUBLE) / 1048576)
+        / count(*) OVER (PARTITION BY s) AS fraction FROM k2),
+g AS (SELECT *, row_number() OVER (ORDER BY fraction, s, key) - 1 AS pos, count(*) OVER () AS n FROM f),
+h AS (SELECT *, pos * 8 // n AS shard FROM g)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard,
+       (pos - (shard * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM h"""
+
+ORACLE["op11_prefix_trie"] = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+d AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, length(role) || ':' || role || text AS t, role, text,
+        len(regexp_extract_all(text, '{WORD}')) AS w,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos FROM d),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM d), crc),
+r AS (SELECT c.conv_id, o.pos, t, w FROM c JOIN o ON o.conv_id = c.base WHERE o.pos <= c.h
+      UNION ALL
+      SELECT c.conv_id, o.pos - c.h + (SELECT count(*) FROM o b WHERE b.conv_id = c.base AND b.pos <= c.h), t, w
+      FROM c JOIN o USING (conv_id) WHERE o.pos > c.h),
+s AS (SELECT c.conv_id, coalesce(list(r.t ORDER BY r.pos) FILTER (r.pos IS NOT NULL), []) AS seq,
+             coalesce(list(r.w ORDER BY r.pos) FILTER (r.pos IS NOT NULL), []) AS ws
+      FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, depth, seq[1:depth] AS p, seq[1:depth - 1] AS up, CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END AS w, len(seq) = depth AS ends
+      FROM s, unnest(range(0, len(seq) + 1)) AS u(depth)),
+n AS (SELECT p, depth, any_value(up) AS up, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM m GROUP BY p, depth),
+k AS (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+t AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, q.conv_id AS parent_conv_id
+      FROM n LEFT JOIN k ON k.up = n.p AND k.depth = n.depth
+      LEFT JOIN n q ON n.depth > 0 AND q.p = n.up AND q.depth = n.depth - 1),
+x AS (SELECT a.conv_id, a.depth, sum((b.n_convs - 1) * b.w) AS saved_tokens, count(*) FILTER (b.n_children = 0) AS n_leaves
+      FROM t b, unnest(range(0, b.depth + 1)) AS u(l) JOIN t a ON a.depth = l AND a.p = b.p[1:l] GROUP BY a.conv_id, a.depth)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM t JOIN x USING (conv_id, depth)"""
+
+_TERMS = "regexp_extract_all(translate(text, " + _LOWER + r"), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE["op12_source_audit"] = f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT i, lang, source, unnest({_TERMS}) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN v USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, count(*) AS v, sum(n) AS n FROM v GROUP BY lang),
+t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+        (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(t.n, 0) + s.v)) AS p,
+        (1 + 1000000000::HUGEINT * (v.n + 1) // (s.n + s.v)) AS q
+      FROM g JOIN s USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, licenses, line_dedup, mixing, ngram_join, quality, secrets, token_count, url_filter
+from . import (decontaminate, lang_id, licenses, line_dedup, mixing, ngram_join, prefix_trie, quality, secrets, sharding, source_audit,
+               token_count, url_filter)
 from .common import columns, table
 
 
@@ -77,6 +78,18 @@ def op10_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_audit(spark, sf_dir):
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark, sf_dir):
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -88,4 +101,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_audit": op12_source_audit,
+    "op13_sharding": op13_sharding,
 }
