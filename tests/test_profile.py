@@ -111,6 +111,80 @@ def test_copies_never_reach_the_window_as_rows(spark):
     assert "HashAggregate" in lag_window_input and "functions=[count(1)]" in lag_window_input
 
 
+def expected_lags(rows):
+    """meter, hour -> rows ordered by (date, reading, temperature) with their lags, nulls first."""
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[0], r[2]), []).append(r)
+    out = []
+    for g in groups.values():
+        g.sort(key=lambda r: (r[1] is not None, r[1] or D0, r[3], r[4]))
+        out += [(*r, *[g[i - k][3] if i >= k else None for k in (1, 2, 3)]) for i, r in enumerate(g)]
+    return out
+
+
+def sorted_rows(rows):
+    return sorted(map(repr, rows))
+
+
+def test_lags_across_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    # dense months, months of one and two rows, gaps of years, several rows a date, null dates
+    for meter, gaps in ((1, [1] * 200), (2, [31, 40, 29, 62, 400, 15, 16, 1, 1, 45]), (3, [0, 0, 0, 0, 30, 0, 31, 0, 0, 90])):
+        day = 0
+        for gap in gaps:
+            day += gap
+            rows.append((meter, D0 + dt.timedelta(days=day), 3, float(rng.integers(0, 50)), float(rng.integers(-5, 30))))
+    rows += [(3, None, 3, 7.0, 1.0), (3, None, 3, 8.0, 1.0), (4, None, 3, 1.0, 2.0)]
+    rows += [rows[5]] * 6 + [rows[198]] * 2 + [rows[203]] * 4      # copies inside and at the edges of blocks
+    got = pf.with_lags(frame(spark, rows).repartition(3)).select("meter_id", "read_date", "hour", "reading", "temperature", "lag1", "lag2", "lag3")
+    assert sorted_rows(tuple(r) for r in got.collect()) == sorted_rows(expected_lags(rows))
+
+
+def test_betas_across_blocks_match_least_squares(spark):
+    rows = weather_rows(400, seed=8)
+    b = pf.fit_betas(frame(spark, rows)).first()
+    X, y = design(rows)
+    assert b.n_obs == 397
+    assert [b[f"b{i}"] for i in range(7)] == pytest.approx(list(np.linalg.lstsq(X, y, rcond=None)[0]), rel=1e-8, abs=1e-10)
+
+
+def test_large_readings_keep_their_digits(spark):
+    # differences of 1e-3 on readings of a million: raw sums of squares would lose them
+    rows = [(m, d, h, 1e6 + r / 1000, t) for m, d, h, r, t in weather_rows(90, seed=11)]
+    b = pf.fit_betas(frame(spark, rows)).first()
+    X, y = design(rows)
+    shift = X - np.array([0, 1e6, 1e6, 1e6, 0, 0, 0])
+    ref = np.linalg.lstsq(shift, y - 1e6, rcond=None)[0]
+    assert [b[f"b{i}"] for i in range(1, 7)] == pytest.approx(list(ref[1:]), rel=1e-5, abs=1e-8)
+
+
+def test_rows_without_values_are_no_observations(spark):
+    rows = weather_rows(60, seed=2)
+    gaps = [(m, d, h, None if i in (20, 41) else r, None if i == 33 else t) for i, (m, d, h, r, t) in enumerate(rows)]
+    b = pf.fit_betas(frame(spark, gaps)).first()
+    seen = [i for i in range(3, 60) if i != 33 and not {i, i - 1, i - 2, i - 3} & {20, 41}]
+    X, y = design(rows)
+    at = [i - 3 for i in seen]
+    assert b.n_obs == len(seen)
+    assert [b[f"b{i}"] for i in range(7)] == pytest.approx(list(np.linalg.lstsq(X[at], y[at], rcond=None)[0]), rel=1e-7, abs=1e-9)
+
+
+def test_lags_constant_but_for_the_first_row_are_singular(spark):
+    # the first reading differs and the last three lags never see it: no spread, not a tiny one
+    rows = [(1, D0 + dt.timedelta(days=d), 3, 7.31 if d == 0 else 0.1, float((d * 13) % 36 - 2)) for d in range(25)]
+    shifted = [(2, d, h, r, t) for _, d, h, r, t in rows[:1]] + [(2, D0 + dt.timedelta(days=400 + d), 3, 0.1, float((d * 13) % 36 - 2)) for d in range(25)]
+    for r in pf.fit_betas(frame(spark, rows + shifted)).collect():
+        assert r.fallback and r.b1 == 0.0
+
+
+def test_empty_input(spark):
+    d = frame(spark, [])
+    for out in (pf.with_lags(d), pf.fit_betas(d), pf.activity_profile(d), pf.activity(d)):
+        assert out.collect() == []
+
+
 def test_lag_expansion_in_chunks(spark):
     from wattle.operators import profile as prof
     old = prof.COPY_CHUNK

@@ -11,15 +11,17 @@ below 5 C) gets all-zero coefficients and ``fallback = true``. The activity load
 the temperature part: ``reading - b4 x4 - b5 x5 - b6 x6`` (intercept and lags stay), and
 its mean and population standard deviation per (meter, hour) form the profile.
 
-Plan (copy-robust, one shuffle on (meter_id, hour)): exact copies of a row are collapsed
-into (row, multiplicity m) by an aggregate that runs partial before that shuffle and final
-after it, so a group of copies holding any share of the data never reaches one task as
-rows. The lag window then runs over *distinct* rows (at most one per date and value of a
-meter-hour). Inside a run of m copies the lags are determined by the copy's position, so
-each distinct row yields at most four observation templates (copies 1, 2, 3, and copies
-4..m with weight m - 3). One aggregate on the same partitioning gathers the regression
-moments and the whole-group moments; the activity load is linear in them, so its mean and
-population variance follow in closed form from the betas: no join back to the rows.
+Plan (robust to copies and to hot keys): exact copies of a row are collapsed into (row,
+multiplicity m) by an aggregate that runs partial before its shuffle, so a group of copies
+holding any share of the data never reaches one task as rows. A (meter, hour) is cut into
+blocks by calendar month; the windows run over one block, and only the three last rows of each block are
+carried to the next (``runs``), so a meter-hour holding any share of the rows is spread over as
+many tasks as it has months. Inside a run of m copies the lags are determined by the copy's position,
+so each distinct row yields at most four observation templates (copies 1, 2, 3, and copies 4..m
+with weight m - 3). The regression moments and the whole-group moments are one weighted
+co-moment matrix per block, combined map-side and merged over the blocks (``_moments``);
+the activity load is linear in them, so its mean and population variance follow in closed
+form from the betas: no join back to the rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import solve_ldl
 from ..functions.regimes import temperature_terms
+from ..session import parallelism
 
 N_REGRESSORS = 6
 MIN_OBS = N_REGRESSORS + 1
@@ -37,6 +40,7 @@ BETAS = [f"b{i}" for i in range(N_REGRESSORS + 1)]
 KEY = ["meter_id", "hour"]
 ORDER = ["read_date", "reading", "temperature"]
 COPY_CHUNK = 4096
+SALTS = 16
 
 
 def with_temperature_terms(weather: DataFrame) -> DataFrame:
@@ -44,144 +48,160 @@ def with_temperature_terms(weather: DataFrame) -> DataFrame:
     return weather.withColumns({"x4": cdd, "x5": hdd, "x6": cold})
 
 
+def block():
+    """Month number of a row's date (0 for a null date): a block of a (meter, hour)."""
+    return F.coalesce(F.year("read_date") * 12 + F.month("read_date"), F.lit(0))
+
+
+def collapsed(weather: DataFrame) -> DataFrame:
+    """Distinct rows with their copy count ``m`` and ``block``. Rows without meter or hour
+    belong to no group and are left out."""
+    d = weather.where(" AND ".join(f"{k} IS NOT NULL" for k in KEY)).groupBy(*KEY, *ORDER).agg(F.count(F.lit(1)).alias("m"))
+    return d.withColumn("block", block())
+
+
+def carried(d: DataFrame) -> DataFrame:
+    """What each block of ``collapsed`` rows takes over: ``c1, c2, c3``, the last rows before it
+    as (reading, m) (null where there are fewer), and ``ref``, a typical (reading, temperature)
+    of the whole (meter, hour): the middle one of the first block's last readings.
+
+    At most three rows of a block are collected; the window over a meter-hour's blocks sees
+    one row for each."""
+    w = Window.partitionBy(*KEY, "block").orderBy(*ORDER)
+    last = d.withColumns({"_n": F.row_number().over(w), "_more": F.lead("m", 3).over(w)}).where("_more IS NULL")
+    rows = F.reverse(F.array_sort(F.collect_list(F.struct("_n", "reading", "m", "temperature"))))      # latest first
+    last = last.groupBy(*KEY, "block").agg(rows.alias("e"))
+    middle = F.expr("coalesce(element_at(array_sort(transform(e, r -> r.reading)), CAST(size(e) div 2 + 1 AS INT)), 0.0D)")
+    last = last.select(*KEY, "block", F.transform("e", lambda r: F.struct(r["reading"], r["m"])).alias("last"),
+                       F.struct(middle.alias("reading"), F.expr("coalesce(e[0].temperature, 0.0D)").alias("temperature")).alias("r"))
+    w = Window.partitionBy(*KEY).orderBy("block")
+    before = F.concat(*[F.coalesce(F.lag("last", i).over(w), F.slice("last", 1, 0)) for i in (1, 2, 3)])
+    last = last.select(*KEY, "block", before.alias("c"), F.first("r").over(w).alias("ref"))
+    return last.select(*KEY, "block", *[F.get("c", F.lit(i - 1)).alias(f"c{i}") for i in (1, 2, 3)], "ref")
+
+
 def runs(weather: DataFrame) -> DataFrame:
     """Distinct rows of each (meter, hour) with their copy count ``m`` and run context.
 
-    ``s``: rows (copies included) before the run in date order; ``t1, t2, t3``: readings
-    at the last three of those positions (null where there are fewer). Equal dates are
-    ordered by value, so copies are adjacent.
+    ``s``: rows (copies included) before the run in date order, counted up to the copies of
+    its three last distinct rows (so ``s >= 3`` is exact); ``t1, t2, t3``: readings at the last
+    three of those positions (null where there are fewer). Equal dates are ordered by value,
+    so copies are adjacent. ``ref``: a typical (reading, temperature) of the (meter, hour), to take differences from.
+
+    A segmented window: the window runs over a block, and the first three rows of a block
+    look on into the rows that it took over (``carried``), joined on the block.
     """
-    d = weather.groupBy(*KEY, *ORDER).agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy(*KEY).orderBy(*ORDER)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.select(
-        *KEY, *ORDER, "m",
-        *[F.lag("reading", i).over(w).alias(f"_r{i}") for i in (1, 2, 3)],
-        *[F.coalesce(F.lag("m", i).over(w), F.lit(0)).alias(f"_m{i}") for i in (1, 2)],
-        F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"),
-        # per-group shift references for copy-weighted sums (same window operator)
-        F.first("reading").over(whole).alias("ref_reading"),
-        F.first("temperature").over(whole).alias("ref_temperature"),
-    )
-    return d.selectExpr(
-        *KEY, *ORDER, "m", "s", "ref_reading", "ref_temperature", "_r1 AS t1",
-        "CASE WHEN _m1 >= 2 THEN _r1 ELSE _r2 END AS t2",
-        "CASE WHEN _m1 >= 3 THEN _r1 WHEN _m1 + _m2 >= 3 THEN _r2 ELSE _r3 END AS t3",
+    # one shuffle, which both sides of the join read; its explicit count is kept, while adaptive
+    # coalescing by bytes would leave the sorts and windows of small rows to a few tasks
+    d = collapsed(weather).repartition(parallelism(weather.sparkSession), *KEY, "block")
+    w = Window.partitionBy(*KEY, "block").orderBy(*ORDER)
+    own = d.withColumns({"_n": F.row_number().over(w), **{f"_r{i}": F.lag("reading", i).over(w) for i in (1, 2, 3)},
+                         **{f"_m{i}": F.lag("m", i).over(w) for i in (1, 2)}})
+    own = own.join(carried(d), [*KEY, "block"])
+
+    def previous(i, value, name):
+        """``value`` of the i-th distinct row before: of the block, else of those taken over."""
+        over = "".join(f" WHEN _n = {n} THEN c{i + 1 - n}.{value}" for n in range(1, i + 1))
+        return f"CASE WHEN _n > {i} THEN _{value[0]}{i}{over} END AS {name}"
+    own = own.selectExpr(*KEY, *ORDER, "block", "m", "_n", "ref",
+                         *[previous(i, "reading", f"p{i}") for i in (1, 2, 3)], *[previous(i, "m", f"k{i}") for i in (1, 2)],
+                         "CASE WHEN _n > 3 THEN 1 WHEN _n = 3 THEN c1.m WHEN _n = 2 THEN c2.m ELSE c3.m END AS k3")
+    return own.selectExpr(
+        *KEY, *ORDER, "block", "m", "coalesce(k1, 0) + coalesce(k2, 0) + coalesce(k3, 0) AS s", "ref", "p1 AS t1",
+        "CASE WHEN k1 >= 2 THEN p1 ELSE p2 END AS t2",
+        "CASE WHEN k1 >= 3 THEN p1 WHEN k1 + k2 >= 3 THEN p2 ELSE p3 END AS t3",
     )
 
 
 def with_lags(weather: DataFrame) -> DataFrame:
     """Every row with ``lag1..lag3``: the readings of the 1..3 previous rows of the same
     (meter, hour) by date (gaps in the calendar are ignored; equal dates are ordered by
-    value). Copies are expanded from their run, so the window never sees them; the
-    expansion is two-level (chunks of ``COPY_CHUNK`` positions), so no array holds more than
-    that many positions however many copies a run has."""
-    c = F.lit(COPY_CHUNK)
-    r = runs(weather).withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / c).cast("long"))))
-    r = r.withColumn("_k", F.explode(F.sequence(F.col("_c") * c + 1, F.least(F.col("_c") * c + c, F.col("m")))))
-    return r.selectExpr(
+    value). Copies are expanded from their run, so the window never sees them. The first
+    ``COPY_CHUNK`` copies of a run are expanded in place; the lags of the others are the
+    reading itself, so they need no window and are dealt out in chunks: no array holds more than
+    ``COPY_CHUNK`` positions and no task regenerates a huge run alone."""
+    c = F.lit(COPY_CHUNK).cast("long")
+    r = runs(weather).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("m"), c))))
+    r = r.selectExpr(
         *KEY, *ORDER,
         "CASE WHEN _k >= 2 THEN reading ELSE t1 END AS lag1",
         "CASE WHEN _k >= 3 THEN reading WHEN _k = 2 THEN t1 ELSE t2 END AS lag2",
         "CASE WHEN _k >= 4 THEN reading WHEN _k = 3 THEN t1 WHEN _k = 2 THEN t2 ELSE t3 END AS lag3",
     )
+    more = collapsed(weather).where(F.col("m") > c)
+    more = more.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("m") - 1) / c))))
+    more = more.repartition(*KEY, *ORDER, "_c")
+    more = more.withColumn("_k", F.explode(F.sequence(F.col("_c") * c + 1, F.least(F.col("_c") * c + c, F.col("m")))))
+    return r.unionByName(more.select(*KEY, *ORDER, *[F.col("reading").alias(f"lag{i}") for i in (1, 2, 3)]))
 
 
 _OBS = ["y", "l1", "l2", "l3", "x4", "x5", "x6"]
 _ACT = ["y", "x4", "x5", "x6"]
+#: the two weights of a template row and the columns whose co-moments they weigh
+_SETS = {"o": _OBS, "a": _ACT}
+
+
+def _upper(names: list[str]) -> list[tuple[str, str]]:
+    return [(u, v) for i, u in enumerate(names) for v in names[i:]]
+
+
+def _templates(rs: DataFrame) -> DataFrame:
+    """Weighted observations, as differences from the group's ``ref``: ``o`` weighs the
+    regression (null where a lag or value is missing), ``a`` the whole-group moments (the
+    row's copies, once)."""
+    r = with_temperature_terms(rs).where("reading IS NOT NULL AND temperature IS NOT NULL")
+    ref = dict(zip(("ref_x4", "ref_x5", "ref_x6"), temperature_terms(F.col("ref.temperature"))))
+    r = r.withColumns({"ref_y": F.col("ref.reading"), **ref})
+    r = r.withColumns({**{v: F.col(c) - F.col("ref_y") for v, c in (("y", "reading"), ("t1", "t1"), ("t2", "t2"), ("t3", "t3"))},
+                       **{x: F.col(x) - F.col(f"ref_{x}") for x in ("x4", "x5", "x6")}})
+
+    def item(o, a, l1, l2, l3):
+        return f"named_struct('o', CAST({o} AS DOUBLE), 'a', CAST({a} AS DOUBLE), 'l1', {l1}, 'l2', {l2}, 'l3', {l3})"
+    first = item("CASE WHEN s >= 3 THEN 1 END", "m", "t1", "t2", "t3")
+    rest = [item("CASE WHEN s >= 2 THEN 1 END", "NULL", "y", "t1", "t2"),
+            item("CASE WHEN m >= 3 AND s >= 1 THEN 1 END", "NULL", "y", "y", "t1"),
+            item("CASE WHEN m >= 4 THEN m - 3 END", "NULL", "y", "y", "y")]
+    e = r.selectExpr(*KEY, "ref_y", *ref, "y", "x4", "x5", "x6",
+                     f"inline(CASE WHEN m = 1 THEN array({first}) ELSE array({first}, {', '.join(rest)}) END)")
+    return e.withColumn("o", F.expr("CASE WHEN l1 + l2 + l3 IS NOT NULL THEN o END"))
 
 
 def _moments(rs: DataFrame) -> DataFrame:
     """Per (meter, hour): regression moments (means, covariances, n_obs) and whole-group
-    activity moments, in one aggregate on the lag window's partitioning.
-
-    Rows of weight 1 — observations from copies 1-3 of a run and distinct rows without
-    copies — go through Spark's own ``avg``/``covar_pop``. Copy-weighted rows, present only
-    where the input has exact copies — copies 4..m of a run (weight m - 3, all lags equal
-    the reading) and distinct rows with m > 1 copies (weight m) — are summed shifted by the
-    group's first row (mean = ref + D/W, co-moment = S - D_u D_v / W; a constant column has
-    exactly zero spread). The parts are
-    merged with the parallel co-moment formula; without copies the result is exactly the
-    built-in aggregates over the rows.
-    """
-    r = with_temperature_terms(rs)
-    cdd, hdd, cold = temperature_terms(F.col("ref_temperature"))
-    r = r.withColumns({"ref_y": F.col("ref_reading"), "ref_l1": F.col("ref_reading"), "ref_l2": F.col("ref_reading"),
-                       "ref_l3": F.col("ref_reading"), "ref_x4": cdd, "ref_x5": hdd, "ref_x6": cold})
-    refs = ", ".join(f"'ref_{v}', ref_{v}" for v in _OBS)
-
-    def item(okind, akind, w, l1, l2, l3, valid):
-        return (f"named_struct('okind', CAST({okind} AS TINYINT), 'akind', CAST({akind} AS TINYINT), "
-                f"'w', CAST({w} AS BIGINT), 'wa', m, 'y', reading, 'l1', {l1}, 'l2', {l2}, 'l3', {l3}, "
-                f"'x4', x4, 'x5', x5, 'x6', x6, {refs}, 'ok', {valid})")
-    null = "CAST(NULL AS DOUBLE)"
-    # observation kinds: 0 = weight-1 copy 1-3 of a run, 1 = copies 4..m (weight m - 3);
-    # activity kinds (carried by the first row of each distinct row, whose values are the
-    # row's own): 2 = a row without copies, 3 = a row with m > 1 copies (weight m)
-    items = [
-        item("CASE WHEN s >= 3 THEN 0 END", "CASE WHEN m = 1 THEN 2 ELSE 3 END", "1", "t1", "t2", "t3", "true"),
-        item("0", "NULL", "1", "reading", "t1", "t2", "m >= 2 AND s >= 2"),
-        item("0", "NULL", "1", "reading", "reading", "t1", "m >= 3 AND s >= 1"),
-        item("1", "NULL", "m - 3", "reading", "reading", "reading", "m >= 4"),
-    ]
-    e = r.selectExpr(*KEY, f"inline(filter(array({', '.join(items)}), t -> t.ok))")
-
-    aggs = []
-    code = {"o": ("okind", 0, "w"), "oh": ("okind", 1, "w"), "a": ("akind", 2, "wa"), "ah": ("akind", 3, "wa")}
-    for light, heavy, names in (("o", "oh", _OBS), ("a", "ah", _ACT)):
-        lc, lk, _ = code[light]
-        hc, hk, hw = code[heavy]
-        aggs += [f"count(CASE WHEN {lc} = {lk} THEN 1 END) AS _n{light}",
-                 f"coalesce(sum(CASE WHEN {hc} = {hk} THEN {hw} END), 0) AS _n{heavy}"]
-        for v in names:
-            aggs += [f"avg(CASE WHEN {lc} = {lk} THEN {v} END) AS _m{light}_{v}",
-                     f"sum(CASE WHEN {hc} = {hk} THEN {hw} * ({v} - ref_{v}) END) AS _D{heavy}_{v}",
-                     f"first(ref_{v}) AS _ref_{v}"]
-        for i, u in enumerate(names):
-            for v in names[i:]:
-                aggs += [f"covar_pop(CASE WHEN {lc} = {lk} THEN {u} END, CASE WHEN {lc} = {lk} THEN {v} END) "
-                         f"AS _c{light}_{u}_{v}",
-                         f"sum(CASE WHEN {hc} = {hk} THEN {hw} * ({u} - ref_{u}) * ({v} - ref_{v}) END) "
-                         f"AS _S{heavy}_{u}_{v}"]
-    g = e.groupBy(*KEY).agg(*[F.expr(a) for a in dict.fromkeys(aggs)])
-    hv = []
-    for heavy, names in (("oh", _OBS), ("ah", _ACT)):
-        hv += [f"_ref_{v} + try_divide(_D{heavy}_{v}, _n{heavy}) AS _m{heavy}_{v}" for v in names]
-        for i, u in enumerate(names):
-            for v in names[i:]:
-                hv.append(f"_S{heavy}_{u}_{v} - try_divide(_D{heavy}_{u} * _D{heavy}_{v}, _n{heavy}) AS _C{heavy}_{u}_{v}")
-    g = g.selectExpr("*", *hv)
-
-    def mean(light, heavy, v):
-        na, nb = f"_n{light}", f"_n{heavy}"
-        ma, mb = f"_m{light}_{v}", f"_m{heavy}_{v}"
-        return f"CASE WHEN {nb} = 0 THEN {ma} WHEN {na} = 0 THEN {mb} ELSE {ma} + ({mb} - {ma}) * {nb} / ({na} + {nb}) END"
-
-    def cov(light, heavy, u, v):
-        na, nb = f"_n{light}", f"_n{heavy}"
-        ca, cb = f"_c{light}_{u}_{v}", f"_C{heavy}_{u}_{v}"
-        du = f"(_m{heavy}_{u} - _m{light}_{u})"
-        dv = f"(_m{heavy}_{v} - _m{light}_{v})"
-        merged = f"({ca} * {na} + {cb} + {du} * {dv} * {na} * {nb} / ({na} + {nb})) / ({na} + {nb})"
-        return f"CASE WHEN {nb} = 0 THEN {ca} WHEN {na} = 0 THEN {cb} / {nb} ELSE {merged} END"
+    activity moments.
 
+    One mergeable co-moment each: weight W, weighted sums D and weighted products S of
+    differences from the group's reference r, added up map-side and merged by addition. Then
+    mean = r + D / W and the covariance is (S_uv - D_u D_v / W) / W. Differences keep the digits
+    of large readings. A regressor whose least and greatest value are equal has no spread at all,
+    which the singularity test relies on (sums of rounded differences would leave some).
+    """
+    sums = {f"_W{k}": f"sum({k})" for k in _SETS}
+    for k, names in _SETS.items():
+        sums |= {f"_D{k}_{v}": f"sum({k} * {v})" for v in names}
+        sums |= {f"_S{k}_{u}_{v}": f"sum({k} * {u} * {v})" for u, v in _upper(names)}
+    for v in _OBS[1:]:
+        sums |= {f"_lo_{v}": f"min(CASE WHEN o > 0 THEN {v} END)", f"_hi_{v}": f"max(CASE WHEN o > 0 THEN {v} END)"}
+    # the references are the same for all rows of a group
+    refs = ["ref_y", "ref_x4", "ref_x5", "ref_x6"]
+    g = _templates(rs).groupBy(*KEY).agg(*[F.first(c).alias(c) for c in refs], *[F.expr(e).alias(n) for n, e in sums.items()])
+
+    def mean(k, v):
+        return f"{'ref_y' if v in ('y', 'l1', 'l2', 'l3') else 'ref_' + v} + _D{k}_{v} / _W{k}"
+
+    def cov(k, u, v):
+        c = f"(_S{k}_{u}_{v} - _D{k}_{u} * _D{k}_{v} / _W{k}) / _W{k}"
+        flat = " OR ".join(f"_lo_{x} = _hi_{x}" for x in dict.fromkeys((u, v)) if k == "o" and x != "y")
+        return f"CASE WHEN {flat} THEN 0.0D ELSE {c} END" if flat else c
     obs = {1: "l1", 2: "l2", 3: "l3", 4: "x4", 5: "x5", 6: "x6"}
-    out = ["CAST(_no + _noh AS BIGINT) AS n_obs", f"{mean('o', 'oh', 'y')} AS _my"]
-    out += [f"{mean('o', 'oh', v)} AS _m{i}" for i, v in obs.items()]
-    order = {v: k for k, v in enumerate(_OBS)}
-
-    def ocov(u, v):
-        a, b = sorted((u, v), key=order.get)
-        return cov("o", "oh", a, b)
-    for i, vi in obs.items():
-        for j, vj in obs.items():
-            if i <= j:
-                out.append(f"{ocov(vi, vj)} AS _s{i}{j}")
-        out.append(f"{ocov(vi, 'y')} AS _t{i}")
-    out += [f"{mean('a', 'ah', 'y')} AS _ar", f"{cov('a', 'ah', 'y', 'y')} AS _vr"]
-    out += [f"{mean('a', 'ah', f'x{k}')} AS _a{k}" for k in (4, 5, 6)]
-    out += [f"{cov('a', 'ah', 'y', f'x{k}')} AS _cr{k}" for k in (4, 5, 6)]
-    out += [f"{cov('a', 'ah', f'x{k}', f'x{l}')} AS _c{k}{l}" for k in (4, 5, 6) for l in (4, 5, 6) if k <= l]
+    out = ["CAST(coalesce(_Wo, 0) AS BIGINT) AS n_obs", f"{mean('o', 'y')} AS _my"]
+    out += [f"{mean('o', v)} AS _m{i}" for i, v in obs.items()]
+    out += [f"{cov('o', vi, vj)} AS _s{i}{j}" for i, vi in obs.items() for j, vj in obs.items() if i <= j]
+    out += [f"{cov('o', 'y', v)} AS _t{i}" for i, v in obs.items()]
+    out += [f"{mean('a', 'y')} AS _ar", f"{cov('a', 'y', 'y')} AS _vr"]
+    out += [f"{mean('a', f'x{k}')} AS _a{k}" for k in (4, 5, 6)]
+    out += [f"{cov('a', 'y', f'x{k}')} AS _cr{k}" for k in (4, 5, 6)]
+    out += [f"{cov('a', u, v)} AS _c{u[1]}{v[1]}" for u, v in _upper(["x4", "x5", "x6"])]
     return g.selectExpr(*KEY, *out)
 
 
@@ -228,11 +248,15 @@ def activity_profile(weather: DataFrame) -> DataFrame:
 
 
 def activity(weather: DataFrame) -> DataFrame:
-    """Per-row activity load (``reading`` minus the fitted temperature-driven load)."""
-    rows = with_temperature_terms(with_lags(weather))
-    betas = fit_betas(weather)
+    """Per-row activity load (``reading`` minus the fitted temperature-driven load).
+
+    The models are a row for each meter-hour; every one is handed out ``SALTS`` times and the
+    rows take turns, so a meter-hour holding any share of the rows, copies or not, is no hot
+    key. (Which row takes which does not matter for the result.)"""
+    rows = with_temperature_terms(weather).withColumn("_salt", F.monotonically_increasing_id() % SALTS)
+    betas = fit_betas(weather).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     act = F.col("reading") - F.col("b4") * F.col("x4") - F.col("b5") * F.col("x5") - F.col("b6") * F.col("x6")
-    return rows.join(betas, KEY).withColumn("activity", act)
+    return rows.join(betas, [*KEY, "_salt"]).withColumn("activity", act).drop("_salt")
 
 
 def profile_arrays(profile: DataFrame, hours: int = 24) -> DataFrame:
