@@ -470,3 +470,69 @@ QUERIES.update({
     "job_train_profiles": q_job_train_profiles,
     "temperature_seed_file": q_temperature_seed_file,
 })
+
+
+# --------------------------------------------------------------------------- order as rows
+
+from ..operators.order import numbered, numbered_lines  # noqa: E402
+
+
+def q_point_positions(spark, sf):
+    """Every point's place in the global order by meter and day."""
+    return numbered(points(spark, sf).select("meter_id", "day"), "meter_id", "day").select("pos", "meter_id", "day")
+
+
+def q_point_file_order(spark, sf):
+    """Points written in global order; each with the number of its line in the files."""
+    base = scratch_path(spark, "point-order")
+    tx.write_points(points(spark, sf), base, sort=True)
+    p = tx.parse_points(tx.fields(numbered_lines(spark, base)), "pos")
+    return p.select("pos", "meter_id", "day", _r(F.array_max("x"), "peak"))
+
+
+def q_tagged_file_order(spark, sf):
+    """Tagged points written in order of cluster, meter and day; each with its line number."""
+    base = scratch_path(spark, "tagged-order")
+    _, _, assigned = fitted(spark, sf)
+    tx.write_tagged(ksc.tag_points(assigned), base, sort=True)
+    t = tx.parse_tagged(tx.fields(numbered_lines(spark, base)), "pos")
+    return t.select("pos", "cid", _r(F.array_max("original"), "peak"), _r(F.array_max("shifted"), "peak_shifted"))
+
+
+def q_tagged_file_top10(spark, sf):
+    """The first ten lines of the tagged files."""
+    base = scratch_path(spark, "tagged-top")
+    _, _, assigned = fitted(spark, sf)
+    tx.write_tagged(ksc.tag_points(assigned), base, sort=True)
+    t = tx.parse_tagged(tx.fields(numbered_lines(spark, base, "line").where(F.col("line") < P.TOP_TAGGED)), "line")
+    return t.select("line", "cid", F.posexplode("original").alias("pos", "_v")).select("line", "cid", F.col("pos").cast("int").alias("pos"), _r("_v", "original"))
+
+
+def q_share_file_order(spark, sf):
+    """Centroids with their shares, in the order of the lines of their file."""
+    base = scratch_path(spark, "share-order")
+    _, res, _ = fitted(spark, sf)
+    tx.write_shares(ksc.centroid_shares(ksc.model_frame(spark, res.model)), base)
+    return tx.parse_shares(tx.fields(numbered_lines(spark, base)), "pos").select("pos", "cid", _r("share"))
+
+
+def q_temperature_first_line(spark, sf):
+    """Temperatures of every date as a line of its own, in order, over several files: the
+    first line of the first file is the seed."""
+    base = scratch_path(spark, "temperature-lines")
+    daily = weather(spark, sf).groupBy("read_date", "hour").agg(F.avg("temperature").alias("t"))
+    daily = daily.groupBy("read_date").agg(F.array_sort(F.collect_list(F.struct("hour", "t"))).alias("d"))   # 24 hours
+    line = F.array_join(F.transform("d", lambda e: e["t"].cast("string")), "|").alias("value")
+    daily.repartitionByRange(4, "read_date").sortWithinPartitions("read_date").select(line).write.text(base)
+    lines = spark.read.text(base).count()
+    return tx.read_temperature_seed(spark, base).select("pos", _r("temperature"), F.lit(lines).cast("long").alias("lines"))
+
+
+QUERIES.update({
+    "point_positions": q_point_positions,
+    "point_file_order": q_point_file_order,
+    "tagged_file_order": q_tagged_file_order,
+    "tagged_file_top10": q_tagged_file_top10,
+    "share_file_order": q_share_file_order,
+    "temperature_first_line": q_temperature_first_line,
+})

@@ -502,3 +502,26 @@ GROUP BY meter_id HAVING count(*) FILTER (WHERE NOT {bad}) > 0""")
 
 
 ORACLE = build_files(ORACLE)
+
+
+def build_order(q: dict) -> dict:
+    """The order of rows and lines is compared as numbers."""
+    place = "row_number() OVER (ORDER BY {}) - 1 AS pos"
+    orig = normalize(crop_expr("x", P.WINDOW))
+    q["point_positions"] = _with(points(), f"SELECT {place.format('meter_id, day')}, meter_id, day FROM pts{P.WINDOW}")
+    q["point_file_order"] = _with(points(), f"SELECT {place.format('meter_id, day')}, meter_id, day, {r('list_max(x)')} AS peak FROM pts{P.WINDOW}")
+    joined = f"f_asg a JOIN pts{P.WINDOW} p USING (meter_id, day)"
+    q["tagged_file_order"] = _with(fitted(), f"""SELECT {place.format('a.cid, a.meter_id, a.day')}, a.cid,
+  {r('list_max(' + orig + ')')} AS peak, {r('list_max(a.z)')} AS peak_shifted FROM {joined}""")
+    q["tagged_file_top10"] = _with(fitted() + [
+        ("tag", f"SELECT row_number() OVER (ORDER BY a.cid, a.meter_id, a.day) - 1 AS line, a.cid, {orig} AS original FROM {joined}"),
+        ("top", f"SELECT * FROM tag WHERE line < {P.TOP_TAGGED}"),
+    ], long_form("top", "line, cid", "original", "original"))
+    q["share_file_order"] = _with(fitted(), f"SELECT {place.format('cid')}, CAST(cid AS INTEGER) AS cid, {r('100.0 * n / sum(n) OVER ()')} AS share FROM f_model")
+    q["temperature_first_line"] = _with(weather(), f"""SELECT CAST(hour AS BIGINT) AS pos, {r('avg(temperature)')} AS temperature,
+  (SELECT count(DISTINCT read_date) FROM weather) AS lines
+FROM weather WHERE read_date = (SELECT min(read_date) FROM weather) GROUP BY hour""")
+    return q
+
+
+ORACLE = build_order(ORACLE)

@@ -41,10 +41,20 @@ def _fields(spark: SparkSession, path: str, min_partitions: int | None = None) -
 
 def read_points(spark, path: str, min_partitions: int | None = None) -> DataFrame:
     """``meter_id BIGINT, day DATE, x ARRAY<DOUBLE>`` from ``<meter><yyMMdd>|v,…``."""
-    f = _fields(spark, path, min_partitions)
+    return parse_points(_fields(spark, path, min_partitions))
+
+
+def fields(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``value`` split at the bars into ``f``; other columns stay."""
+    return lines.withColumn("f", F.split("value", r"\|")).drop("value")
+
+
+def parse_points(f: DataFrame, *keep: str) -> DataFrame:
+    """Points from split lines (``fields``), with the columns ``keep``."""
     pid = F.col("f")[0]
     n = F.length(pid)
     return f.select(
+        *keep,
         F.substring(pid, 1, n - 6).cast("long").alias("meter_id"),
         F.to_date(F.substring(pid, n - 5, 6), "yyMMdd").alias("day"),
         _nums(F.col("f")[1]).alias("x"),
@@ -59,14 +69,20 @@ def read_centroids(spark, path: str) -> DataFrame:
 
 
 def read_shares(spark, path: str) -> DataFrame:
-    f = _fields(spark, path)
-    return f.select(F.col("f")[0].cast("int").alias("cid"), F.col("f")[1].cast("double").alias("share"),
+    return parse_shares(_fields(spark, path))
+
+
+def parse_shares(f: DataFrame, *keep: str) -> DataFrame:
+    return f.select(*keep, F.col("f")[0].cast("int").alias("cid"), F.col("f")[1].cast("double").alias("share"),
                     _nums(F.col("f")[2]).alias("c"))
 
 
 def read_tagged(spark, path: str) -> DataFrame:
-    f = _fields(spark, path)
-    return f.select(F.col("f")[0].cast("int").alias("cid"), _nums(F.col("f")[1]).alias("original"),
+    return parse_tagged(_fields(spark, path))
+
+
+def parse_tagged(f: DataFrame, *keep: str) -> DataFrame:
+    return f.select(*keep, F.col("f")[0].cast("int").alias("cid"), _nums(F.col("f")[1]).alias("original"),
                     _nums(F.col("f")[2]).alias("shifted"))
 
 
