@@ -150,13 +150,19 @@ class FitResult:
     history: list = field(default_factory=list)   # (iteration, n_moved, total_moved)
 
 
+#: points of one task of an iteration, about
+POINTS_PER_TASK = 50_000
+
+
 def stable(points: DataFrame) -> DataFrame:
     """Points ready for iterating: without points that have a missing or non-finite value,
-    spread over a partition count sized from their row count (at least the task slots, at
-    most ``spark.sql.shuffle.partitions``), checkpointed and persisted. Adaptive execution
-    sizes partitions by bytes, which can leave these small but CPU-heavy rows in one task."""
-    spark = points.sparkSession
-    return cached(reliable(spread(points.where(is_finite()), parallelism(spark))))
+    checkpointed, then spread over a partition count sized from their row count (at least the
+    task slots) and persisted. Adaptive execution sizes partitions by bytes, which can leave
+    these small but CPU-heavy rows in one task; the shuffle partitions of the session, sized for
+    the raw input, would start far more tasks a turn than the points need."""
+    kept = reliable(points.where(is_finite()))
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // POINTS_PER_TASK))
+    return cached(spread(kept, tasks))
 
 
 def rejected(points: DataFrame) -> int:
@@ -174,11 +180,11 @@ def fit(points: DataFrame, seeds: Model, max_iter: int = 100, delta: float = 1e-
     converged = False
     it, squares = 0, 0.0
     while it < max_iter and not converged:
-        rows = movement(update(assign(points, model, max_shift, length), length), model, delta).collect()
+        rows = update(assign(points, model, max_shift, length), length).collect()   # K rows
+        over = [moved for r in rows if (moved := math.dist(r["c"], model[int(r["cid"])][1])) > delta]
         prev = model
         model = {int(r["cid"]): (int(r["n"]), [float(v) for v in r["c"]]) for r in rows}
         squares = math.fsum(r["ss"] for r in rows)
-        over = [r["moved"] for r in rows if r["over"]]
         history.append((it, len(over), float(sum(over))))
         converged = len(over) == 0
         it += 1

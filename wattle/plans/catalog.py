@@ -91,11 +91,11 @@ def q_seed_centroids(spark, sf):
     return _long(pool(points(spark, sf)), ["cid"], "c")
 
 
-def q_shape_shifts(spark, sf):
+def q_shape_shifts(spark, sf, widest=P.MAX_SHIFT):
     pts = points(spark, sf)
     shifts = pts.select(
         "meter_id", "day",
-        F.explode(F.sequence(F.lit(-P.MAX_SHIFT), F.lit(P.MAX_SHIFT))).alias("q"), "x",
+        F.explode(F.sequence(F.lit(-widest), F.lit(widest))).alias("q"), "x",
     )
     z = S.normalize(S.crop(S.rotate("x", F.col("q")), S.DAY))
     return _long(shifts.select("meter_id", "day", "q", z.alias("z")), ["meter_id", "day", "q"], "z")
@@ -536,3 +536,66 @@ QUERIES.update({
     "share_file_order": q_share_file_order,
     "temperature_first_line": q_temperature_first_line,
 })
+
+
+# --------------------------------------------------------------------------- whole jobs
+
+def q_shape_shifts_wrap(spark, sf):
+    """Shifts wider than the margin of a point: its ends wrap around."""
+    return q_shape_shifts(spark, sf, P.WRAP_SHIFT)
+
+
+def q_job_prepare_seeds(spark, sf):
+    """The preparation job over raw text files: the seed centroids that it wrote."""
+    base = scratch_path(spark, "job-seeds")
+    fx.meter_lines(events(spark, sf)).write.text(f"{base}/raw")
+    jobs.prepare_points(spark, f"{base}/raw", f"{base}/points", f"{base}/seeds", P.WINDOW, P.POOL)
+    return _long(tx.read_centroids(spark, f"{base}/seeds"), ["cid"], "c")
+
+
+def q_job_ksc_clustering(spark, sf):
+    """The clustering job over point and seed files, two K: every file that it wrote."""
+    base = scratch_path(spark, "job-cluster")
+    pts = cached(points(spark, sf))
+    tx.write_points(pts, f"{base}/points", sort=True)
+    tx.write_centroids(pool(pts), f"{base}/seeds")
+    jobs.ksc_clustering(spark, f"{base}/points", f"{base}/seeds", f"{base}/out", P.MAX_ITERS, P.DELTA, max_shift=P.MAX_SHIFT,
+                        k_start=P.K_FIT - 1, k_end=P.K_FIT, least_coverage=1.0)
+
+    def rows(df, kind, key, value, pos=None):
+        return df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), (F.lit(-1) if pos is None else F.col(pos)).alias("pos"), _r(value, "value"))
+    shares = tx.read_shares(spark, f"{base}/out/centroid")
+    tags = tx.read_tagged(spark, f"{base}/out/taggedpoints")
+    elbow = tx.read_elbow(spark, f"{base}/out/elbow")
+    return (rows(shares, "share", "cid", "share")
+            .unionByName(rows(shares.select("cid", F.posexplode("c").alias("p", "v")), "centroid", "cid", "v", "p"))
+            .unionByName(rows(tx.read_entropy(spark, f"{base}/out/entropy"), "entropy", "meter_id", "entropy"))
+            .unionByName(rows(tags, "original", "cid", F.array_max("original")))
+            .unionByName(rows(tags, "shifted", "cid", F.array_max("shifted")))
+            .unionByName(rows(elbow, "coverage", "k", "coverage"))
+            .unionByName(rows(elbow, "ch", "k", "ch")))
+
+
+def q_job_generate(spark, sf):
+    """The training and the generation job over files: the lines that they wrote, one series
+    for each profile."""
+    base = scratch_path(spark, "job-generate")
+    w = weather(spark, sf)
+    tx.write_weather(w, f"{base}/weather")
+    jobs.train_profiles(spark, f"{base}/weather", f"{base}/profiles")
+    seed = syn.temperature_seed(w).agg(F.array_sort(F.collect_list(F.struct("pos", "temperature"))).alias("t"))   # 24 a date
+    seed.select(F.array_join(F.transform("t", lambda e: e["temperature"].cast("string")), "|")).write.text(f"{base}/temperatures")
+    n = tx.read_profiles(spark, f"{base}/profiles").count()
+    jobs.generate(spark, spark.sparkContext.defaultParallelism, f"{base}/profiles", f"{base}/temperatures", f"{base}/series",
+                  P.SYNTH_START, P.SYNTH_DAYS, n, P.PEAKY_RATIO, P.SYNTH_SEED)
+    f = tx.fields(spark.read.text(f"{base}/series"))
+    return f.select(F.col("f")[0].cast("long").alias("series_id"), F.col("f")[1].alias("read_ts"),
+                    _r(F.col("f")[2].cast("double"), "load"), _r(F.col("f")[3].cast("double"), "temperature"))
+
+
+QUERIES.update({
+    "shape_shifts_wrap": q_shape_shifts_wrap,
+    "job_prepare_seeds": q_job_prepare_seeds,
+    "job_ksc_clustering": q_job_ksc_clustering,
+    "job_generate": q_job_generate,
+})

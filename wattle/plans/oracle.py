@@ -113,12 +113,13 @@ WHERE prev IS NOT NULL AND nxt IS NOT NULL"""
     return source + [(name, sql)]
 
 
-def pool(w: int = P.WINDOW):
+def pool(w: int = P.WINDOW, days: str = "fdays"):
+    source = f"pts{w}" if days == "fdays" else f"{days}{w}"
     sql = f"""SELECT CAST(row_number() OVER (ORDER BY key, meter_id, day) AS INTEGER) AS cid, c FROM (
   SELECT md5(concat_ws('|', 'seed', CAST(meter_id AS VARCHAR), strftime(day, '%Y-%m-%d'))) AS key,
          meter_id, day, {normalize(crop_expr('x', w))} AS c
-  FROM pts{w} ORDER BY key, meter_id, day LIMIT {P.POOL})"""
-    return points(w) + [("pool", sql)]
+  FROM {source} ORDER BY key, meter_id, day LIMIT {P.POOL})"""
+    return points(w, days) + [("pool", sql)]
 
 
 def seeds(k: int, name: str):
@@ -525,3 +526,26 @@ FROM weather WHERE read_date = (SELECT min(read_date) FROM weather) GROUP BY hou
 
 
 ORACLE = build_order(ORACLE)
+
+
+def build_jobs(q: dict) -> dict:
+    """Everything that the clustering and the generation job write."""
+    orig = normalize(crop_expr("x", P.WINDOW))
+    less = P.K_FIT - 1
+    ctes = entropy() + quality("f", P.K_FIT) + seeds(less, "e_seed") + fit("e_seed", "e") + quality("e", less) + [
+        ("elbow", "SELECT * FROM e_q UNION ALL SELECT * FROM f_q")]
+    q["job_ksc_clustering"] = _with(ctes, f"""SELECT 'share' AS kind, CAST(cid AS BIGINT) AS id, -1 AS pos, {r('100.0 * n / sum(n) OVER ()')} AS value FROM f_model
+UNION ALL SELECT 'centroid', cid, unnest(range({DAY})), {r('unnest(c)')} FROM f_model
+UNION ALL SELECT 'entropy', meter_id, -1, {r('entropy')} FROM ent
+UNION ALL SELECT 'original', a.cid, -1, {r('list_max(' + orig + ')')} FROM f_asg a JOIN pts{P.WINDOW} p USING (meter_id, day)
+UNION ALL SELECT 'shifted', cid, -1, {r('list_max(z)')} FROM f_asg
+UNION ALL SELECT 'coverage', k, -1, {r('ssb / sst')} FROM elbow
+UNION ALL SELECT 'ch', k, -1, {r('ssb * (n_points - k) / (ssw * (k - 1))')} FROM elbow""")
+    q["job_generate"] = _with(synthetic(), f"""SELECT series_id, strftime(read_ts, '%Y-%m-%d ') || hour(read_ts) || ':00:00' AS read_ts,
+  {r('load')} AS load, {r('temperature')} AS temperature FROM synth""")
+    q["job_prepare_seeds"] = _with(pool(P.WINDOW, "cdays"), long_form("pool", "cid", "c"))
+    q["shape_shifts_wrap"] = _with(cands(q_max=P.WRAP_SHIFT), long_form("cands", "meter_id, day, CAST(q AS INTEGER) AS q", "z"))
+    return q
+
+
+ORACLE = build_jobs(ORACLE)

@@ -2,6 +2,7 @@
 
 WINDOW = 26            # hours per point: the day plus one margin hour on each side
 MAX_SHIFT = 1          # shifts -1, 0, +1 hour
+WRAP_SHIFT = 3         # shifts beyond the margin of a point wrap around
 POOL = 100             # seed centroids sampled from the points
 K_FIT = 5              # clusters for the single-K queries
 MAX_ITERS = 100        # bound of every fit; convergence stops it long before
