@@ -159,3 +159,51 @@ def test_sweep_stops_at_coverage(spark, pts):
 def test_stable_points_spread_over_task_slots(spark, pts):
     assert pts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert pts.count() == C.points(spark, SF01).count()
+
+
+def test_several_models_in_one_pass(spark, pts):
+    pool = C.pool(pts)
+    seeds = {k: ksc.collect_model(ksc.sample_seeds(pool, k)) for k in (2, 3, 5)}
+    rows = ksc.update_many(pts, seeds).collect()
+    for k, model in seeds.items():
+        alone = {r["cid"]: r for r in ksc.update(ksc.assign(pts, model)).collect()}
+        mine = {r["cid"]: r for r in rows if r["k"] == k}
+        assert {c: r["n"] for c, r in mine.items()} == {c: r["n"] for c, r in alone.items()}
+        for c, r in mine.items():
+            assert r["c"] == pytest.approx(alone[c]["c"], rel=1e-12) and r["ss"] == pytest.approx(alone[c]["ss"], rel=1e-12)
+
+
+def test_sweep_passes_are_those_of_the_slowest(spark, pts):
+    pool = C.pool(pts)
+    runs = {n: ksc.sweep(pts, pool, 2, 6, 2.0, 12, 1e-4, 1, together=n) for n in (1, 2, 5)}
+    turns = [r["iterations"] for r in runs[1].table]
+    assert runs[1].scans == sum(turns)
+    assert runs[2].scans == max(turns[:2]) + max(turns[2:4]) + turns[4]
+    assert runs[5].scans == max(turns)
+    for n in (2, 5):
+        for a, b in zip(runs[1].table, runs[n].table, strict=True):
+            assert (a["k"], a["iterations"], a["k_effective"]) == (b["k"], b["iterations"], b["k_effective"])
+            assert a["coverage"] == pytest.approx(b["coverage"], rel=1e-9)
+    for r in runs.values():
+        r.assigned.unpersist()
+
+
+def test_sweep_keeps_the_first_k_that_reaches_the_coverage(spark, pts):
+    pool = C.pool(pts)
+    every = ksc.sweep(pts, pool, 2, 6, 2.0, 3)
+    at = every.table[1]["coverage"]
+    for n in (1, 4):
+        r = ksc.sweep(pts, pool, 2, 6, at - 1e-9, 3, together=n)
+        assert [x["k"] for x in r.table] == [x["k"] for x in every.table if x["k"] <= r.fit.k] and r.fit.k <= 3
+        r.assigned.unpersist()
+    every.assigned.unpersist()
+
+
+def test_stable_points_do_not_follow_the_shuffle_partitions(spark):
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "300")
+        d = ksc.stable(spark.createDataFrame([(1, [1.0] * 24)] * 50, "meter_id long, x array<double>"))
+        assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
