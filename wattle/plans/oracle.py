@@ -307,44 +307,36 @@ FROM weather WINDOW w AS (PARTITION BY meter_id, hour ORDER BY read_date, readin
     return weather() + [("lags", sql)]
 
 
-def _ldl_sql(src: str, k: int, tol: float) -> str:
-    S = lambda i, j: f"_s{min(i, j) + 1}{max(i, j) + 1}"
-    cur = src
-    for i in range(k):
-        acc = S(i, i) + "".join(f" - _l{i}_{m} * _l{i}_{m} * _d{m}" for m in range(i))
-        cur = f"SELECT *, CASE WHEN ({acc}) > {tol!r} * {S(i, i)} THEN ({acc}) END AS _d{i} FROM ({cur})"
-        ls = []
-        for j in range(i + 1, k):
-            a = S(j, i) + "".join(f" - _l{j}_{m} * _l{i}_{m} * _d{m}" for m in range(i))
-            ls.append(f"({a}) / _d{i} AS _l{j}_{i}")
-        if ls:
-            cur = f"SELECT *, {', '.join(ls)} FROM ({cur})"
-    for i in range(k):
-        acc = f"_t{i + 1}" + "".join(f" - _l{i}_{m} * _w{m}" for m in range(i))
-        cur = f"SELECT *, {acc} AS _w{i} FROM ({cur})"
-    for i in reversed(range(k)):
-        acc = f"_w{i} / _d{i}" + "".join(f" - _l{m}_{i} * b{m + 1}" for m in range(i + 1, k))
-        cur = f"SELECT *, {acc} AS b{i + 1} FROM ({cur})"
-    return cur
-
-
 def betas():
-    xs = {1: "lag1", 2: "lag2", 3: "lag3", 4: "x4", 5: "x5", 6: "x6"}
-    masked = ", ".join(f"CASE WHEN lag3 IS NOT NULL THEN {c} END AS v{i}" for i, c in xs.items())
-    aggs = ["count(y) AS n_obs", "avg(y) AS _my"] + [f"avg(v{i}) AS _m{i}" for i in xs]
-    for i in xs:
-        for j in xs:
-            if i <= j:
-                aggs.append(f"covar_pop(v{i}, v{j}) AS _s{i}{j}")
-        aggs.append(f"covar_pop(v{i}, y) AS _t{i}")
-    gram = (f"SELECT meter_id, hour, {', '.join(aggs)} FROM (SELECT meter_id, hour, "
-            f"CASE WHEN lag3 IS NOT NULL THEN reading END AS y, {masked} FROM lags) GROUP BY 1, 2")
-    solved = _ldl_sql(gram, 6, 1e-10)
-    ok = "(n_obs >= 7 AND " + " AND ".join(f"_d{i} IS NOT NULL" for i in range(6)) + ")"
-    b0 = "_my" + "".join(f" - b{i} * _m{i}" for i in xs)
-    cols = [f"CASE WHEN {ok} THEN {b0} ELSE 0.0 END AS b0"] + \
-           [f"CASE WHEN {ok} THEN b{i} ELSE 0.0 END AS b{i}" for i in xs]
-    sql = f"SELECT meter_id, hour, n_obs, {', '.join(cols)}, NOT {ok} AS fallback FROM ({solved})"
+    """Least squares by modified Gram-Schmidt on each group's columns: another way than the
+    moments and the LDL^T solve of the Spark side. A column is singular if next to nothing of it is
+    left after the columns before it."""
+    xs = ["lag1", "lag2", "lag3", "x4", "x5", "x6"]
+    k, tol = len(xs), 1e-10
+    lists = ", ".join(f"list({x} ORDER BY read_date, reading, temperature) AS v{i}" for i, x in enumerate(xs, 1))
+    cols = (f"SELECT meter_id, hour, count(*) AS n_obs, list(reading ORDER BY read_date, reading, temperature) AS v0, {lists} "
+            "FROM lags WHERE lag3 IS NOT NULL GROUP BY 1, 2")
+    means = ", ".join(f"list_avg(v{i}) AS m{i}" for i in range(k + 1))
+    cur = f"SELECT meter_id, hour, n_obs, {', '.join(f'v{i}' for i in range(k + 1))}, {means} FROM ({cols})"
+    # centred; a constant column is exactly zero
+    flat = ", ".join(f"CASE WHEN list_min(v{i}) = list_max(v{i}) THEN list_transform(v{i}, lambda e: 0.0::DOUBLE) "
+                     f"ELSE list_transform(v{i}, lambda e: e - m{i}) END AS v{i}" for i in range(k + 1))
+    cur = f"SELECT * REPLACE ({flat}) FROM ({cur})"
+    cur = "SELECT *, " + ", ".join(f"list_dot_product(v{i}, v{i}) AS s{i}" for i in range(1, k + 1)) + f" FROM ({cur})"
+    for i in range(1, k + 1):
+        left = f"CASE WHEN list_dot_product(v{i}, v{i}) > {tol!r} * s{i} THEN list_dot_product(v{i}, v{i}) END"
+        cur = f"SELECT *, {left} AS d{i} FROM ({cur})"
+        later = [0, *range(i + 1, k + 1)]
+        cur = "SELECT *, " + ", ".join(f"list_dot_product(v{i}, v{j}) / d{i} AS r{i}_{j}" for j in later) + f" FROM ({cur})"
+        less = ", ".join(f"list_transform(list_zip(v{j}, v{i}), lambda e: e[1] - coalesce(r{i}_{j}, 0.0) * e[2]) AS v{j}" for j in later)
+        cur = f"SELECT * REPLACE ({less}) FROM ({cur})"
+    for i in reversed(range(1, k + 1)):
+        cur = f"SELECT *, r{i}_0" + "".join(f" - r{i}_{j} * b{j}" for j in range(i + 1, k + 1)) + f" AS b{i} FROM ({cur})"
+    ok = "coalesce(n_obs >= 7 AND " + " AND ".join(f"d{i} IS NOT NULL" for i in range(1, k + 1)) + ", false)"
+    b0 = "m0" + "".join(f" - b{i} * m{i}" for i in range(1, k + 1))
+    out = [f"CASE WHEN {ok} THEN {b0} ELSE 0.0 END AS b0"] + [f"CASE WHEN {ok} THEN b{i} ELSE 0.0 END AS b{i}" for i in range(1, k + 1)]
+    sql = (f"SELECT meter_id, hour, coalesce(n_obs, 0) AS n_obs, {', '.join(out)}, NOT {ok} AS fallback "
+           f"FROM (SELECT DISTINCT meter_id, hour FROM weather) LEFT JOIN ({cur}) USING (meter_id, hour)")
     return lags() + [("betas", sql)]
 
 
