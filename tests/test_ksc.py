@@ -207,3 +207,38 @@ def test_stable_points_do_not_follow_the_shuffle_partitions(spark):
         assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", keep)
+
+
+def test_scaled_distance_is_the_least_over_scales(spark):
+    rng = np.random.default_rng(6)
+    x, c = rng.gamma(2.0, 1.0, 26), rng.gamma(2.0, 1.0, 24)
+    d = spark.createDataFrame([([float(v) for v in x], [float(v) for v in c]), ([0.0] * 26, [1.0] * 24)], "x array<double>, c array<double>")
+    got, zero = [r["d"] for r in d.select(S.scaled_distance("x", "c", 1).alias("d")).collect()]
+    grid = []
+    for q in (-1, 0, 1):
+        z = np.array([x[(i + 1 + q) % 26] for i in range(24)])
+        grid += [(np.linalg.norm(z - a * c) / np.linalg.norm(z), q) for a in np.linspace(0, 3, 30001)]
+    assert got["dist"] == pytest.approx(min(grid)[0], abs=1e-7) and got["q"] == min(grid)[1]
+    assert np.linalg.norm(np.array(got["z"]) - got["alpha"] * c) / np.linalg.norm(got["z"]) == pytest.approx(got["dist"], rel=1e-9)
+    assert zero["dist"] == 1.0 and zero["alpha"] == 0.0
+
+
+def test_spectral_centroids_are_least_squares(spark, pts):
+    seeds = ksc.collect_model(ksc.sample_seeds(C.pool(pts), 3))
+    a = ksc.assign_scaled(pts, seeds).select("cid", "z").collect()
+    model = ksc.update_scaled(ksc.assign_scaled(pts, seeds))
+    for cid, (n, c) in model.items():
+        z = np.array([r["z"] for r in a if r["cid"] == cid])
+        norm = np.linalg.norm(z, axis=1)        # a day without consumption has no direction
+        z = z / np.where(norm > 0, norm, 1.0)[:, None]
+        cost = lambda v: len(z) - ((z @ v / np.linalg.norm(v)) ** 2).sum()
+        assert n == len(z) and np.linalg.norm(c) == pytest.approx(1.0)
+        assert cost(np.array(c)) <= cost(z.mean(axis=0)) + 1e-9
+        lead = np.linalg.svd(z)[2][0]
+        assert abs(abs(lead @ np.array(c)) - 1.0) < 1e-9
+
+
+def test_scaled_fit_never_gets_worse(spark, pts):
+    seeds = ksc.collect_model(ksc.sample_seeds(C.pool(pts), 3))
+    costs = [ksc.fit_scaled(pts, seeds, max_iter=i).squares for i in (1, 2, 4)]
+    assert costs == sorted(costs, reverse=True) and costs[-1] < costs[0]

@@ -145,3 +145,23 @@ def ksc_distance(x, c, max_shift: int, length: int = DAY) -> Column:
         lambda s: F.struct(euclidean(s["z"], c).alias("dist"), s["q"].alias("q"), s["z"].alias("z")),
     )
     return F.array_min(cands)
+
+
+def scaled_distance(x, c, max_shift: int, length: int = DAY) -> Column:
+    """The distance of the method's text: min over scale a and shift q of |x_q - a c| / |x_q|.
+
+    For a shift the best scale is a = x·c / |c|^2, which leaves sqrt(1 - (x·c)^2 / (|x|^2 |c|^2)).
+    ``STRUCT<dist, q, alpha, z>`` with the raw shifted shape; ties -> smaller q. A zero point or
+    centroid is at distance 1 (nothing of it is explained).
+    """
+    c = _col(c)
+
+    def dot(a, b):
+        return array_sum(F.zip_with(a, b, lambda u, v: u * v))
+
+    def scored(q, z):
+        n = dot(z, z) * dot(c, c)
+        left = F.when(n > 0.0, F.greatest(F.lit(1.0) - dot(z, c) * dot(z, c) / n, F.lit(0.0))).otherwise(F.lit(1.0))
+        return F.struct(F.sqrt(left).alias("dist"), q.alias("q"), F.try_divide(dot(z, c), dot(c, c)).alias("alpha"), z.alias("z"))
+    shifts = F.sequence(F.lit(-max_shift), F.lit(max_shift))
+    return F.array_min(F.transform(shifts, lambda q: let(shifted_crop(_col(x), q, length), lambda z: scored(q, z))))

@@ -599,3 +599,25 @@ QUERIES.update({
     "job_ksc_clustering": q_job_ksc_clustering,
     "job_generate": q_job_generate,
 })
+
+
+# --------------------------------------------------------------------------- the text's distance and centroids
+
+def q_scaled_assign(spark, sf):
+    """Nearest seed of every point with a free scale and the distance divided by its norm."""
+    pts = cached(points(spark, sf))
+    seeds = ksc.collect_model(ksc.sample_seeds(pool(pts), P.K_FIT))
+    return ksc.assign_scaled(pts, seeds, P.MAX_SHIFT).select("meter_id", "day", "cid", "q", _r("dist"), _r("alpha"))
+
+
+def q_scaled_update(spark, sf):
+    """The spectral centroids of that assignment."""
+    pts = cached(points(spark, sf))
+    seeds = ksc.collect_model(ksc.sample_seeds(pool(pts), P.K_FIT))
+    return _long(ksc.model_frame(spark, ksc.update_scaled(ksc.assign_scaled(pts, seeds, P.MAX_SHIFT))), ["cid", "n"], "c")
+
+
+QUERIES.update({
+    "scaled_assign": q_scaled_assign,
+    "scaled_update": q_scaled_update,
+})

@@ -541,3 +541,32 @@ UNION ALL SELECT 'ch', k, -1, {r('ssb * (n_points - k) / (ssw * (k - 1))')} FROM
 
 
 ORACLE = build_jobs(ORACLE)
+
+
+def build_scaled(q: dict) -> dict:
+    """Free scale, division by the norm; the leading eigenvector by power iteration."""
+    w, start = P.WINDOW, (P.WINDOW - DAY) // 2
+    idx = f"(((i + {start} + q) % {w} + {w}) % {w}) + 1"
+    dot, zz = lsum("list_transform(z, lambda v, i: v * c[i])"), lsum("list_transform(z, lambda v: v * v)")
+    cc = lsum("list_transform(c, lambda v: v * v)")
+    ctes = seeds(P.K_FIT, "a_seed") + [
+        ("raw", f"""SELECT meter_id, day, CAST(q AS INTEGER) AS q, list_transform(range({DAY}), lambda i: x[{idx}]) AS z
+FROM pts{w}, (SELECT unnest(range({-P.MAX_SHIFT}, {P.MAX_SHIFT + 1})) AS q) qs"""),
+        ("dots", f"SELECT meter_id, day, q, cid, z, {dot} AS xc, {zz} AS xx, {cc} AS cc FROM raw CROSS JOIN a_seed"),
+        ("near", """SELECT *, CASE WHEN xx * cc > 0 THEN sqrt(greatest(1 - xc * xc / (xx * cc), 0.0)) ELSE 1.0 END AS dist FROM dots
+QUALIFY row_number() OVER (PARTITION BY meter_id, day ORDER BY dist, cid, q) = 1"""),
+        ("cells", f"""SELECT cid, count(*) AS n, i, j, sum(z[i] * z[j] / xx) AS s
+FROM near, (SELECT unnest(range(1, {DAY + 1})) AS i), (SELECT unnest(range(1, {DAY + 1})) AS j) GROUP BY cid, i, j"""),
+        ("mat", "SELECT cid, any_value(n) AS n, list(r ORDER BY i) AS m FROM (SELECT cid, i, any_value(n) AS n, list(s ORDER BY j) AS r FROM cells GROUP BY cid, i) GROUP BY cid"),
+        ("pw", f"""SELECT cid, 0 AS it, list_transform(range({DAY}), lambda i: 1.0::DOUBLE) AS u FROM mat
+UNION ALL
+SELECT cid, it + 1, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) FROM (
+  SELECT pw.cid, it, list_transform(m, lambda r: list_dot_product(r, u)) AS v FROM pw JOIN mat USING (cid) WHERE it < 300)"""),
+        ("lead", "SELECT cid, n, u FROM pw JOIN mat USING (cid) WHERE it = 300"),
+    ]
+    q["scaled_assign"] = _with(ctes, f"SELECT meter_id, day, cid, q, {r('dist')} AS dist, {r('xc / cc')} AS alpha FROM near")
+    q["scaled_update"] = _with(ctes, long_form("lead", "cid, n", "u"))
+    return q
+
+
+ORACLE = build_scaled(ORACLE)
