@@ -3,7 +3,8 @@
 *Patterns* (kinds ``assign``, ``access``, ``hex``) are found leftmost, without overlap, per
 kind. Spark has no function for the positions of all matches, but the pieces between them
 (``split``) and the matches themselves (``regexp_extract_all``) alternate, so their lengths
-add up to the positions, in code points.
+add up to the positions, in code points. They are added up in blocks, and tokens find the matches
+they overlap by halving, so a very long text costs about its length.
 
 *Models.* Two first-order Markov models over the characters of tokens give each bigram a
 log-likelihood ratio. The random model learns from labelled random strings: the values that
@@ -44,23 +45,51 @@ MIN_TOKEN = 8        # characters of a token that is scored
 LONG_TOKEN = 20      # characters from which a token without letters and digits is scored too
 LEARN_TOKEN = 8      # characters of a token that is learned from: all that are scored
 SMOOTH, PRIOR = 0.5, 8.0   # counts added to a character, and to a bigram's row by the characters' chances
+BLOCK = 64           # matches whose positions are added up at a time
 MIN_MEAN = 2.5       # nats per character by which a token must look more random than ordinary
 
 
+def running(values: Column, block: int = BLOCK) -> Column:
+    """Running sums of an array of numbers: sums of blocks, their offsets, then the sums within each
+    block, so that a text of n matches costs about n * block steps and not n * n."""
+    def sums(first, items):
+        return F.slice(F.aggregate(items, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))), 2, F.size(items))
+
+    def whole(v):
+        starts = F.sequence(F.lit(0), (F.size(v) - 1).cast("int"), F.lit(block))
+        parts = F.transform(starts, lambda i: F.slice(v, i + 1, block))
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        offsets = F.concat(F.array(F.lit(0)), sums(F.lit(0), totals))
+        return F.flatten(F.zip_with(parts, F.slice(offsets, 1, F.size(parts)), lambda p, o: sums(o, p)))
+
+    return F.when(F.size(values) > 0, bound(values, whole)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often ``use`` names it in lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def located(text: Column, pattern: str) -> Column:
     """``array<struct<start,end,match>>`` of all matches, in code points, end exclusive."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+
+    def placed(m):
+        gaps = F.slice(between, 1, F.size(m))
+        ends = running(F.zip_with(gaps, m, lambda p, x: F.length(p) + F.length(x)))
+        return F.zip_with(ends, m, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("match")))
+
     empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("p"))
-    walked = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(
-                (a["at"] + F.length(x["p"])).alias("start"),
-                (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("match")))).alias("out")),
-        lambda a: a["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+    return bound(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(empty))
+
+
+def touches(span: Column, spans: Column) -> Column:
+    """Whether a span overlaps one of ``spans`` (in order, apart from each other): the last that
+    starts before the span's end is found by halving, and ends after its start or none does."""
+    halves = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
+    before = F.aggregate(halves, F.lit(0), lambda at, w: F.when(
+        (w <= F.size(spans) - at) & (F.get(spans, at + w - 1)["start"] < span["end"]), at + w).otherwise(at))
+    return F.coalesce(F.when(F.size(spans) > 0, F.get(spans, before - 1)["end"] > span["start"]), F.lit(False))
 
 
 def with_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -131,10 +160,9 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, min_mean: float = M
     ratios = learn(docs) if ratios is None else ratios
     d = with_patterns(columns(docs, "doc_id", "text"))
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = d.withColumn("_token", located(t, f"{TOKEN}{{{MIN_TOKEN},}}")).withColumn("_base", F.concat("assign", "access", "hex"))
-    free = F.filter("_token", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    d = d.withColumn("markov", random_tokens(free, ratios, min_mean))
-    return d.drop("_token", "_base")
+    tokens = located(t, f"{TOKEN}{{{MIN_TOKEN},}}")
+    free = F.filter(tokens, lambda s: ~(touches(s, F.col("assign")) | touches(s, F.col("access")) | touches(s, F.col("hex"))))
+    return d.withColumn("markov", random_tokens(free, ratios, min_mean))
 
 
 def joined(*kinds: str) -> Column:
