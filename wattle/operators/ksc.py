@@ -27,6 +27,7 @@ from ..functions.kernels import assign_udf
 from ..functions.literals import sql_array
 from ..functions.shapes import DAY, crop, normalize, scaled_distance, shift_candidates, sq_distance
 from ..session import cached, parallelism, reliable, spread
+from .loopstate import LoopState
 from .prepare import is_finite
 
 Model = dict  # cid -> (n, list[float])
@@ -207,10 +208,15 @@ def update_many(points: DataFrame, models: dict[int, Model], max_shift: int = 1,
 
 
 def fit_many(points: DataFrame, seeds: dict[int, Model], max_iter: int = 100, delta: float = 1e-4,
-             max_shift: int = 1, length: int = DAY) -> tuple[dict[int, FitResult], int]:
+             max_shift: int = 1, length: int = DAY, state: LoopState | None = None,
+             group: int = 0) -> tuple[dict[int, FitResult], int]:
     """``fit`` for several models at once, and the number of passes over the points: the
-    turns of the model that needs most. A model that has converged takes no further part."""
+    turns of the model that needs most. A model that has converged takes no further part.
+
+    With ``state`` every turn is stored (as ``group``), and a fit stopped earlier goes on behind its
+    last stored turn; the passes counted are those of this run."""
     fits = {k: FitResult(len(m), dict(m), dict(m), 0, False) for k, m in seeds.items()}
+    before = state.load(group, fits) if state else 0
     scans = 0
     while active := {k: f.model for k, f in fits.items() if not f.converged and f.iterations < max_iter}:
         found: dict = {k: [] for k in active}
@@ -225,6 +231,8 @@ def fit_many(points: DataFrame, seeds: dict[int, Model], max_iter: int = 100, de
             f.squares = math.fsum(r["ss"] for r in rows)
             f.history.append((f.iterations, len(over), float(sum(over))))
             f.iterations, f.converged = f.iterations + 1, not over
+        if state:
+            state.save(group, before + scans, fits)
     return fits, scans
 
 
@@ -342,13 +350,13 @@ class SweepResult:
 
 def sweep(points: DataFrame, pool: DataFrame, k_start: int, k_end: int, least_coverage: float,
           max_iter: int = 100, delta: float = 1e-4, max_shift: int = 1, length: int = DAY,
-          together: int | None = None) -> SweepResult:
+          together: int | None = None, state: LoopState | None = None) -> SweepResult:
     """Raise K from ``k_start`` until the coverage reaches ``least_coverage`` (or ``k_end``).
 
     Every K starts from a fresh sample of the seed pool. The first K that reaches the coverage is
     kept. ``together`` (default ``TOGETHER``) Ks are fitted at a time, each turn one pass over the
     points for all of them, so a group of Ks costs the passes of its slowest; results do not depend
-    on it.
+    on it. With ``state`` a sweep stopped earlier goes on behind its last stored turn.
     """
     if k_start > k_end or k_start < 1:
         raise ValueError("need 1 <= k_start <= k_end")
@@ -358,7 +366,7 @@ def sweep(points: DataFrame, pool: DataFrame, k_start: int, k_end: int, least_co
     pool = cached(pool)  # at most a few hundred rows, sampled once per K
     for first in range(k_start, k_end + 1, together):
         ks = range(first, min(first + together, k_end + 1))
-        fits, n = fit_many(points, {k: collect_model(sample_seeds(pool, k)) for k in ks}, max_iter, delta, max_shift, length)
+        fits, n = fit_many(points, {k: collect_model(sample_seeds(pool, k)) for k in ks}, max_iter, delta, max_shift, length, state, first)
         scans += n
         for k in ks:
             res = fits[k]

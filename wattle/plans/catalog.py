@@ -621,3 +621,28 @@ QUERIES.update({
     "scaled_assign": q_scaled_assign,
     "scaled_update": q_scaled_update,
 })
+
+
+# --------------------------------------------------------------------------- fits that resume
+
+from ..operators.loopstate import LoopState  # noqa: E402
+
+
+def q_ksc_resumed(spark, sf):
+    """The fit of ``ksc_fit`` stopped after two turns and taken up from its stored state; with the
+    passes that were left."""
+    base = scratch_path(spark, "ksc-state")
+    pts = stable_points(spark, sf)
+    seeds = {P.K_FIT: ksc.collect_model(ksc.sample_seeds(pool(pts), P.K_FIT))}
+    settings = {"k": P.K_FIT, "delta": P.DELTA, "max_shift": P.MAX_SHIFT}
+    ksc.fit_many(pts, seeds, 2, P.DELTA, P.MAX_SHIFT, state=LoopState(spark, base, settings))
+    fits, passes = ksc.fit_many(pts, seeds, P.MAX_ITERS, P.DELTA, P.MAX_SHIFT, state=LoopState(spark, base, settings))
+    res = fits[P.K_FIT]
+    out = ksc.model_frame(spark, res.model).select("cid", "n", F.lit(res.iterations).alias("iterations"), F.lit(passes).alias("passes"),
+                                                   F.posexplode("c").alias("pos", "_v"))
+    return out.select("cid", "n", "iterations", "passes", F.col("pos").cast("int").alias("pos"), _r("_v", "value"))
+
+
+QUERIES.update({
+    "ksc_resumed": q_ksc_resumed,
+})

@@ -12,11 +12,13 @@ few hundred centroids) and a handful of scalars reaches the driver.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import SparkSession
 
 from ..operators import ksc, prepare as pr, profile as pf, synthesize as syn
+from ..operators.loopstate import LoopState, points_print
 from ..session import cached
 from ..sources import text as tx
 
@@ -35,17 +37,28 @@ def prepare_points(spark: SparkSession, input_dir: str, point_out: str, centroid
 def ksc_clustering(spark: SparkSession, point_dir: str, centroid_dir: str, out_dir: str,
                    max_iter: int = 100, delta: float = 1e-4, min_partitions: int | None = None,
                    max_shift: int = 1, k_start: int = 2, k_end: int = 20,
-                   least_coverage: float = 0.5) -> list:
+                   least_coverage: float = 0.5, together: int | None = None, state_dir: str | None = None) -> list:
+    """``state_dir`` (a shared folder) makes the job resumable: every turn of the sweep is stored
+    there, and a job started again with the same input and settings goes on behind the last one and
+    writes the outputs that are not finished yet."""
     read = tx.read_points(spark, point_dir, min_partitions)
     points = ksc.stable(read)   # points with a missing or non-finite value are left out
     pool = tx.read_centroids(spark, centroid_dir)
-    res = ksc.sweep(points, pool, k_start, k_end, least_coverage, max_iter, delta, max_shift)
+    state, once, mode = None, (lambda path, write: write(path)), "errorifexists"
+    if state_dir:
+        together = together or ksc.TOGETHER
+        seeds = sorted((cid, c) for cid, (_, c) in ksc.collect_model(pool).items())
+        settings = {"delta": delta, "max_shift": max_shift, "max_iter": max_iter, "k_start": k_start, "k_end": k_end, "together": together,
+                    "seeds": hashlib.sha256(repr(seeds).encode()).hexdigest(), "out": out_dir, **points_print(points)}
+        state = LoopState(spark, state_dir, settings)
+        once, mode = state.once, "overwrite"   # a half-written output of the job stopped
+    res = ksc.sweep(points, pool, k_start, k_end, least_coverage, max_iter, delta, max_shift, together=together, state=state)
     shares = ksc.centroid_shares(ksc.model_frame(spark, res.fit.model))
-    tx.write_shares(shares, os.path.join(out_dir, "centroid"))
+    once(os.path.join(out_dir, "centroid"), lambda p: tx.write_shares(shares, p, mode))
     tags = ksc.tag_points(ksc.assign(ksc.one_per_id(points), res.fit.assigning_model, max_shift))
-    tx.write_tagged(tags, os.path.join(out_dir, "taggedpoints"), sort=True)
-    tx.write_entropy(ksc.meter_entropy(res.assigned), os.path.join(out_dir, "entropy"))
-    tx.write_elbow(ksc.sweep_frame(spark, res.table), os.path.join(out_dir, "elbow"))
+    once(os.path.join(out_dir, "taggedpoints"), lambda p: tx.write_tagged(tags, p, mode, sort=True))
+    once(os.path.join(out_dir, "entropy"), lambda p: tx.write_entropy(ksc.meter_entropy(res.assigned), p, mode))
+    once(os.path.join(out_dir, "elbow"), lambda p: tx.write_elbow(ksc.sweep_frame(spark, res.table), p, mode))
     res.assigned.unpersist()
     points.unpersist()
     return res.table

@@ -570,3 +570,13 @@ SELECT cid, it + 1, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))
 
 
 ORACLE = build_scaled(ORACLE)
+
+
+def build_resumed(q: dict) -> dict:
+    """A fit taken up after two turns ends like one that ran through."""
+    q["ksc_resumed"] = _with(fitted(), f"""SELECT cid, n, CAST((SELECT it FROM f_stop) + 1 AS INTEGER) AS iterations,
+  CAST(greatest((SELECT it FROM f_stop) - 1, 0) AS INTEGER) AS passes, CAST(unnest(range({DAY})) AS INTEGER) AS pos, {r('unnest(c)')} AS value FROM f_model""")
+    return q
+
+
+ORACLE = build_resumed(ORACLE)
