@@ -646,3 +646,49 @@ def q_ksc_resumed(spark, sf):
 QUERIES.update({
     "ksc_resumed": q_ksc_resumed,
 })
+
+
+# --------------------------------------------------------------------------- tables by date and by meter
+
+from ..session import parallelism  # noqa: E402
+from ..sources import tables as tb  # noqa: E402
+
+
+def _bucketed(spark, rows: DataFrame, name: str, order=("meter_id", "day")) -> DataFrame:
+    path = scratch_path(spark, name)
+    return tb.write_bucketed(rows, path.rsplit("/", 1)[1].replace("-", "_"), parallelism(spark), path, order=order)
+
+
+def q_date_slice(spark, sf):
+    """Meter-days written by day; those of a date range, read from its folders alone."""
+    base = scratch_path(spark, "days")
+    tb.write_periods(fx.full_days(events(spark, sf)), base, parallelism(spark), "day")
+    d = tb.read_periods(spark, base, P.SLICE_FIRST, P.SLICE_LAST, "day")
+    return d.select("meter_id", "day", _r(S.array_sum("x"), "total"), _r(F.array_max("x"), "peak"))
+
+
+def q_bucketed_points(spark, sf):
+    """Extended windows over meter-days in buckets by meter: no exchange after the table."""
+    t = _bucketed(spark, fx.full_days(events(spark, sf)), "bucketed-days")
+    return _long(pr.daily_points(t, P.WINDOW), ["meter_id", "day"], "x")
+
+
+def q_bucketed_entropy(spark, sf):
+    """Entropies of the meters from their assigned points in buckets by meter."""
+    _, _, assigned = fitted(spark, sf)
+    t = _bucketed(spark, assigned.select("meter_id", "day", "cid"), "bucketed-tags")
+    return ksc.meter_entropy(t).select("meter_id", "n_days", "n_clusters", _r("entropy"))
+
+
+def q_bucketed_profiles(spark, sf):
+    """Profiles of 24 slots a meter from (meter, hour) rows in buckets by meter."""
+    t = _bucketed(spark, pf.activity_profile(weather(spark, sf)), "bucketed-profiles", order=("meter_id", "hour"))
+    return tx.profiles_long(pf.profile_arrays(t)).select("meter_id", "hour", _r("mean"), _r("sd"))
+
+
+QUERIES.update({
+    "date_slice": q_date_slice,
+    "bucketed_points": q_bucketed_points,
+    "bucketed_entropy": q_bucketed_entropy,
+    "bucketed_profiles": q_bucketed_profiles,
+})

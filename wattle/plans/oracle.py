@@ -580,3 +580,15 @@ def build_resumed(q: dict) -> dict:
 
 
 ORACLE = build_resumed(ORACLE)
+
+
+def build_tables(q: dict) -> dict:
+    """Tables by date and by meter change plans, not results."""
+    q["date_slice"] = _with(fdays(), f"""SELECT meter_id, day, {r(lsum('x'))} AS total, {r('list_max(x)')} AS peak FROM fdays
+WHERE day BETWEEN DATE '{P.SLICE_FIRST}' AND DATE '{P.SLICE_LAST}'""")
+    q["bucketed_points"], q["bucketed_entropy"] = q["daily_points_26"], q["meter_entropy"]
+    q["bucketed_profiles"] = q["job_train_profiles"]
+    return q
+
+
+ORACLE = build_tables(ORACLE)

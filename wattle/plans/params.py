@@ -12,6 +12,7 @@ LEAST_COVERAGE = 0.50  # K sweep stops at the first K reaching this coverage
 ENTROPY_BINS = 10
 ENTROPY_THRESHOLD = 1.0  # meters at or below are "predictable"
 TOP_TAGGED = 10
+SLICE_FIRST, SLICE_LAST = "2024-01-10", "2024-01-19"  # date range read from the table by day
 DIGITS = 6             # doubles are rounded to this many decimals in query outputs
 
 # generator
