@@ -692,3 +692,17 @@ QUERIES.update({
     "bucketed_entropy": q_bucketed_entropy,
     "bucketed_profiles": q_bucketed_profiles,
 })
+
+
+# --------------------------------------------------------------------------- many centroids
+
+def q_ksc_assign_pool(spark, sf):
+    """Every point with the nearest of all seeds of the pool (the kernel skips what cannot win)."""
+    pts = cached(points(spark, sf))
+    a = ksc.assign(pts, ksc.collect_model(pool(pts)), P.MAX_SHIFT)
+    return a.select("meter_id", "day", "cid", "q", _r("dist"))
+
+
+QUERIES.update({
+    "ksc_assign_pool": q_ksc_assign_pool,
+})

@@ -592,3 +592,12 @@ WHERE day BETWEEN DATE '{P.SLICE_FIRST}' AND DATE '{P.SLICE_LAST}'""")
 
 
 ORACLE = build_tables(ORACLE)
+
+
+def build_pool(q: dict) -> dict:
+    """All seeds of the pool are scored for every point."""
+    q["ksc_assign_pool"] = _with(pool() + assign("pool", "p_asg"), f"SELECT meter_id, day, cid, q, {r('dist')} AS dist FROM p_asg")
+    return q
+
+
+ORACLE = build_pool(ORACLE)
