@@ -13,14 +13,21 @@ def _quoted(s: str) -> str:
 
 
 def _hit(term: str) -> str:
-    return f"regexp_matches(u, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+    return f"regexp_matches(u, '(^|[^\\pL\\pN]){term}([^\\pL\\pN]|$)')"
+
+
+def _count(term: str) -> str:
+    """Occurrences of a term that no letter or digit touches."""
+    n, touch = len(term), r"'[\pL\pN]'"
+    return (f"CASE WHEN contains(u, '{term}') THEN len(list_filter(range(1, length(u) + 1), lambda i: substr(u, i, {n}) = '{term}' "
+            f"AND NOT regexp_matches(CASE WHEN i > 1 THEN substr(u, i - 1, 1) ELSE '' END, {touch}) "
+            f"AND NOT regexp_matches(substr(u, i + {n}, 1), {touch}))) ELSE 0 END")
 
 
 def _url_sql() -> str:
     rules = ", ".join(f"({_quoted(r.host)}, {_quoted(r.path)}, {_quoted(r.verdict)})" for r in _u.RULES)
     soft = " + ".join(f"{_hit(t)}::INT" for t in _u.SOFT)
-    strict = " + ".join(
-        f"len(regexp_extract_all(replace(u, '{t}', '  {t}  '), '(^|[^a-z0-9])  {t}  ([^a-z0-9]|$)'))" for t in _u.STRICT)
+    strict = " + ".join(_count(t) for t in _u.STRICT)
     return f"""
 WITH r(h, p, v) AS (VALUES {rules}),
 p AS (SELECT page_id, url,

@@ -1,7 +1,7 @@
 """URL filters: site rules first, then a weighted vocabulary counted by Aho-Corasick.
 
 Strict and soft terms are found in one pass over the URL; a hit counts only when no letter
-or digit touches it on either side. One strict hit, or ``soft_limit`` different soft terms,
+or digit (of any script) touches it on either side. One strict hit, or ``soft_limit`` different soft terms,
 blocks the URL. A site rule that fits decides before the vocabulary.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule
@@ -57,20 +57,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def vocabulary_verdict(strict, soft, soft_limit):
-    """Arrow function: lower-cased URL -> (number of strict hits, of different soft terms)."""
-    terms = [(t, True) for t in strict] + [(t, False) for t in soft]
+def vocabulary_counts(spark, strict, soft):
+    """Arrow function: lower-cased URL -> (number of strict hits, of different soft terms).
 
-    @F.arrow_udf("struct<strict:int,soft:int>")
-    def count(urls):
+    The terms are a broadcast; a task builds its automaton once, for all of its batches."""
+    sent = spark.sparkContext.broadcast([(t, True) for t in strict] + [(t, False) for t in soft])
+    built = []
+
+    def automaton():
         import ahocorasick
-        import pyarrow as pa
 
         machine = ahocorasick.Automaton()
-        for t, is_strict in terms:
+        for t, is_strict in sent.value:
             machine.add_word(t, (t, is_strict))
         if len(machine):
             machine.make_automaton()
+        return machine
+
+    @F.arrow_udf("struct<strict:int,soft:int>")
+    def count(urls):
+        import pyarrow as pa
+
+        if not built:
+            built.append(automaton())
+        machine = built[0]
         n_strict, n_soft = [], []
         for url in urls.to_pylist():
             hits, seen = 0, set()
@@ -118,7 +128,7 @@ def filter_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_li
     p = columns(pages, "page_id", "url")
     p = p.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     p = p.withColumn("r", rule_match(tuple(rules))("host", "path"))
-    p = p.withColumn("v", vocabulary_verdict(strict, soft, soft_limit)(ascii_lower(F.col("url"))))
+    p = p.withColumn("v", vocabulary_counts(pages.sparkSession, strict, soft)(ascii_lower(F.col("url"))))
     bad = (F.col("v.strict") > 0) | (F.col("v.soft") >= soft_limit)
     return p.select(
         "page_id", "url", "host", "path", F.col("r.rule").alias("rule"),
