@@ -302,7 +302,9 @@ def report(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component (the least id) and all empty ones."""
+    """``docs`` with one document of each component (the least id) and all empty ones. Of several
+    rows with that id the one whose text, then whose other columns, have the least digest stays,
+    however the rows are partitioned."""
     have = docs.columns
     d = label(docs, n, percent)
     pos = position(have, "doc_id")
@@ -310,5 +312,9 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     d = d.where(F.col("group").isNull() | doc_id.eqNullSafe(F.col("component_id")))
     # repeated rows of that id: one of them; documents alone in their component are not moved
     alone, rest = d.where(F.col("group").isNull()), d.where(F.col("group").isNotNull())
-    rest = rest.withColumn("_rn", F.row_number().over(Window.partitionBy("group").orderBy(doc_id))).where("_rn = 1").drop("_rn")
+    at = position(have, "text")
+    text = F.lit(None).cast("string") if at is None else F.col(f"_{at}").cast("string")
+    plain = [f"_{i}" for i in range(len(have)) if "map<" not in d.schema[f"_{i}"].dataType.simpleString()]   # maps have no hash
+    order = (doc_id, F.xxhash64(text), text, F.xxhash64(*plain))
+    rest = rest.withColumn("_rn", F.row_number().over(Window.partitionBy("group").orderBy(*order))).where("_rn = 1").drop("_rn")
     return alone.unionByName(rest).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(have)])
