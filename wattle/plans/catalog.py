@@ -706,3 +706,63 @@ def q_ksc_assign_pool(spark, sf):
 QUERIES.update({
     "ksc_assign_pool": q_ksc_assign_pool,
 })
+
+
+# --------------------------------------------------------------------------- one source for all text formats
+
+from ..sources import datasource as ds  # noqa: E402
+
+
+def _raw_files(spark, sf) -> str:
+    base = scratch_path(spark, "raw")
+    fx.meter_lines(events(spark, sf)).write.text(base)
+    return base
+
+
+def q_source_readings(spark, sf):
+    """Raw reading lines in files, read by the text data source: the lines that parse."""
+    r = ds.kept(spark, _raw_files(spark, sf), "readings")
+    return r.select("meter_id", "day", "hour", _r("reading"))
+
+
+def q_source_rejected(spark, sf):
+    """The raw lines that do not parse, each with its reason."""
+    return ds.rejected(spark, _raw_files(spark, sf), "readings")
+
+
+def q_source_balance(spark, sf):
+    """Lines in the files of each meter, as Spark's own reader counts them, and what the source keeps and rejects."""
+    base = _raw_files(spark, sf)
+    meter = lambda c: F.split_part(c, F.lit("\t"), F.lit(1)).alias("meter")
+    lines = spark.read.text(base).groupBy(meter(F.col("value"))).agg(F.count("*").alias("n_lines"))
+    d = ds.read(spark, base, "readings").groupBy(meter(F.col("line"))).agg(
+        F.count_if(F.col("reason").isNull()).alias("n_kept"), F.count("reason").alias("n_rejected"))
+    return lines.join(d, "meter", "full")
+
+
+def q_source_points(spark, sf):
+    """Points written as text; those of a date range, compared inside the source's tasks."""
+    base = scratch_path(spark, "points")
+    tx.write_points(points(spark, sf), base)
+    d = ds.kept(spark, base, "points").where(F.col("day").between(F.lit(P.SLICE_FIRST).cast("date"), F.lit(P.SLICE_LAST).cast("date")))
+    return _long(d, ["meter_id", "day"], "x")
+
+
+def q_source_results(spark, sf):
+    """Shares and entropies of the fit, written in their text formats and read by the source."""
+    base = scratch_path(spark, "results")
+    _, res, assigned = fitted(spark, sf)
+    tx.write_shares(ksc.centroid_shares(ksc.model_frame(spark, res.model)), f"{base}/shares")
+    tx.write_entropy(ksc.meter_entropy(assigned), f"{base}/entropies")
+    shares, entropy = (ds.kept(spark, f"{base}/{kind}", kind) for kind in ("shares", "entropies"))
+    return shares.select(F.lit("share").alias("kind"), F.col("cid").alias("id"), _r("share", "value")).unionByName(
+        entropy.select(F.lit("entropy").alias("kind"), F.col("meter_id").alias("id"), _r("entropy", "value")))
+
+
+QUERIES.update({
+    "source_readings": q_source_readings,
+    "source_rejected": q_source_rejected,
+    "source_balance": q_source_balance,
+    "source_points": q_source_points,
+    "source_results": q_source_results,
+})

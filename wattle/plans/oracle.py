@@ -601,3 +601,24 @@ def build_pool(q: dict) -> dict:
 
 
 ORACLE = build_pool(ORACLE)
+
+
+def build_source(q: dict) -> dict:
+    """The data source gives the lines back; rejected ones with the first field that is wrong."""
+    reasons = r"""SELECT line, CASE WHEN len(f) < 3 THEN 'fields' WHEN try_cast(f[1] AS BIGINT) IS NULL THEN 'meter_id'
+  WHEN try_strptime(string_split(f[2], ' ')[1], '%Y-%m-%d') IS NULL
+    OR coalesce(try_cast(string_split(string_split(f[2], ' ')[2], ':')[1] AS INTEGER), 24) NOT BETWEEN 0 AND 23 THEN 'day'
+  WHEN NOT regexp_full_match(f[3], '-?\d+(.\d+)?') OR try_cast(f[3] AS DOUBLE) IS NULL THEN 'reading' END AS reason
+FROM (SELECT line, string_split(line, chr(9)) AS f FROM lines)"""
+    screened = lines() + [("screened", reasons)]
+    q["source_readings"] = q["ingest_clean"]
+    q["source_rejected"] = _with(screened, "SELECT line, reason FROM screened WHERE reason IS NOT NULL")
+    q["source_balance"] = _with(screened, """SELECT string_split(line, chr(9))[1] AS meter, count(*) AS n_lines,
+  count(*) FILTER (WHERE reason IS NULL) AS n_kept, count(reason) AS n_rejected FROM screened GROUP BY 1""")
+    q["source_points"] = _with(points() + [("cut", f"""SELECT * FROM pts{P.WINDOW}
+WHERE day BETWEEN DATE '{P.SLICE_FIRST}' AND DATE '{P.SLICE_LAST}'""")], long_form("cut", "meter_id, day", "x"))
+    q["source_results"] = q["result_files"]
+    return q
+
+
+ORACLE = build_source(ORACLE)
