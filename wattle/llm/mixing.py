@@ -5,7 +5,8 @@ A document may belong to several sources. Documents are aggregated by membership
 a third time at cost 2 and so on (convex), and each source asks for its quota. The flow from
 patterns to quotas that is largest, and among those cheapest, says how many words each
 pattern gives. Every path costs what its pattern's next copy costs, so filling the quotas
-copy by copy, with the flow free to be rerouted between sources, is that min-cost flow.
+copy by copy, with the flow free to be rerouted between sources, is that min-cost flow. Each copy
+is sent in layers of shortest ways, all ways of a layer at once.
 
 Only the pattern table (one row for each set of sources, at most ``MAX_PATTERNS``) reaches the
 driver. Documents are then taken in the order of a seeded hash: whole copies for all of a
@@ -57,45 +58,76 @@ def flow(patterns: dict, quotas: dict, copies: int = MAX_COPIES) -> dict:
 
     ``patterns``: set of sources (a tuple) -> words of one copy; ``quotas``: source -> words.
     """
-    given = {p: dict.fromkeys(p, 0) for p in patterns}
-    members: dict = {}
-    for p in patterns:
+    names = list(patterns)
+    sources = list(dict.fromkeys(s for p in names for s in p))
+    at = {s: 1 + len(names) + i for i, s in enumerate(sources)}
+    end = 1 + len(names) + len(sources)
+    # edge e leads to head[e] and has room[e]; e ^ 1 is its way back. First one edge to each pattern
+    head, room, edges = [], [], [[] for _ in range(end + 1)]
+
+    def edge(u, v, n):
+        for x, y, r in ((u, v, n), (v, u, 0)):
+            edges[x].append(len(head))
+            head.append(y)
+            room.append(r)
+
+    for i in range(len(names)):
+        edge(0, 1 + i, 0)
+    for i, p in enumerate(names):
         for s in p:
-            members.setdefault(s, []).append(p)
-    room = dict(quotas)
+            edge(1 + i, at[s], patterns[p] * copies)
+    for s in sources:
+        edge(at[s], end, quotas.get(s, 0))
     for _ in range(copies):
-        for start, words in patterns.items():
-            left = words
-            while left > 0:
-                came, queue, end = {("p", start): None}, deque([("p", start)]), None
-                while queue and end is None:  # shortest way to a source with room
-                    kind, x = node = queue.popleft()
-                    if kind == "s" and room.get(x, 0) > 0:
-                        end = node
-                        break
-                    for y in x if kind == "p" else members[x]:
-                        step = ("s", y) if kind == "p" else ("p", y)
-                        if step not in came and (kind == "p" or given[y][x] > 0):
-                            came[step] = node
-                            queue.append(step)
-                if end is None:
-                    break
-                way = [end]
-                while came[way[-1]] is not None:
-                    way.append(came[way[-1]])
-                way.reverse()
-                back = [given[q[1]][s[1]] for s, q in zip(way[1:], way[2:]) if s[0] == "s"]
-                n = min([left, room[end[1]], *back])
-                for a, b in zip(way, way[1:]):
-                    if a[0] == "p":
-                        given[a[1]][b[1]] += n
-                    else:
-                        given[b[1]][a[1]] -= n
-                left -= n
-                room[end[1]] -= n
+        for i, p in enumerate(names):
+            room[2 * i] += patterns[p]      # the next copy of every pattern
+        while _layer(head, room, edges, end):
+            pass
+    given, e = {}, 2 * len(names)
+    for p in names:
+        given[p] = {s: room[e + 2 * i + 1] for i, s in enumerate(p)}
+        e += 2 * len(p)
     return given
 
 
+def _layer(head: list, room: list, edges: list, end: int) -> bool:
+    """Sends what the shortest ways from node 0 to node ``end`` carry (a blocking flow); false
+    if there is no way."""
+    level = {0: 0}
+    queue = deque([0])
+    while queue and end not in level:
+        u = queue.popleft()
+        for e in edges[u]:
+            if room[e] and head[e] not in level:
+                level[head[e]] = level[u] + 1
+                queue.append(head[e])
+    if end not in level:
+        return False
+    tried, way, u = [0] * len(edges), [], 0
+    while True:
+        if u == end:
+            n = min(room[e] for e in way)
+            for e in way:
+                room[e] -= n
+                room[e ^ 1] += n
+            full = next(i for i, e in enumerate(way) if not room[e])
+            u = head[way[full] ^ 1]
+            del way[full:]
+        while tried[u] < len(edges[u]):
+            e = edges[u][tried[u]]
+            if room[e] and level.get(head[e]) == level[u] + 1:
+                break
+            tried[u] += 1
+        else:
+            if not way:
+                return True
+            u = head[way.pop() ^ 1]
+            tried[u] += 1
+            continue
+        way.append(e)
+        u = head[e]
+
+
 def _sources(c: Column, kind: str) -> Column:
     return F.array_sort(F.array_distinct(c)) if kind.startswith("array") else F.array(c.cast("string"))
 

@@ -4,8 +4,9 @@ A text is cut at ASCII white space. For a tokenizer that drops white space those
 boundaries: none of its tokens spans one, so the count of a text is the sum over its
 pieces, however long the text is. The pieces of one Arrow batch (bounded in bytes, see
 ``common.small_batches``) are deduplicated, the distinct ones that the worker has not met
-lately are encoded in groups of about equal bytes, and only the lengths are kept. ``boundary="none"`` encodes whole texts,
-for tokenizers whose tokens may hold white space.
+lately are encoded in groups of about equal bytes, and only the lengths are kept. Tokenizers whose tokens may
+hold white space (byte-level ones, all ``.model`` files) get whole texts: ``safe_boundary`` decides, unless
+``boundary`` says "space" or "none".
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); an empty table gives an empty
 result; repeated rows get equal answers.
@@ -22,6 +23,8 @@ from .common import columns, small_batches
 GROUP_BYTES = 256 << 10
 #: Lengths that a Python worker remembers; a full memory is emptied (about 100 MB).
 REMEMBERED = 600_000
+#: ASCII white space, where texts are cut.
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def groups_by_bytes(sizes, limit: int):
@@ -36,6 +39,32 @@ def groups_by_bytes(sizes, limit: int):
         yield start, len(sizes)
 
 
+def safe_boundary(spec: bytes, kind: str) -> str:
+    """"space" if the count of a text is the sum over its pieces between ASCII white space: a
+    step before the model removes white space, no added token holds any, and the library agrees
+    on every such character alone, at the ends and between words. Else "none"."""
+    if kind != "json":
+        return "none"
+    import json
+
+    from tokenizers import Tokenizer
+
+    told = json.loads(spec)
+    steps = [told.get("pre_tokenizer") or {}]
+    for step in steps:
+        steps += step.get("pretokenizers", [])
+    removes = any(s.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or s.get("type") == "Split" and s.get("behavior") == "Removed"
+                  for s in steps)
+    if not removes or any(c in t["content"] for t in told.get("added_tokens") or [] for c in SPACE):
+        return "none"
+    t = Tokenizer.from_str(spec.decode())
+    t.no_truncation()
+    t.no_padding()
+    count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    one = count("a") + count("b1.")
+    return "space" if all(count(c) == 0 and count(f"{c}a{c}{c}b1.{c}") == one for c in SPACE) else "none"
+
+
 def token_counter(spec: bytes, kind: str, boundary: str, group_bytes: int):
     """Arrow function: text -> number of tokens."""
 
@@ -87,7 +116,7 @@ def token_counter(spec: bytes, kind: str, boundary: str, group_bytes: int):
     return count
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, boundary: str = "space",
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, boundary: str | None = None,
                  group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every document.
 
@@ -95,12 +124,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, boundary: str =
     read on the driver and sent to the tasks, so executors need no copy of it.
     """
     kind = path.rsplit(".", 1)[-1]
-    if kind not in ("json", "model") or boundary not in ("space", "none"):
+    if kind not in ("json", "model") or boundary not in (None, "space", "none"):
         raise ValueError(f"unknown tokenizer file or boundary: {path}, {boundary}")
     spark = docs.sparkSession
     small_batches(spark)
     with open(path, "rb") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    boundary = boundary or safe_boundary(data, kind)
+    spec = spark.sparkContext.broadcast(data)
     d = columns(docs, "doc_id", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return d.select(
