@@ -4,6 +4,7 @@ import re
 
 from wattle.operators import ksc, profile as pf, synthesize as syn
 from wattle.plans import catalog as C
+from wattle.sources import fixtures as fx
 
 from conftest import SF001
 
@@ -63,3 +64,24 @@ def test_meter_slice_pushes_filters(spark):
 def test_seeds_are_top_k_not_sort(spark):
     p = plan(C.pool(C.points(spark, SF001)))
     assert "TakeOrderedAndProject" in p
+
+
+def test_meter_days_keep_their_deal(spark):
+    # as many partitions as asked for: no exchange dropped as repeated, none coalesced
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fx.meter_days(C.events(spark, SF001)).rdd.getNumPartitions() == n
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    ev = C.events(spark, SF001)
+    rows = pf.activity_profile(fx.weather_readings(ev)).collect()
+    monkeypatch.setattr(fx, "DAYS_PER_TASK", 10)
+    monkeypatch.setattr(pf, "ROWS_PER_TASK", 240)
+    days, w = fx.meter_days(ev).count(), fx.weather_readings(ev)
+    p = plan(pf.activity_profile(w))
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(day#\d+, meter_id#\d+L?, (\d+)\)", p)]
+    sorted_ = [int(n) for n in re.findall(r"hashpartitioning\(meter_id#\d+L?, hour#\d+, block#\d+, (\d+)\)", p)]
+    assert dealt and min(dealt) > 8 and abs(min(dealt) - days / 10) <= 0.2 * days / 10   # days are estimated
+    assert sorted_ and min(sorted_) == -(-days * 24 // 240)
+    few = sorted((r.meter_id, r.hour, round(r["mean"], 6), round(r.sd, 6)) for r in rows)
+    assert few == sorted((r.meter_id, r.hour, round(r["mean"], 6), round(r.sd, 6)) for r in pf.activity_profile(w).collect())
