@@ -69,7 +69,7 @@ def test_seeds_are_top_k_not_sort(spark):
 def test_meter_days_keep_their_deal(spark):
     # as many partitions as asked for: no exchange dropped as repeated, none coalesced
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert fx.meter_days(C.events(spark, SF001)).rdd.getNumPartitions() == n
+    assert pf.collapsed(C.weather(spark, SF001)).rdd.getNumPartitions() == n
 
 
 def test_tasks_follow_the_rows(spark, monkeypatch):

@@ -83,25 +83,43 @@ def common_words(docs: DataFrame, common: int = COMMON) -> dict[str | None, list
     return out
 
 
+def _slots(spark, refs: dict[str | None, list[str]], signs: list[str]) -> DataFrame:
+    """``ref, mask, slot_word, slot_sign``: the common words of every reference, each in the
+    slot that the low bits of its hash name. Tables are doubled until no two words share a
+    slot, so that looking a word up takes one comparison, however many words are common."""
+    listed = sorted({w for ws in refs.values() for w in ws})
+    hashed = spark.createDataFrame([(w,) for w in listed], "w string").select("w", F.xxhash64("w").alias("h"))
+    h = {r["w"]: r["h"] for r in hashed.collect()}
+    rows = []
+    for ref, ws in ({"": []} | refs if len(refs) == 1 else refs).items():
+        size = 64
+        while len({h[w] & (size - 1) for w in ws}) < len(ws):
+            size *= 2
+        at = {h[w] & (size - 1): (w, s) for w, s in zip(ws, signs)}
+        rows.append((ref, size - 1, [at.get(i, (None, None))[0] for i in range(size)], [at.get(i, (None, None))[1] for i in range(size)]))
+    return spark.createDataFrame(rows, "r string, mask bigint, slot_word array<string>, slot_sign array<string>")
+
+
 def document_counts(docs: DataFrame, refs: dict[str | None, list[str]], common: int = COMMON) -> DataFrame:
     """Counts of every document: ``doc_id, ref`` (its reference; null for all documents),
     the base counts, ``chars`` (by class) and ``common`` (by common word, the rest last)."""
     spark = docs.sparkSession
     signs = [chr(0x100 + i) for i in range(common)]
-    table = spark.createDataFrame(
-        [(k, dict(zip(v, signs))) for k, v in refs.items() if k is not None] or [("", {"": ""})],
-        "ref string, sign map<string,string>")
-    pooled = F.create_map(*[F.lit(x) for w, s in zip(refs[None], signs) for x in (w, s)]) if refs[None] else F.create_map(F.lit(""), F.lit(""))
+    table = _slots(spark, refs, signs)
     d = columns(docs, "doc_id", "text", "lang")
-    d = d.join(F.broadcast(table), d["lang"] == table["ref"], "left")
-    d = d.select(
-        "doc_id", "ref", F.coalesce("text", F.lit("")).alias("t"),
-        words(F.col("text")).alias("w"), F.coalesce("sign", pooled).alias("sign"))
+    known = [k for k in refs if k is not None] or [""]
+    d = d.withColumn("ref", F.when(F.col("lang").isin(known), F.col("lang")))
+    d = d.join(F.broadcast(table), d["ref"].eqNullSafe(table["r"]))
+    d = d.select("doc_id", "ref", F.coalesce("text", F.lit("")).alias("t"), words(F.col("text")).alias("w"), "mask", "slot_word", "slot_sign")
+    d = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+
+    def sign(x, y):
+        i = y.bitwiseAND(F.col("mask")).cast("int")
+        return F.when(F.get("slot_word", i) == x, F.get("slot_sign", i)).otherwise("")
     d = d.select(
-        "doc_id", "ref", "t", "w",
+        "doc_id", "ref", "t", "w", "h",
         _class_string(F.col("t")).alias("cls"),
-        F.array_join(F.transform("w", lambda x: F.coalesce(F.try_element_at("sign", x), F.lit(""))), "").alias("signs"),
-        F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
+        F.array_join(F.zip_with("w", "h", sign), "").alias("signs"),
         F.filter(F.split("t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     d = d.withColumn("h3", F.when(F.size("w") >= 3, F.transform(
         F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2))
@@ -134,11 +152,13 @@ def _sums(array: str, n: int) -> Column:
 
 def distance(counts: str, reference: str) -> Column:
     """Jensen-Shannon distance of two count arrays, 0 where either is empty."""
-    return F.expr(f"""sqrt(greatest(0D, coalesce(aggregate(zip_with({counts}, {reference}, (x, y) -> named_struct(
-            'p', try_divide(cast(x AS DOUBLE), aggregate({counts}, 0D, (a, v) -> a + v)),
-            'q', try_divide(y, aggregate({reference}, 0D, (a, v) -> a + v)))), 0D,
+    # both sums are taken once, not again for each bin
+    return F.expr(f"""get(transform(
+        array(named_struct('c', aggregate({counts}, 0D, (a, v) -> a + v), 'r', aggregate({reference}, 0D, (a, v) -> a + v))),
+        n -> sqrt(greatest(0D, coalesce(aggregate(zip_with({counts}, {reference}, (x, y) -> named_struct(
+            'p', try_divide(cast(x AS DOUBLE), n.c), 'q', try_divide(y, n.r))), 0D,
         (a, s) -> a + CASE WHEN s.p > 0 THEN 0.5 * s.p * log2(2 * s.p / (s.p + s.q)) ELSE 0D END
-                    + CASE WHEN s.q > 0 THEN 0.5 * s.q * log2(2 * s.q / (s.p + s.q)) ELSE 0D END), 0D)))""")
+                    + CASE WHEN s.q > 0 THEN 0.5 * s.q * log2(2 * s.q / (s.p + s.q)) ELSE 0D END), 0D)))), 0)""")
 
 
 def sampled(bins: int, n: str) -> Column:
