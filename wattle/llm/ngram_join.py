@@ -36,6 +36,7 @@ N = 3
 PERCENT = 90
 RANKS = 16384
 CHUNK = 300_000   # shingles of a chunk: about 20 MB in a task
+BATCH_BYTES = 1 << 20   # text handed to Python at once: a worker needs about 25 bytes for each
 FEW = 32          # classes sharing a pair whose combinations are counted
 SET = "struct<n:int,h1:bigint,h2:bigint,pairs:array<bigint>>"
 
@@ -66,13 +67,13 @@ def shingle_hashes(texts, n: int):
     w = own[coded.indices.to_numpy()]
     count = np.bincount(owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    at = np.arange(len(w))
-    size = np.minimum(count[owner], n)                       # words of the shingle that starts here
-    starts = at - first[owner] <= count[owner] - size
-    at, size, owner = at[starts], size[starts], owner[starts]
+    size = np.minimum(count, n)                              # words of a text's shingles
+    starts = np.arange(len(w)) <= (first + count - size)[owner]
+    at, owner = np.flatnonzero(starts), owner[starts]
+    size = size[owner]
     h = size.astype(np.uint64)
     for k in range(n):
-        more = size > k
+        more = slice(None) if size.min() > k else size > k
         h[more] = _mix(h[more] * np.uint64(0x9E3779B97F4A7C15) + w[at[more] + k])
     return h, owner
 
@@ -84,7 +85,13 @@ def ordered_sets(texts, n: int, ranks):
     h, owner = shingle_hashes(texts, n)
     keys = (ranks[(h & np.uint64(RANKS - 1)).astype(np.int64)] << 56) | (h >> np.uint64(8)).astype(np.int64)
     ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
-    return [np.unique(keys[b - c:b]) for b, c in zip(ends, np.diff(np.concatenate([[0], ends])))]
+    sets = np.split(keys, ends[:-1]) if len(ends) else []
+    for s in sets:
+        s.sort()
+    # all texts at once: a key that repeats the one before it in its text goes
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    return [s[k] for s, k in zip(sets, np.split(new, ends[:-1]))]
 
 
 def shingle_ranks(docs: DataFrame, n: int) -> list[int]:
@@ -102,7 +109,7 @@ def shingle_ranks(docs: DataFrame, n: int) -> list[int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["b", "n"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     text = columns(docs, "text").select(F.col("text").cast("string").alias("text"))
     ranks = [0] * RANKS
     for r in text.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
@@ -141,7 +148,7 @@ def ties(classes: DataFrame, percent: int) -> DataFrame:
 
 def _set_functions(spark, ranks, n: int, percent: int):
     """Arrow functions text -> SET (digest and pairs of the prefix) and text -> the set."""
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     sent = spark.sparkContext.broadcast(ranks)
 
     @F.arrow_udf(SET)
