@@ -104,3 +104,18 @@ def test_query_equals_the_definition_on_the_table(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").collect()
     got = sorted(tuple(r) for r in op12_source_audit(spark, SF001).collect())
     assert got == sorted(brute([(r["text"], r["lang"], r["source"]) for r in docs]))
+
+
+def test_sources_of_one_block_meet_without_a_join(spark):
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(texts(8, 60, ["a", "b", "c"]))], SCHEMA)
+    out = source_audit.audit(d)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert not re.search(r"Join \[lang#\d+, term#\d+\]", final)
+
+
+def test_blocks_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(source_audit, "BLOCK", 2)
+    rows = texts(9, 80, [f"s{i}" for i in range(7)])
+    assert sorted(audited(spark, rows)) == sorted(brute(rows))

@@ -168,8 +168,13 @@ def distances(groups: DataFrame, rows: DataFrame) -> DataFrame:
 
     held = rows.groupBy("lang", "term", F.expr(f"s div {BLOCK}").alias("block")).agg(F.collect_list(F.struct("s", "p", "p0")).alias("x"))
     held = stored(held, "audit-postings")
-    right = held.select("lang", "term", F.col("x").alias("y"), F.col("block").alias("other"))
-    both = held.join(right, ["lang", "term"]).where("block <= other").select("lang", F.explode("x").alias("x"), "y")
+    # two sources of one block meet within its row; only languages of more blocks need a join
+    within = held.select("lang", F.explode("x").alias("x"), F.col("x").alias("y"))
+    wide = small(groups.where(F.col("s") >= BLOCK).select("lang").distinct())
+    wide = held.join(wide, "lang", "left_semi")
+    right = wide.select("lang", "term", F.col("x").alias("y"), F.col("block").alias("other"))
+    across = wide.join(right, ["lang", "term"]).where("block < other").select("lang", F.explode("x").alias("x"), "y")
+    both = within.unionByName(across)
     both = both.select("lang", "x", F.explode("y").alias("y")).where("x.s < y.s")
     both = both.select("lang", F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.p").alias("p"), F.col("y.p").alias("q"),
                        F.col("x.p0").alias("p0"), F.col("y.p0").alias("q0"))
