@@ -251,19 +251,43 @@ def join_chunks(percent: int):
 def label(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """``docs`` (columns by position, named ``_0, _1, ...``) plus ``n_shingles``, ``component_id``
     and ``group``: a key of the component, null for documents that are alone in theirs."""
-    if not 75 <= percent <= 100:
-        raise ValueError("percent is 75 to 100")
-    spark, have = docs.sparkSession, docs.columns
+    d, doc_id, text = _plain(docs)
+    digest, whole = _functions(docs, n, percent)
+    base = d.select(doc_id.alias("doc_id"), digest(text).alias("d")).select("doc_id", "d.*")
+    named = _named(base, d.select(doc_id.alias("rep"), text.alias("text")), digest, whole, percent, chunk)
+    out = d.withColumn("_d", digest(text))
+    return _labelled(out.select(*d.columns, "_d.n", "_d.h1", "_d.h2"), d.columns, doc_id, named)
+
+
+def _plain(docs: DataFrame):
+    """``docs`` with its columns named by position, and the columns of id and text."""
+    have = docs.columns
     at = {c: position(have, c) for c in ("doc_id", "text")}
-    ranks = shingle_ranks(docs, n)
-    digest, whole = _set_functions(spark, ranks, n, percent)
     d = docs.toDF(*[f"_{i}" for i in range(len(have))])
     doc_id = F.lit(None).cast("long") if at["doc_id"] is None else F.col(f"_{at['doc_id']}")
     text = F.lit(None).cast("string") if at["text"] is None else F.col(f"_{at['text']}").cast("string")
+    return d, doc_id, text
+
+
+def _functions(docs: DataFrame, n: int, percent: int):
+    if not 75 <= percent <= 100:
+        raise ValueError("percent is 75 to 100")
+    return _set_functions(docs.sparkSession, shingle_ranks(docs, n), n, percent)
+
 
-    base = d.select(doc_id.alias("doc_id"), digest(text).alias("d")).where("d.n > 0")
-    base = base.select("doc_id", "d.n", "d.h1", "d.h2", "d.pairs")
-    classes = base.groupBy("h1", "h2").agg(
+def _labelled(rows: DataFrame, keep: list[str], doc_id, named: DataFrame) -> DataFrame:
+    """Columns ``keep`` of ``rows`` (with ``n, h1, h2`` of their sets) and what ``label`` adds."""
+    out = rows.join(small(named), ["h1", "h2"], "left")
+    return out.select(
+        *keep, F.col("n").cast("long").alias("n_shingles"),
+        "group",
+        F.when(F.col("group").isNull(), doc_id).otherwise(F.col("component")).alias("component_id"))
+
+
+def _named(base: DataFrame, again: DataFrame, digest, whole, percent: int, chunk: int) -> DataFrame:
+    """``h1, h2, group, component`` of the sets that more than one document has or that have links.
+    ``base`` holds ``doc_id, n, h1, h2, pairs`` of all documents, ``again`` their ``rep`` (id) and ``text``."""
+    classes = base.where("n > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("pairs").alias("pairs"))
     classes = stored(classes, "classes")
 
@@ -273,7 +297,6 @@ def label(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUN
     inside = blocks.join(classes.select(F.col("h1").alias("node"), "h2", "rep", "n"), "node").withColumnRenamed("root", "block")
     chunks = inside.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk)).cast("int").alias("chunks"))
     inside = stored(inside.join(chunks, "block").select("node", "block", "h2", "rep", "chunks"), "inside")
-    again = d.select(doc_id.alias("rep"), text.alias("text"))
     # a null rep (no id in the class) is found by its digest like any other
     reps = small(stored(inside.select("rep").distinct(), "reps"))
     found = again.join(reps, again["rep"].eqNullSafe(reps["rep"]), "left_semi").select(whole(F.col("text")).alias("s"), digest(F.col("text")).alias("d"))
@@ -292,20 +315,18 @@ def label(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUN
     named = named.select("h1", "h2", "rep", "copies", F.coalesce("root", "h1").alias("group"), F.col("root").isNotNull().alias("linked"))
     named = named.where("linked OR copies > 1")
     ids = named.groupBy("group").agg(F.min("rep").alias("component"))
-    named = stored(named.join(ids, "group").select("h1", "h2", "group", "component"), "components")
-
-    out = d.withColumn("_d", digest(text))
-    out = out.select(*d.columns, F.col("_d.n").alias("_n"), F.col("_d.h1").alias("h1"), F.col("_d.h2").alias("h2")).join(small(named), ["h1", "h2"], "left")
-    return out.select(
-        *d.columns, F.col("_n").cast("long").alias("n_shingles"),
-        "group",
-        F.when(F.col("group").isNull(), doc_id).otherwise(F.col("component")).alias("component_id"))
+    return stored(named.join(ids, "group").select("h1", "h2", "group", "component"), "components")
 
 
 def report(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
-    d = label(columns(docs, "doc_id", "text"), n, percent)
-    return d.select(F.col("_0").alias("doc_id"), "n_shingles", "component_id")
+    """``doc_id, n_shingles, component_id`` of every document. The digests of all sets are stored,
+    so that no second pass over the texts makes them."""
+    d, doc_id, text = _plain(columns(docs, "doc_id", "text"))
+    digest, whole = _functions(docs, n, percent)
+    base = stored(d.select(doc_id.alias("doc_id"), digest(text).alias("d")).select("doc_id", "d.*"), "digests")
+    named = _named(base, d.select(doc_id.alias("rep"), text.alias("text")), digest, whole, percent, CHUNK)
+    out = _labelled(base.select("doc_id", "n", "h1", "h2"), ["doc_id"], F.col("doc_id"), named)
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
