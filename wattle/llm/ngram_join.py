@@ -8,16 +8,21 @@ hash bucket (rare first, counted over all documents), then hash.
    with map-side minima; copies, however many, are one class from here on.
 2. *Blocks.* Similar sets share a pair of neighbours among the first ``2 (1 - T) n + 1`` pairs
    of their ordered lists, and at least r of them among the first ``2 (1 - T) n + r``
-   (``line_dedup`` has the proof). Where up to ``FEW`` classes share a pair, the combinations that
+   (``line_dedup`` has the proof). Pairs are ``BITS`` bits of hash: two that meet by chance can only
+   add a tie. They travel sorted and packed, a few bytes each, to the task of their range of
+   values. Where up to ``FEW`` classes share a pair, the combinations that
    pass the length and positional filters are counted over all pairs, and two classes are
    tied when they share as many as similar sets must. Where more do, as in a large family of
-   near copies, each class is tied to the next smaller one unless the length filter parts
-   them, so their combinations are never listed. The ties' connected components are the
+   near copies, the classes in order of size are cut where the length filter parts two neighbours, and
+   each is tied to one of its run, so their combinations are never listed. The ties' connected components are the
    blocks: every two similar sets are in one block.
 3. *Tries.* The full sets of the classes in a block are joined by prefix trees (``trie``). A
-   block of more than ``CHUNK`` shingles is dealt into chunks, and every two chunks meet in a task of
-   their own, so that a task holds two chunks at most. Each task returns only links that
-   connect something new.
+   block of more than ``CHUNK`` shingles is dealt into chunks, each joined in a task of its own
+   together with the block's leaders: those with the most crowded pairs, as the original of
+   a family has. Most of a family is one component then, and is not compared with itself again:
+   what is not in the block's largest component (its strays) meets every chunk, so
+   that every two sets of a block that are not connected otherwise have been compared. Each task returns
+   only links that connect something new.
 4. *Components* of the links (alternating stars, written to the shared folder each turn).
 
 Defined cases: a null or wordless text has an empty set (size 0), links with nothing and is
@@ -36,9 +41,15 @@ N = 3
 PERCENT = 90
 RANKS = 16384
 CHUNK = 300_000   # shingles of a chunk: about 20 MB in a task
+LEAD = 8          # leaders of a block have this part of a chunk
 BATCH_BYTES = 1 << 20   # text handed to Python at once: a worker needs about 25 bytes for each
 FEW = 32          # classes sharing a pair whose combinations are counted
-SET = "struct<n:int,h1:bigint,h2:bigint,pairs:array<bigint>>"
+BITS = 40         # of a pair's hash
+HELD = 1 << 20    # pairs that are sorted and packed together: about 100 MB in a task
+BUCKET = 400_000  # pairs of one range of values, on average: about 60 MB in a task
+TIED = 1 << 40    # counts as more shared pairs than any two sets need
+SET = "struct<n:int,h1:bigint,h2:bigint,pairs:binary>"
+MET = "a long, n long, b long, bn long, shared long"
 
 
 def _mix(h):
@@ -122,65 +133,231 @@ def _spare(n: int) -> int:
     return 4 + n // 50
 
 
-def ties(classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of classes whose components bring all similar ones together."""
-    keys = classes.select(F.col("h1").alias("node"), "n", F.posexplode("pairs").alias("p", "g"))
-    keys = keys.withColumn("m", F.count("*").over(Window.partitionBy("g"))).where("m > 1")
-    keys = stored(keys, "pairs")
+def _keys(batch):
+    """Pair, row, n, position of every pair of an Arrow batch ``row, n, pairs``."""
+    import numpy as np
+    import pyarrow as pa
+
+    row, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(2))
+    b = batch.column(2).cast(pa.binary())
+    ends = np.frombuffer(b.buffers()[1], np.int32)[b.offset:b.offset + len(b) + 1].astype(np.int64)
+    g = np.zeros(((ends[-1] - ends[0]) * 8 // BITS, 8), np.uint8)
+    if len(g):
+        g[:, :BITS // 8] = np.frombuffer(b.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(len(g), BITS // 8)
+    ends = (ends - ends[0]) * 8 // BITS
+    own = np.repeat(np.arange(len(b)), np.diff(ends))
+    return g.view(np.int64).ravel(), row[own], n[own], np.arange(len(g)) - ends[own]
+
+
+def _least(bucket, buckets: int):
+    """The least pair of a bucket."""
+    return -((-bucket << BITS) // buckets)
+
+
+def deal(buckets: int):
+    """Rows ``row, n, pairs`` -> ``bucket, keys``: the pairs of many sets, sorted, packed for each range of values.
+
+    Packed are the least row, the number of pairs and the bytes that each field needs, then the fields (step
+    from the pair before, row, n, position) byte by byte: first all lowest bytes, then the next."""
+
+    def pack(held):
+        import struct
+
+        import numpy as np
+        import pyarrow as pa
+
+        g, row, n, p = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(g)
+        g, first = g[order], int(row.min())
+        bucket = (g * buckets) >> BITS
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        step = np.diff(g, prepend=0)
+        step[starts] = g[starts] - _least(bucket[starts], buckets)
+        fields = [step, row[order] - first, n[order], p[order]]
+        wide = [(int(f.max()).bit_length() + 7) // 8 for f in fields]
+        planes = np.concatenate([f.view(np.uint8).reshape(-1, 8)[:, :w].T for f, w in zip(fields, wide)])
+        ends = [*starts[1:].tolist(), len(g)]
+        keys = [struct.pack("<qI4B", first, j - i, *wide) + planes[:, i:j].tobytes() for i, j in zip(starts.tolist(), ends)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int64()), pa.array(keys, pa.binary())], ["bucket", "keys"])
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            held.append(_keys(batch))
+            count += len(held[-1][0])
+            if count >= HELD:
+                yield pack(held)
+                held, count = [], 0
+        if count:
+            yield pack(held)
+
+    return run
+
+
+def _unpack(bucket: int, keys, buckets: int):
+    import struct
+
+    import numpy as np
+
+    first, count, *wide = struct.unpack_from("<qI4B", keys)
+    planes, at, fields = np.frombuffer(keys, np.uint8, offset=16).reshape(-1, count), 0, []
+    for w in wide:
+        f = np.zeros((count, 8), np.uint8)
+        f[:, :w] = planes[at:at + w].T
+        fields.append(f.view(np.int64).ravel())
+        at += w
+    step, row, n, p = fields
+    return np.cumsum(step) + _least(bucket, buckets), row + first, n, p
+
+
+def meet(buckets: int, percent: int):
+    """Rows ``bucket, keys`` sorted by bucket -> ``MET``: shared pairs of every two classes that are not parted by a
+    filter, ``TIED`` where a crowded pair ties them; and, with b = -1, the crowded pairs of a class."""
     lose = 100 - percent
-    few = keys.where(F.col("m") <= FEW).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("node", "n", "p"))).alias("r"))
-    # length; then the words before and after the shared pair, which bound the difference
-    combined = F.expr(f"""filter(flatten(transform(r, (x, i) -> transform(slice(r, i + 2, size(r)), y -> struct(x, y)))),
-        e -> 100 * least(e.x.n, e.y.n) >= {percent} * greatest(e.x.n, e.y.n)
-         AND (abs(e.x.p - e.y.p) + abs((e.x.n - e.x.p) - (e.y.n - e.y.p))) * {100 + percent} <= {lose} * (e.x.n + e.y.n))""")
-    both = few.select(F.explode(combined).alias("e")).groupBy("e.x.node", "e.x.n", F.col("e.y.node").alias("b"), F.col("e.y.n").alias("bn")).count()
+
+    def chunks(starts, k):
+        import numpy as np
+
+        at = max(1, 1_000_000 // (k * k))
+        for i in range(0, len(starts), at):
+            yield starts[i:i + at, None] + np.arange(k)
+
+    def met(held):
+        import numpy as np
+
+        g, row, n, p = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(g)
+        same = np.diff(g[order]) == 0
+        at = order[np.append(same, False) | np.insert(same, 0, False)]
+        at = at[np.lexsort((row[at], n[at], g[at]))]
+        g, row, n, p = g[at], row[at], n[at], p[at]
+        starts = np.flatnonzero(np.diff(g, prepend=-1))
+        m = np.diff(starts, append=len(g))
+        rows, own = np.unique(row, return_inverse=True)
+        size = np.zeros(len(rows), np.int64)
+        size[own] = n
+        found = []
+
+        def add(x, y, shared):
+            x, y = own[x], own[y]
+            code, count = np.unique((x * (len(rows) + 1) + y)[x != y], return_counts=True)
+            found.append((code, count * shared))
+
+        for k in np.unique(m[m <= FEW]).tolist():
+            i, j = np.triu_indices(k, 1)
+            for each in chunks(starts[m == k], k):
+                x, y = each[:, i].ravel(), each[:, j].ravel()
+                # length; then the words before and after the shared pair, which bound the difference
+                near = 100 * n[x] >= percent * n[y]
+                near &= (abs(p[x] - p[y]) + abs((n[x] - p[x]) - (n[y] - p[y]))) * (100 + percent) <= lose * (n[x] + n[y])
+                add(x[near], y[near], 1)
+        crowded = np.flatnonzero(np.repeat(m > FEW, m))
+        if len(crowded):
+            # runs of classes whose neighbours the length filter does not part; each class is tied to its run's least row
+            new = np.isin(crowded, starts)
+            new[1:] |= 100 * n[crowded[1:] - 1] < percent * n[crowded[1:]]
+            runs = np.flatnonzero(new)
+            least = np.lexsort((row[crowded], np.cumsum(new)))[runs]
+            add(np.repeat(crowded[least], np.diff(runs, append=len(crowded))), crowded, TIED)
+            own = np.append(own, len(rows))
+            add(crowded, np.full(len(crowded), len(own) - 1), 1)
+        if not found:
+            return [np.zeros(0, np.int64)] * 5
+        code, shared = (np.concatenate(x) for x in zip(*found))
+        x, y = code // (len(rows) + 1), code % (len(rows) + 1)
+        return rows[x], size[x], np.append(rows, -1)[y], np.append(size, 0)[y], shared
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], ["a", "n", "b", "bn", "shared"])
+
+        now, held = None, []
+        for batch in batches:
+            found = []
+            for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now and held:
+                    found.append(met(held))
+                    held = []
+                now = bucket
+                held.append(_unpack(bucket, keys.as_buffer(), buckets))
+            if found:
+                yield batch_of(found)
+        if held:
+            yield batch_of([met(held)])
+
+    return run
+
+
+def ties(base: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: pairs of classes (their rows) whose components bring all similar ones together; and ``row, score``: the
+    crowded pairs of each class that has any."""
+    spark = base.sparkSession
+    again = base.join(small(classes.where("copies > 1").select("h1", "h2", F.col("row").alias("kept"))), ["h1", "h2"])
+    again = small(stored(again.where("row <> kept").select("row"), "repeats"))
+    sets = base.where("n > 1").select("row", "n", "pairs").join(again, "row", "left_anti")
+    total = base.agg(F.sum(F.length("pairs"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * 8 // BITS // BUCKET)
+    dealt = sets.mapInArrow(deal(buckets), "bucket long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    met = dealt.mapInArrow(meet(buckets, percent), MET).groupBy("a", "n", "b", "bn").agg(F.sum("shared").alias("shared"))
 
     def must(n):
-        broken = F.floor(F.lit(2 * lose) * n / 100)
+        broken = F.floor(F.lit(2 * (100 - percent)) * n / 100)
         return F.greatest(F.lit(1), F.least(n - 1 - broken, 4 + F.floor(n / 50)))
 
-    counted = both.where(F.col("count") >= F.least(must(F.col("n")), must(F.col("bn")))).select(F.col("node").alias("a"), "b")
-    by_size = Window.partitionBy("g").orderBy("n", "node")
-    many = keys.where(F.col("m") > FEW).select("node", "n", F.lag("node").over(by_size).alias("b"), F.lag("n").over(by_size).alias("bn"))
-    many = many.where(100 * F.col("bn") >= percent * F.col("n")).select(F.col("node").alias("a"), "b")
-    return counted.unionByName(many).distinct()
+    met = met.where((F.col("b") < 0) | (F.col("shared") >= F.least(must(F.col("n")), must(F.col("bn")))))
+    met = stored(met.select("a", "b", "shared"), "ties")
+    return met.where("b >= 0").select("a", "b"), met.where("b < 0").select(F.col("a").alias("row"), F.col("shared").alias("score"))
 
 
 def _set_functions(spark, ranks, n: int, percent: int):
-    """Arrow functions text -> SET (digest and pairs of the prefix) and text -> the set."""
+    """An Arrow function text -> SET (digest and pairs of the prefix), and one for ``mapInArrow``: text -> ``h1, h2, s`` (the set)
+    of the texts that have one."""
     small_batches(spark, BATCH_BYTES)
     sent = spark.sparkContext.broadcast(ranks)
 
+    def halves(s):
+        import xxhash
+
+        x = xxhash.xxh3_128_intdigest(s.tobytes())
+        return (x & ((1 << 64) - 1)) - (1 << 63), (x >> 64) - (1 << 63)
+
     @F.arrow_udf(SET)
     def digest(texts):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         table = np.array(sent.value, np.int64)
         sizes, h1, h2, pairs = [], [], [], []
         for s in ordered_sets(texts, n, table):
-            x = xxhash.xxh3_128_intdigest(s.tobytes())
             take = 2 * (100 - percent) * len(s) // 100 + _spare(len(s))
             u = s[:take + 1].view(np.uint64)
+            x, y = halves(s)
             sizes.append(len(s))
-            h1.append((x & ((1 << 64) - 1)) - (1 << 63))
-            h2.append((x >> 64) - (1 << 63))
-            pairs.append(_mix(u[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(u[1:])).view(np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).astype(np.int32)
-        flat = pa.array(np.concatenate(pairs) if pairs else np.zeros(0, np.int64))
+            h1.append(x)
+            h2.append(y)
+            pairs.append(_mix(u[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(u[1:])) >> np.uint64(64 - BITS))
+        offsets = (np.concatenate([[0], np.cumsum([len(p) for p in pairs])]) * (BITS // 8)).astype(np.int32)
+        flat = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
+        flat = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :BITS // 8])
         return pa.StructArray.from_arrays(
-            [pa.array(sizes, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+            [pa.array(sizes, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+             pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])],
             ["n", "h1", "h2", "pairs"])
 
-    @F.arrow_udf("array<bigint>")
-    def whole(texts):
+    def whole(batches):
         import numpy as np
         import pyarrow as pa
 
-        sets = ordered_sets(texts, n, np.array(sent.value, np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+        table = np.array(sent.value, np.int64)
+        for batch in batches:
+            sets = [s for s in ordered_sets(batch.column(0), n, table) if len(s)]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            both = [pa.array(x, pa.int64()) for x in (zip(*map(halves, sets)) if sets else ([], []))]
+            yield pa.RecordBatch.from_arrays([*both, lists], ["h1", "h2", "s"])
 
     return digest, whole
 
@@ -190,8 +367,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars; every turn is written to the shared folder.
     """
+    def sign(e):
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    seen = sign(e)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -199,7 +379,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = stored(tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = sign(e)
         if now == seen:
             break
         seen = now
@@ -213,7 +393,7 @@ def join_chunks(percent: int):
     def links(part):
         import numpy as np
 
-        from .trie import similar_between, similar_within
+        from .trie import Components, similar_between, similar_within
 
         rows = [x for side in part for x in side]
         if len(rows) < 2:
@@ -223,7 +403,10 @@ def join_chunks(percent: int):
         sets = [x.tolist() for x in np.split(local, np.cumsum(sizes)[:-1])]
         k = len(part[0])
         found = similar_between(sets[:k], sets[k:], percent) if part[1] else similar_within(sets, percent)
-        return [(rows[i][0], rows[j][0]) for i, j in found]
+        parts = Components(len(rows))
+        for i, j in found:
+            parts.join(i, j)
+        return [(rows[i][0], rows[parts.find(i)][0]) for i in {i for both in found for i in both} if parts.find(i) != i]
 
     def run(batches):
         import pyarrow as pa
@@ -253,8 +436,7 @@ def label(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUN
     and ``group``: a key of the component, null for documents that are alone in theirs."""
     d, doc_id, text = _plain(docs)
     digest, whole = _functions(docs, n, percent)
-    base = d.select(doc_id.alias("doc_id"), digest(text).alias("d")).select("doc_id", "d.*")
-    named = _named(base, d.select(doc_id.alias("rep"), text.alias("text")), digest, whole, percent, chunk)
+    named = _named(_base(d, doc_id, text, digest), d.select(doc_id.alias("rep"), text.alias("text")), whole, percent, chunk)
     out = d.withColumn("_d", digest(text))
     return _labelled(out.select(*d.columns, "_d.n", "_d.h1", "_d.h2"), d.columns, doc_id, named)
 
@@ -275,6 +457,12 @@ def _functions(docs: DataFrame, n: int, percent: int):
     return _set_functions(docs.sparkSession, shingle_ranks(docs, n), n, percent)
 
 
+def _base(d: DataFrame, doc_id, text, digest) -> DataFrame:
+    """``doc_id, row, n, h1, h2, pairs`` of all documents, stored. ``row`` numbers them."""
+    d = d.select(doc_id.alias("doc_id"), F.monotonically_increasing_id().alias("row"), digest(text).alias("d"))
+    return stored(d.select("doc_id", "row", "d.*"), "digests")
+
+
 def _labelled(rows: DataFrame, keep: list[str], doc_id, named: DataFrame) -> DataFrame:
     """Columns ``keep`` of ``rows`` (with ``n, h1, h2`` of their sets) and what ``label`` adds."""
     out = rows.join(small(named), ["h1", "h2"], "left")
@@ -284,35 +472,73 @@ def _labelled(rows: DataFrame, keep: list[str], doc_id, named: DataFrame) -> Dat
         F.when(F.col("group").isNull(), doc_id).otherwise(F.col("component")).alias("component_id"))
 
 
-def _named(base: DataFrame, again: DataFrame, digest, whole, percent: int, chunk: int) -> DataFrame:
-    """``h1, h2, group, component`` of the sets that more than one document has or that have links.
-    ``base`` holds ``doc_id, n, h1, h2, pairs`` of all documents, ``again`` their ``rep`` (id) and ``text``."""
-    classes = base.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("pairs").alias("pairs"))
-    classes = stored(classes, "classes")
+def _spread(inside: DataFrame, again: DataFrame, whole) -> DataFrame:
+    """Columns of ``inside`` and the full sets ``s`` of its classes, from one document of each."""
+    # a null rep (no id in the class) is found by its digest like any other
+    reps = small(inside.select("rep"))
+    found = again.join(reps, again["rep"].eqNullSafe(reps["rep"]), "left_semi").select("text")
+    return found.mapInArrow(whole, "h1 long, h2 long, s array<long>").join(small(inside.drop("rep")), ["h1", "h2"])
 
-    blocks = components(ties(classes, percent))
 
-    # full sets of the classes in blocks, from one document of each class
-    inside = blocks.join(classes.select(F.col("h1").alias("node"), "h2", "rep", "n"), "node").withColumnRenamed("root", "block")
+def _own(chunks: str, *salt):
+    return F.pmod(F.xxhash64("row", *map(F.lit, salt)), F.col(chunks)).cast("int")
+
+
+def _joined(dealt: DataFrame, percent: int) -> DataFrame:
+    dealt = dealt.select("block", "c1", "c2", "side", F.col("row").alias("node"), "s")
+    spread = dealt.repartition("block", "c1", "c2").sortWithinPartitions("block", "c1", "c2", "side", "node")
+    return spread.mapInArrow(join_chunks(percent), "a long, b long")
+
+
+def _linked(blocks: DataFrame, classes: DataFrame, score: DataFrame, again: DataFrame, whole, percent: int, chunk: int) -> DataFrame:
+    """``node, root`` of the classes that have links."""
+    inside = blocks.withColumnsRenamed({"node": "row", "root": "block"}).join(classes.drop("copies"), "row")
     chunks = inside.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk)).cast("int").alias("chunks"))
-    inside = stored(inside.join(chunks, "block").select("node", "block", "h2", "rep", "chunks"), "inside")
-    # a null rep (no id in the class) is found by its digest like any other
-    reps = small(stored(inside.select("rep").distinct(), "reps"))
-    found = again.join(reps, again["rep"].eqNullSafe(reps["rep"]), "left_semi").select(whole(F.col("text")).alias("s"), digest(F.col("text")).alias("d"))
-    sets = found.where("d.n > 0").select(F.col("d.h1").alias("node"), F.col("d.h2").alias("h2"), "s")
-    sets = sets.join(small(inside.select("node", "h2", "block", "chunks")), ["node", "h2"])
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sets = sets.select("block", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"),
-                       F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "node", "s")
-    spread = sets.repartition("block", "c1", "c2").sortWithinPartitions("block", "c1", "c2", "side", "node")
-    links = spread.mapInArrow(join_chunks(percent), "a long, b long")
-    roots = components(links)
+    inside = stored(inside.join(chunks, "block").select("row", "block", "h1", "h2", "rep", "n", "chunks"), "inside")
+    several = not inside.where("chunks > 1").isEmpty()
+    led = inside.withColumn("lead", F.lit(False))
+    if several:
+        best = Window.partitionBy("block").orderBy(F.desc("score"), "row")
+        lead = inside.where("chunks > 1").join(score, "row", "left").na.fill(0, ["score"])
+        lead = lead.select("row", F.row_number().over(best).alias("k"), F.sum("n").over(best).alias("upto"))
+        lead = stored(lead.where((F.col("k") == 1) | (F.col("upto") * LEAD <= chunk)).select("row", F.lit(True).alias("lead")), "leaders")
+        led = inside.join(small(lead), "row", "left")
+    to = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(_own("chunks")))
+    sets = _spread(led, again, whole).withColumn("c1", F.explode(to))
+    roots = components(_joined(sets.withColumns({"c2": F.col("c1"), "side": F.lit(0)}), percent))
+    if not several:
+        return roots
+
+    # strays: not in the largest component of their block
+    large = inside.where("chunks > 1").join(roots, F.col("row") == F.col("node"), "left").withColumn("part", F.coalesce("root", "row"))
+    large = stored(large.drop("node", "root"), "large")
+    main = large.groupBy("block", "part").agg(F.sum("n").alias("m")).groupBy("block").agg(F.max(F.struct("m", "part")).alias("main"))
+    large = large.join(main, "block").withColumn("stray", F.col("part") != F.col("main.part"))
+    pieces = large.where("stray").groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk)).cast("int").alias("pieces"))
+    large = stored(large.join(pieces, "block").select("row", "block", "h1", "h2", "rep", "chunks", "stray", "pieces"), "strays")
+    if large.isEmpty():
+        return roots
+    sets = _spread(large, again, whole)
+    every, piece, side = F.struct(F.lit(0).alias("c1"), F.lit(0).alias("c2"), F.lit(0).alias("side")), _own("pieces", 1), {}
+    side[0] = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: every.withField("c1", _own("chunks")).withField("c2", i))
+    side[1] = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: every.withField("c1", i).withField("c2", piece).withField("side", F.lit(1)))
+    sets = sets.withColumn("to", F.explode(F.when(F.col("stray"), F.concat(side[0], side[1])).otherwise(side[0])))
+    links = _joined(sets.select("block", "row", "s", "to.*"), percent)
+    return components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _named(base: DataFrame, again: DataFrame, whole, percent: int, chunk: int) -> DataFrame:
+    """``h1, h2, group, component`` of the sets that more than one document has or that have links.
+    ``base`` is that of ``_base``, ``again`` has the documents' ``rep`` (id) and ``text``."""
+    classes = base.where("n > 0").groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.min("row").alias("row"))
+    classes = stored(classes, "classes")
+    tied, score = ties(base, classes, percent)
+    roots = _linked(components(tied), classes, score, again, whole, percent, chunk)
 
     # component of every class that has company: others are components of their own
-    named = classes.select("h1", "h2", "rep", "copies").join(roots, F.col("h1") == F.col("node"), "left")
-    named = named.select("h1", "h2", "rep", "copies", F.coalesce("root", "h1").alias("group"), F.col("root").isNotNull().alias("linked"))
+    named = classes.select("h1", "h2", "rep", "copies", "row").join(roots, F.col("row") == F.col("node"), "left")
+    named = named.select("h1", "h2", "rep", "copies", F.coalesce("root", "row").alias("group"), F.col("root").isNotNull().alias("linked"))
     named = named.where("linked OR copies > 1")
     ids = named.groupBy("group").agg(F.min("rep").alias("component"))
     return stored(named.join(ids, "group").select("h1", "h2", "group", "component"), "components")
@@ -323,8 +549,8 @@ def report(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     so that no second pass over the texts makes them."""
     d, doc_id, text = _plain(columns(docs, "doc_id", "text"))
     digest, whole = _functions(docs, n, percent)
-    base = stored(d.select(doc_id.alias("doc_id"), digest(text).alias("d")).select("doc_id", "d.*"), "digests")
-    named = _named(base, d.select(doc_id.alias("rep"), text.alias("text")), digest, whole, percent, CHUNK)
+    base = _base(d, doc_id, text, digest)
+    named = _named(base, d.select(doc_id.alias("rep"), text.alias("text")), whole, percent, CHUNK)
     out = _labelled(base.select("doc_id", "n", "h1", "h2"), ["doc_id"], F.col("doc_id"), named)
     return out.select("doc_id", "n_shingles", "component_id")
 
