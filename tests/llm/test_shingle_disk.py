@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from test_methods import families, frame, linked, shingles
 
 from wattle.llm import ngram_join as nj
 
@@ -47,7 +49,7 @@ def test_packed_pairs_meet(monkeypatch, buckets, held):
     r, percent = random.Random(buckets), 90
     values = [r.randrange(1 << nj.BITS) for _ in range(80)] + [0, (1 << nj.BITS) - 1]
     n = {(1 << 33) * (k % 3) + k: r.randrange(20, 60) for k in range(120)}
-    sets = {row: r.sample(values, 12) for row in n}
+    sets = {row: r.sample(values[3:], 12) + [v for v in values[:3] if r.random() < 0.6] for row in n}
     batches = []
     for part in ([*sets][:50], [], [*sets][50:]):
         raw = [np.array(sets[x], np.int64).view(np.uint8).reshape(-1, 8)[:, :nj.BITS // 8].tobytes() for x in part]
@@ -58,27 +60,40 @@ def test_packed_pairs_meet(monkeypatch, buckets, held):
     for b in nj.meet(buckets, percent)(iter(dealt.to_batches(max_chunksize=9))):
         for x in b.to_pylist():
             assert (x["n"], x["bn"]) == (n[x["a"]], n.get(x["b"], 0))
+            assert x["shared"] > 0
             got[x["a"], x["b"]] += x["shared"]
-    want, groups, scores = Counter(), [], Counter()
+    want = Counter()
     for v in values:
         have = sorted((n[x], x, s.index(v)) for x, s in sets.items() if v in s)
         if len(have) > nj.FEW:
-            scores.update(x for _, x, _ in have)
-            run = [have[0]]
-            for h in have[1:]:
-                if 100 * run[-1][0] < percent * h[0]:
-                    groups.append({x for _, x, _ in run})
-                    run = []
-                run.append(h)
-            groups.append({x for _, x, _ in run})
+            want.update((x, -1 - v) for _, x, _ in have)
             continue
         for (an, a, ap), (bn, b, bp) in itertools.combinations(have, 2):
             if 100 * an >= percent * bn and (abs(ap - bp) + abs(an - ap - bn + bp)) * (100 + percent) <= (100 - percent) * (an + bn):
                 want[a, b] += 1
-    assert {k[0]: v for k, v in got.items() if k[1] < 0} == scores
-    assert {k: v for k, v in got.items() if 0 <= k[1] and v < nj.TIED} == {k: v for k, v in want.items() if got[k] < nj.TIED}
-    # crowded pairs: exactly the classes of a run are tied together
-    ties = sorted(k for k, v in got.items() if v >= nj.TIED)
-    for g in groups:
-        assert all((min(g), x) in ties or (x, min(g)) in ties for x in g - {min(g)})
-    assert all(any({a, b} <= g for g in groups) for a, b in ties)
+    assert got == want
+    assert any(b < 0 for _, b in want) and any(b >= 0 for _, b in want)
+
+
+def test_a_common_passage_ties_no_others(spark, monkeypatch):
+    monkeypatch.setattr(nj, "shingle_ranks", lambda *_: [0] * nj.RANKS)   # as in large tables, where buckets hide it
+    passage, docs = " ".join(f"p{k}" for k in range(100)), texts(60, 300)
+    docs = spark.createDataFrame([(k, f"{t} {passage}") for k, t in enumerate(docs)], "doc_id long, text string")
+    d, doc_id, text = nj._plain(docs)
+    base = nj._base(d, doc_id, text, nj._functions(docs, 3, 90)[0])
+    classes = base.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.min("row").alias("row"))
+    tied, score = nj.ties(base, nj.stored(classes, "classes"), 90)
+    assert score.count() > 0 and tied.count() == 0
+
+
+@pytest.mark.parametrize("few, percent", [(2, 90), (3, 75), (5, 90)])
+def test_crowded_pairs_leave_no_link_out(spark, monkeypatch, few, percent):
+    monkeypatch.setattr(nj, "FEW", few)
+    docs, rnd = families(few, 4, 40, 70) + ["the same text here " * 9] * 2, random.Random(few)
+    passage = [f"p{k}" for k in range(60)]
+    for k in range(40):   # mostly one passage, in part similar
+        own = [f"d{k // 4}x{i}" for i in range(rnd.randrange(4, 30))]
+        docs.append(" ".join(passage[:rnd.randrange(30, 60)] + own))
+    sets = [shingles(t) for t in docs]
+    got = {r["_0"]: r["component_id"] for r in nj.label(frame(spark, docs), percent=percent, chunk=400).collect()}
+    assert [got[i] for i in range(len(docs))] == linked(sets, percent)

@@ -10,11 +10,12 @@ hash bucket (rare first, counted over all documents), then hash.
    of their ordered lists, and at least r of them among the first ``2 (1 - T) n + r``
    (``line_dedup`` has the proof). Pairs are ``BITS`` bits of hash: two that meet by chance can only
    add a tie. They travel sorted and packed, a few bytes each, to the task of their range of
-   values. Where up to ``FEW`` classes share a pair, the combinations that
-   pass the length and positional filters are counted over all pairs, and two classes are
-   tied when they share as many as similar sets must. Where more do, as in a large family of
-   near copies, the classes in order of size are cut where the length filter parts two neighbours, and
-   each is tied to one of its run, so their combinations are never listed. The ties' connected components are the
+   values. Where up to ``FEW`` classes share a pair, the combinations that pass the length and
+   positional filters are counted over all pairs, and two classes are tied when they share as many as
+   similar sets must, less the crowded pairs (those of more classes) that they can share. Only classes
+   with at least as many crowded pairs as similar sets must share, like those of a large family of near
+   copies, are tied by crowded pairs: in order of size they are cut where the length filter parts
+   two neighbours, and each is tied to one of its run, so their combinations are never listed. The ties' connected components are the
    blocks: every two similar sets are in one block.
 3. *Tries.* The full sets of the classes in a block are joined by prefix trees (``trie``). A
    block of more than ``CHUNK`` shingles is dealt into chunks, each joined in a task of its own
@@ -47,7 +48,6 @@ FEW = 32          # classes sharing a pair whose combinations are counted
 BITS = 40         # of a pair's hash
 HELD = 1 << 20    # pairs that are sorted and packed together: about 100 MB in a task
 BUCKET = 400_000  # pairs of one range of values, on average: about 60 MB in a task
-TIED = 1 << 40    # counts as more shared pairs than any two sets need
 SET = "struct<n:int,h1:bigint,h2:bigint,pairs:binary>"
 MET = "a long, n long, b long, bn long, shared long"
 
@@ -212,7 +212,7 @@ def _unpack(bucket: int, keys, buckets: int):
 
 def meet(buckets: int, percent: int):
     """Rows ``bucket, keys`` sorted by bucket -> ``MET``: shared pairs of every two classes that are not parted by a
-    filter, ``TIED`` where a crowded pair ties them; and, with b = -1, the crowded pairs of a class."""
+    filter; and, with b = -1 - g, a class and its crowded pair g."""
     lose = 100 - percent
 
     def chunks(starts, k):
@@ -236,13 +236,9 @@ def meet(buckets: int, percent: int):
         rows, own = np.unique(row, return_inverse=True)
         size = np.zeros(len(rows), np.int64)
         size[own] = n
-        found = []
-
-        def add(x, y, shared):
-            x, y = own[x], own[y]
-            code, count = np.unique((x * (len(rows) + 1) + y)[x != y], return_counts=True)
-            found.append((code, count * shared))
-
+        crowded = np.repeat(m > FEW, m)
+        none = np.zeros(crowded.sum(), np.int64)
+        found = [(row[crowded], n[crowded], -1 - g[crowded], none, none + 1)]
         for k in np.unique(m[m <= FEW]).tolist():
             i, j = np.triu_indices(k, 1)
             for each in chunks(starts[m == k], k):
@@ -250,22 +246,10 @@ def meet(buckets: int, percent: int):
                 # length; then the words before and after the shared pair, which bound the difference
                 near = 100 * n[x] >= percent * n[y]
                 near &= (abs(p[x] - p[y]) + abs((n[x] - p[x]) - (n[y] - p[y]))) * (100 + percent) <= lose * (n[x] + n[y])
-                add(x[near], y[near], 1)
-        crowded = np.flatnonzero(np.repeat(m > FEW, m))
-        if len(crowded):
-            # runs of classes whose neighbours the length filter does not part; each class is tied to its run's least row
-            new = np.isin(crowded, starts)
-            new[1:] |= 100 * n[crowded[1:] - 1] < percent * n[crowded[1:]]
-            runs = np.flatnonzero(new)
-            least = np.lexsort((row[crowded], np.cumsum(new)))[runs]
-            add(np.repeat(crowded[least], np.diff(runs, append=len(crowded))), crowded, TIED)
-            own = np.append(own, len(rows))
-            add(crowded, np.full(len(crowded), len(own) - 1), 1)
-        if not found:
-            return [np.zeros(0, np.int64)] * 5
-        code, shared = (np.concatenate(x) for x in zip(*found))
-        x, y = code // (len(rows) + 1), code % (len(rows) + 1)
-        return rows[x], size[x], np.append(rows, -1)[y], np.append(size, 0)[y], shared
+                code, shared = np.unique((own[x] * len(rows) + own[y])[near & (own[x] != own[y])], return_counts=True)
+                x, y = np.divmod(code, len(rows))
+                found.append((rows[x], size[x], rows[y], size[y], shared))
+        return [np.concatenate(x) for x in zip(*found)]
 
     def run(batches):
         import numpy as np
@@ -301,15 +285,29 @@ def ties(base: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame,
     total = base.agg(F.sum(F.length("pairs"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * 8 // BITS // BUCKET)
     dealt = sets.mapInArrow(deal(buckets), "bucket long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
-    met = dealt.mapInArrow(meet(buckets, percent), MET).groupBy("a", "n", "b", "bn").agg(F.sum("shared").alias("shared"))
+    met = stored(dealt.mapInArrow(meet(buckets, percent), MET), "met")
 
     def must(n):
         broken = F.floor(F.lit(2 * (100 - percent)) * n / 100)
         return F.greatest(F.lit(1), F.least(n - 1 - broken, 4 + F.floor(n / 50)))
 
-    met = met.where((F.col("b") < 0) | (F.col("shared") >= F.least(must(F.col("n")), must(F.col("bn")))))
-    met = stored(met.select("a", "b", "shared"), "ties")
-    return met.where("b >= 0").select("a", "b"), met.where("b < 0").select(F.col("a").alias("row"), F.col("shared").alias("score"))
+    crowded = met.where("b < 0").select(F.col("a").alias("row"), "n", F.col("b").alias("g")).distinct()
+    # sets similar to one of n shingles have no less than its least: heavy classes have as many crowded pairs as those share
+    score = crowded.groupBy("row", "n").agg(F.count("*").alias("score"))
+    score = stored(score.withColumn("heavy", F.col("score") >= must(F.ceil(percent * F.col("n") / 100))), "scores")
+    by_size = Window.partitionBy("g").orderBy("n", "row")
+    many = crowded.join(small(score.where("heavy").select("row")), "row")
+    many = many.withColumn("cut", (100 * F.lag("n").over(by_size) < percent * F.col("n")).cast("int"))
+    many = many.withColumn("run", F.sum(F.coalesce("cut", F.lit(0))).over(by_size))
+    many = many.select(F.col("row").alias("a"), F.min("row").over(Window.partitionBy("g", "run")).alias("b"))
+
+    counted = met.where("b >= 0").groupBy("a", "n", "b", "bn").agg(F.sum("shared").alias("shared"))
+    for c in ("a", "b"):
+        counted = counted.join(small(score.select(F.col("row").alias(c), F.col("score").alias(f"{c}_score"), F.col("heavy").alias(f"{c}_heavy"))), c, "left")
+    spare = F.least(F.coalesce("a_score", F.lit(0)), F.coalesce("b_score", F.lit(0)))
+    spare = F.when(F.col("a_heavy") & F.col("b_heavy"), 0).otherwise(spare)
+    counted = counted.where(F.col("shared") >= F.greatest(F.lit(1), F.least(must(F.col("n")), must(F.col("bn"))) - spare))
+    return counted.select("a", "b").unionByName(many.where("a <> b").distinct()), score.select("row", "score")
 
 
 def _set_functions(spark, ranks, n: int, percent: int):
